@@ -36,7 +36,6 @@ CODE_RUNTIME = "condition_runtime_error"
 FIELD_IN_TEXT = r"`([^`]*)`"
 PERIOD_NAME = "current_period"
 
-NEVER = F.lit(False)
 
 
 @dataclass(frozen=True, eq=False)
@@ -104,7 +103,7 @@ class Term:
     def isin(self, *options: object) -> Term:
         listed = options[0] if len(options) == 1 and isinstance(options[0], (list, tuple, set)) else options
         known = [item for item in listed if item is not None]
-        hit = F.coalesce(self.value.isin(known), NEVER) if known else NEVER
+        hit = F.coalesce(self.value.isin(known), F.lit(False)) if known else F.lit(False)
         if None in listed:
             hit = hit | self.value.isNull()
         return Term(hit, self.bad)

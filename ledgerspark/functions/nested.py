@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -13,6 +15,9 @@ TRUE_WORDS = ["true", "1", "yes", "y"]
 # Keys that may hold the text of a configuration value, best first.
 TEXT_KEYS = ["text", "name", "value"]
 
+# Lists and objects that may be nested around a scalar.
+WRAPPER_DEPTH = 4
+
 # Alias names of the token counters in usage objects, best first.
 TOKEN_ALIASES = {
     "input": ["inputTokens", "prompt_tokens", "input_tokens"],
@@ -21,55 +26,96 @@ TOKEN_ALIASES = {
 }
 
 
+def once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with ``value`` computed once, however often ``use`` mentions it."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def unwrap(raw: Column) -> Column:
     """Scalar text inside a wrapped JSON value; text that is no JSON stays as it is.
 
     A list of one element stands for the element, ``text`` wins over ``value``, an empty list is
-    NULL. Lists of several elements stay JSON text. Wrappers are followed two objects deep.
+    NULL. Lists of several elements and objects without these keys stay JSON text.
     """
+    start = F.struct(raw.alias("text"), F.lit(False).alias("done"))
+    layers = start
+    for _ in range(WRAPPER_DEPTH):
+        layers = once(layers, _peel)
+    return layers["text"]
+
+
+def _peel(state: Column) -> Column:
+    """Take one list or object off; ``done`` marks a text that is final."""
+
+    def settled(text: Column) -> Column:
+        return F.struct(text.alias("text"), F.lit(True).alias("done"))
+
+    def open_(text: Column) -> Column:
+        return F.struct(text.alias("text"), F.lit(False).alias("done"))
+
+    text = state["text"]
+    nothing = settled(F.lit(None).cast("string"))
+
+    def from_list(items: Column) -> Column:
+        return (
+            F.when(items.isNull() | (F.size(items) > 1), settled(text))
+            .when(F.size(items) == 0, nothing)
+            .otherwise(open_(F.element_at(items, 1)))
+        )
 
-    def at(path: str) -> Column:
-        return F.get_json_object(raw, path)
-
-    def inside(shell: str) -> Column:
-        value = F.coalesce(
-            F.when(at(f"{shell}.value[1]").isNotNull(), at(f"{shell}.value")),
-            at(f"{shell}.value[0].text"),
-            at(f"{shell}.value[0].value"),
-            at(f"{shell}.value[0]"),
-            at(f"{shell}.value.text"),
-            at(f"{shell}.value.value"),
-            at(f"{shell}.value"),
+    def from_object(parts: Column) -> Column:
+        holds_value = F.coalesce(F.array_contains(F.json_object_keys(text), "value"), F.lit(False))
+        return (
+            F.when(parts["text"].isNotNull(), settled(parts["text"]))
+            .when(parts["value"].isNotNull(), open_(parts["value"]))
+            .when(holds_value, nothing)
+            .otherwise(settled(text))
         )
-        return F.coalesce(at(f"{shell}.text"), value)
 
-    nothing = F.lit(None).cast("string")
-    found = F.coalesce(inside("$[0]"), inside("$"))
-    keys = F.json_object_keys(F.coalesce(at("$[0]"), raw))
-    wrapper_of_null = F.coalesce(F.array_contains(keys, "value"), F.lit(False))
-    plain = F.when(wrapper_of_null, nothing).otherwise(F.coalesce(at("$[0]"), at("$"), raw))
+    as_list = F.from_json(text, "array<string>")
+    quoted = F.from_json(F.concat(F.lit("["), text, F.lit("]")), "array<string>")
+    as_object = F.from_json(text, "struct<text: string, value: string>")
     return (
-        F.when(at("$[1]").isNotNull(), raw)
-        .when(strip(raw) == "null", nothing)
-        .otherwise(F.nullif(F.coalesce(found, plain), F.lit("[]")))
+        F.when(state["done"], state)
+        .when(text.startswith("["), once(as_list, from_list))
+        .when(text.startswith("{"), once(as_object, from_object))
+        .when(text.startswith('"'), settled(F.coalesce(F.try_element_at(quoted, F.lit(1)), text)))
+        .when(text == "null", nothing)
+        .otherwise(settled(text))
     )
 
 
 def first_text(raw: Column) -> Column:
-    """First non-empty text of a configuration value: plain, in a list, or under a text key."""
-
-    def of_object(item: Column) -> Column:
-        picks = []
-        for key in TEXT_KEYS:
-            for path in (f"$.{key}[0].text", f"$.{key}[0]", f"$.{key}.text", f"$.{key}"):
-                text = blank_to_null(F.get_json_object(item, path))
-                picks.append(F.nullif(text, F.lit("[]")))
-        return F.coalesce(*picks, blank_to_null(item))
-
-    items = F.from_json(raw, "array<string>")
-    in_list = F.try_element_at(F.array_compact(F.transform(items, of_object)), F.lit(1))
-    is_list = strip(raw).startswith("[") & items.isNotNull()
-    return F.when(is_list, in_list).otherwise(of_object(raw))
+    """First non-empty text of a configuration value: plain, in a list, or under a text key.
+
+    Wrappers are opened layer by layer into a list of candidates that stay in order; an object
+    without any text is a candidate itself, behind its own parts.
+    """
+    found = F.array(F.struct(raw.alias("text"), F.lit(False).alias("done")))
+    for _ in range(WRAPPER_DEPTH):
+        found = F.flatten(F.transform(found, _open_up))
+    texts = F.transform(found, lambda item: blank_to_null(item["text"]))
+    return F.try_element_at(F.array_compact(texts), F.lit(1))
+
+
+def _open_up(item: Column) -> Column:
+    text = item["text"]
+
+    def candidate(value: Column, done: bool = False) -> Column:
+        return F.struct(value.alias("text"), F.lit(done).alias("done"))
+
+    as_list = F.from_json(text, "array<string>")
+    as_object = F.from_json(text, ", ".join(f"{key} string" for key in TEXT_KEYS))
+    parts = once(
+        as_object, lambda o: F.array(*[candidate(o[key]) for key in TEXT_KEYS], candidate(text, True))
+    )
+    items = F.coalesce(F.transform(as_list, lambda t: candidate(t)), F.array(candidate(text, True)))
+    return (
+        F.when(item["done"], F.array(item))
+        .when(text.startswith("["), items)
+        .when(text.startswith("{"), parts)
+        .otherwise(F.array(candidate(text, True)))
+    )
 
 
 def flag(raw: Column) -> Column:
