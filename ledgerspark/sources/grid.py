@@ -260,6 +260,40 @@ def bind_header(header: DataFrame, wanted: Sequence[Column]) -> DataFrame:
     return header.groupBy(*FILE_KEY).agg(*found, *places, filled.alias("named_idx"))
 
 
+def rule_matches(rules: DataFrame, header: DataFrame) -> DataFrame:
+    """Rules of a whole catalog with the number of files where they meet one column, or several.
+
+    Headers shrink to one row per name before the join, so neither files nor rules multiply.
+    """
+    per_file = header.groupBy(*FILE_KEY, "category", "field").agg(F.count("*").alias("n"))
+    names = per_file.groupBy(
+        F.col("category").alias("head_category"), F.col("field").alias("head_field")
+    ).agg(
+        F.count_if(F.col("n") == 1).alias("single"), F.count_if(F.col("n") > 1).alias("several")
+    )
+    same = (F.col("field") == F.col("head_field")) & F.col("category").eqNullSafe(
+        F.col("head_category")
+    )
+    return rules.join(names, same, "left").select(
+        *rules.columns,
+        F.coalesce("single", F.lit(0)).alias("files_matched"),
+        F.coalesce("several", F.lit(0)).alias("files_ambiguous"),
+    )
+
+
+def callable_names(header: DataFrame) -> DataFrame:
+    """Names conditions may use per file; more than one column makes a name ambiguous."""
+    joined = F.when(
+        F.col("category").isNotNull(), F.concat_ws("_", F.col("category"), F.col("field"))
+    )
+    names = F.array_compact(F.array(F.col("field"), joined))
+    return (
+        header.select(*FILE_KEY, F.explode(names).alias("name"))
+        .groupBy(*FILE_KEY, "name")
+        .agg(F.count("*").alias("columns"))
+    )
+
+
 def not_blank(cells: Column, positions: Column) -> Column:
     """True if any named cell of a row holds anything; white space counts as something."""
     def full(position: Column) -> Column:

@@ -50,8 +50,9 @@ def differences(spark, sf_dir: str, name: str, link=None) -> str | None:
     if sorted(columns) != sorted(frame.columns):
         return f"columns {sorted(frame.columns)} / {sorted(columns)}"
     if mine != other:
-        left = [row for row in mine if row not in set(other)][:3]
-        right = [row for row in other if row not in set(mine)][:3]
+        mine_set, other_set = set(mine), set(other)
+        left = [row for row in mine if row not in other_set][:3]
+        right = [row for row in other if row not in mine_set][:3]
         return f"rows {len(mine)} / {len(other)}\n   spark {left}\n   sql   {right}"
     if not mine:
         return "no rows on either side"
