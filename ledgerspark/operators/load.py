@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ledgerspark.errors import GateError, PeriodConflict, ReportError
 from ledgerspark.functions import values
 from ledgerspark.functions.names import named
-from ledgerspark.operators.reconcile import key_form
+from ledgerspark.operators.reconcile import join_form, key_form
 from ledgerspark.plans.rollup import PERIOD
 from ledgerspark.session import settle
 from ledgerspark.sources.target import period_rows
@@ -118,7 +118,7 @@ def keyed(table: DataFrame, keys: Sequence[str], prefix: str = "__k") -> DataFra
     """Add the normalized form of the keys, so later joins compare plain texts."""
     kinds = {item.name: item.dataType for item in table.schema.fields}
     return table.withColumns(
-        {f"{prefix}{i}": key_form(named(key), kinds[key]) for i, key in enumerate(keys)}
+        {f"{prefix}{i}": join_form(named(key), kinds[key]) for i, key in enumerate(keys)}
     )
 
 
@@ -161,7 +161,7 @@ def plan_upsert(
     rows = keyed(source, keys)
     same = None
     for i in ids:
-        term = rows[i].eqNullSafe(last[f"__t{i}"])
+        term = rows[i] == last[f"__t{i}"]
         same = term if same is None else same & term
     differs = F.col("__met.extra")
     for i, name in enumerate(shared):

@@ -17,12 +17,17 @@ from ledgerspark.functions.values import (
     plain_number_text,
 )
 
-# Issue types, the stand-in field of a missing record, verdicts and next actions.
+# Issue types, verdicts and the stand-in field of a missing record.
 MISSING_IN_PREVIEW = "missing_in_preview"
 MISSING_IN_BASELINE = "missing_in_baseline"
 VALUE_MISMATCH = "value_mismatch"
 MATCHED, MIXED = "matched", "mixed"
 WHOLE_RECORD = "__record__"
+
+# Stands for a missing key. No key form is empty, blank keys are NULL before.
+NO_KEY = ""
+
+# Next actions and the text for the business owner.
 PROCEED, REPORT = "proceed", "report_to_business_owner"
 CONFIRMATION = (
     "Preview 与 baseline 存在差异，recog_id=%s，period=%s，diff_type=%s，difference_count=%d。"
@@ -112,7 +117,7 @@ def compare(
     both = a.join(b, _same_keys(a, b, len(keys)), "full")
 
     key_columns = [
-        F.coalesce(F.col(f"preview_k{i}"), F.col(f"baseline_k{i}")).alias(key)
+        F.nullif(F.coalesce(f"preview_k{i}", f"baseline_k{i}"), F.lit(NO_KEY)).alias(key)
         for i, key in enumerate(keys)
     ]
     no_preview, no_baseline = F.col("preview_n").isNull(), F.col("baseline_n").isNull()
@@ -192,7 +197,7 @@ def _one_per_key(
         F.lit(True).alias("seen"),
     )
     key_columns = [
-        (key_form(named(key), kinds[key]) if key in kinds else nothing).alias(f"{side}_k{i}")
+        (join_form(named(key), kinds[key]) if key in kinds else F.lit(NO_KEY)).alias(f"{side}_k{i}")
         for i, key in enumerate(keys)
     ]
     rank = named(order) if order else F.col("record")
@@ -212,6 +217,15 @@ def key_form(column: Column, kind: T.DataType) -> Column:
     return canon_key(column)
 
 
+def join_form(column: Column, kind: T.DataType) -> Column:
+    """Key form that is never NULL, so keys are compared by plain equality.
+
+    Plain keys let the join use the partitioning of the aggregate before it; a null-safe comparison
+    would shuffle both sides again.
+    """
+    return F.coalesce(key_form(column, kind), F.lit(NO_KEY))
+
+
 def scalar_form(column: Column, kind: T.DataType, digits: int) -> Column:
     if isinstance(kind, T.NumericType):
         exact = column.try_cast(WIDE_NUMBER)
@@ -222,6 +236,6 @@ def scalar_form(column: Column, kind: T.DataType, digits: int) -> Column:
 def _same_keys(a: DataFrame, b: DataFrame, count: int) -> Column:
     same = F.lit(True)
     for i in range(count):
-        term = a[f"preview_k{i}"].eqNullSafe(b[f"baseline_k{i}"])
+        term = a[f"preview_k{i}"] == b[f"baseline_k{i}"]
         same = term if i == 0 else same & term
     return same

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ledgerspark.functions.values import strip
 from ledgerspark.sources.grid import file_stem
-from ledgerspark.sources.jsonl import good_lines, line_problem
+from ledgerspark.sources.jsonl import bare_line, good_lines, line_problem
 
 # Event types and the kinds they are shown as.
 TRAJECTORY_KINDS = {
@@ -50,7 +50,7 @@ EVENT = """
 
 def parse_events(lines: DataFrame) -> DataFrame:
     """Good lines of session logs with their event fields in ``event``."""
-    return good_lines(lines).withColumn("event", F.from_json("raw", EVENT))
+    return good_lines(lines).withColumn("event", F.from_json(bare_line(F.col("raw")), EVENT))
 
 
 def joined_text(content: Column, blocks: Sequence[str]) -> Column:
@@ -169,9 +169,9 @@ def kind_counts(lines: DataFrame) -> DataFrame:
 
     One pass over the lines and one aggregate answer for both good and unreadable lines.
     """
-    filled = lines.where(strip(F.col("raw")) != "")
+    filled = lines.where(bare_line(F.col("raw")) != "")
     judged = filled.withColumn("problem", line_problem(F.col("raw"))).withColumn(
-        "event", F.from_json("raw", EVENT)
+        "event", F.from_json(bare_line(F.col("raw")), EVENT)
     )
     kind = F.when(F.col("problem").isNull(), event_kind(F.col("event")))
     shown = judged.select("session_file", "problem", kind.alias("kind"))

@@ -31,9 +31,13 @@ def read_lines(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
+def bare_line(raw: Column) -> Column:
+    return strip(F.ltrim(raw, F.lit(BYTE_ORDER_MARK)))
+
+
 def line_problem(raw: Column) -> Column:
     """Why a line is no event, NULL for a good line. Blank lines are neither."""
-    bare = strip(F.ltrim(raw, F.lit(BYTE_ORDER_MARK)))
+    bare = bare_line(raw)
     parsed = F.try_parse_json(bare)
     return (
         F.when(bare == "", F.lit(None).cast("string"))
@@ -43,8 +47,7 @@ def line_problem(raw: Column) -> Column:
 
 
 def good_lines(lines: DataFrame) -> DataFrame:
-    bare = strip(F.ltrim("raw", F.lit(BYTE_ORDER_MARK)))
-    return lines.where((bare != "") & line_problem(F.col("raw")).isNull())
+    return lines.where((bare_line(F.col("raw")) != "") & line_problem(F.col("raw")).isNull())
 
 
 def problem_lines(lines: DataFrame) -> DataFrame:
