@@ -54,18 +54,29 @@ def is_safe_id(value: Column) -> Column:
 
 
 def has_encoding_marker(value: Column) -> Column:
-    return value.rlike("[" + "".join(ENCODING_MARKERS) + "]")
+    """Plain substring tests; a character class would walk the text through the regex engine."""
+    found = value.contains(ENCODING_MARKERS[0])
+    for marker in ENCODING_MARKERS[1:]:
+        found = found | value.contains(marker)
+    return found
 
 
 def visible_length(value: Column) -> Column:
-    return F.length(F.translate(value, WHITESPACE, ""))
+    """Characters that are not white space. One byte-level replace per kind of white space."""
+    rest = value
+    for space in WHITESPACE:
+        rest = F.replace(rest, F.lit(space), F.lit(""))
+    return F.length(rest)
+
+
+def cjk_length(value: Column) -> Column:
+    return F.regexp_count(value, F.lit(f"[{CJK_RANGE}]"))
 
 
 def cjk_ratio(value: Column) -> Column:
     """Share of CJK characters among the characters that are not white space."""
     total = visible_length(value)
-    cjk = F.length(F.regexp_replace(value, f"[^{CJK_RANGE}]", ""))
-    return F.when(total > 0, cjk / total).otherwise(F.lit(0.0))
+    return F.when(total > 0, cjk_length(value) / total).otherwise(F.lit(0.0))
 
 
 def asks_for(value: Column, word: str = "upload", cjk_word: str = "上传") -> Column:

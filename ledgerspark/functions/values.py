@@ -6,6 +6,8 @@ which rows would fail, so a job can report them instead of stopping at the first
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -101,6 +103,37 @@ def _nothing_to_add(value: Column) -> Column:
     return F.coalesce(numeric_text(value) == "", F.lit(True))
 
 
+# Below this size a double holds millionths exactly enough to round them to the intended digit.
+PLAIN_DOUBLE = 1e9
+
+
+def large_number(value: Column) -> Column:
+    """A large double as a decimal, digit by digit; NULL for others, which need no such care."""
+    return F.when(F.abs(value) >= PLAIN_DOUBLE, value.try_cast(NUMBER))
+
+
+def split_number(value: Column, large: Column) -> tuple[Column, Column]:
+    """Whole units and millionths of a double as two bigints, NULL where it is no number.
+
+    Two bigint sums are exact and stay on primitive values; a decimal sum costs several times as
+    much per row. ``large`` is ``large_number(value)``, best kept as a column.
+    """
+    whole = value.try_cast("bigint")
+    units = F.when(large.isNull(), whole).otherwise(large.try_cast("bigint"))
+    rest = F.when(large.isNull(), F.rint((value - whole) * 1e6).cast("bigint")).otherwise(
+        ((large - large.try_cast("bigint")) * 1_000_000).cast("bigint")
+    )
+    return units, rest
+
+
+def joined_number(units: Column, millionths: Column) -> Column:
+    """The exact number behind two sums of ``split_number``."""
+    return (
+        units.cast("decimal(38,6)")
+        + (millionths.cast("decimal(20,0)") * F.lit(Decimal("0.000001"))).cast("decimal(38,6)")
+    ).cast(WIDE_NUMBER)
+
+
 def period_of(value: Column) -> Column:
     """``YYYYMM`` of a date, a timestamp cast to text, or free date text; NULL if there is none."""
     text = value.cast("string")

@@ -18,7 +18,7 @@ from ledgerspark.errors import ConditionError, RollupIssues, RuleError
 from ledgerspark.functions import conditions, values
 from ledgerspark.functions.names import named
 from ledgerspark.operators.backfill import fill_unique, merge_groups
-from ledgerspark.plans.rules import Rule, RuleBundle, refuse_shared_sums
+from ledgerspark.plans.rules import SUM, Rule, RuleBundle, refuse_shared_sums
 from ledgerspark.schemas import ISSUES
 from ledgerspark.session import settle
 
@@ -29,10 +29,6 @@ MISSING_FIELD = "Required field is missing."
 SHARED_FIELD = "The field mapping is duplicated in the source file."
 FAILED_CONDITION = "The condition could not be evaluated."
 
-# A group that holds a third of all rows is combined before the shuffle, so it reaches the final
-# aggregate as one row per map task.
-
-
 @dataclass(frozen=True)
 class Source:
     """One column a rule or condition reads: its expression and where it exists."""
@@ -167,39 +163,57 @@ def plan_rollup(
     sum_ids = [f"s{i}" for i in range(len(outputs))]
     slot = dict(zip(outputs, sum_ids))
 
+    bindings = [_Binding(sheet, given, month) for sheet, given in inputs.items()]
+    if not bindings:
+        raise RuleError("no sheet was given")
+    summed: list[dict[str, _Summand]] = []
+    keyed: list[dict[str, Column | None]] = []
+    for bound in bindings:
+        mine = [rule for rule in bundle.rules if rule.applies_to(bound.sheet)]
+        keyed.append(
+            {i: bound.group(r) if r in mine else None for i, r in zip(group_ids, groups)}
+        )
+        summed.append({slot[r.output]: bound.sum(r) for r in mine if r.kind == SUM})
+    # A sum runs on bigint parts when no sheet feeds it with text or decimals.
+    is_split = {i: all(part[i].is_split for part in summed if i in part) for i in sum_ids}
+
     parts: list[DataFrame] = []
     problems: list[DataFrame] = []
-    for place, (sheet, given) in enumerate(inputs.items()):
-        bound = _Binding(sheet, given, month)
-        keys = {
-            i: bound.group(rule) if rule.applies_to(sheet) else None
-            for i, rule in zip(group_ids, groups)
-        }
-        sums = {slot[r.output]: bound.sum(r) for r in bundle.sums if r.applies_to(sheet)}
-        located = [given.source_file.alias("source_file"), given.row_no.alias("row_no")]
-        none = F.lit(None)
+    none = F.lit(None)
+    for place, (bound, keys, sums) in enumerate(zip(bindings, keyed, summed)):
+        amounts: list[Column] = []
+        for i in sum_ids:
+            for name, kind in _parts_of(i, is_split[i]):
+                column = sums[i].part(name, is_split[i]) if i in sums else none
+                amounts.append(column.cast(kind).alias(name))
         parts.append(
-            bound.frame.select(
+            bound.prepared().select(
                 *[(none if c is None else c).cast("string").alias(i) for i, c in keys.items()],
-                *[sums.get(i, none).cast(values.NUMBER).alias(i) for i in sum_ids],
+                *amounts,
                 bound.issue().alias("__issue"),
-                *located,
-                F.lit(sheet).alias("sheet"),
+                bound.given.source_file.alias("source_file"),
+                bound.given.row_no.alias("row_no"),
+                F.lit(bound.sheet).alias("sheet"),
                 F.lit(place).alias("__place"),
             )
         )
         problems += bound.problems()
-    if not parts:
-        raise RuleError("no sheet was given")
 
     rows = parts[0]
     for part in parts[1:]:
         rows = rows.unionByName(part)
-    measures = [F.sum(i).alias(i) for i in sum_ids]
+    measures = [
+        F.sum(name).alias(name) for i in sum_ids for name, _ in _parts_of(i, is_split[i])
+    ]
     measures.append(F.count_if(F.col("__issue").isNotNull()).alias("__failed"))
     if ordered:
         first = F.min(F.struct("source_file", "__place", "row_no"))
         measures.append(first.alias("__first"))
+    totals = [
+        (values.joined_number(F.col(f"{i}u"), F.col(f"{i}m")) if is_split[i] else F.col(i)).alias(i)
+        for i in sum_ids
+    ]
+    extra = ["__failed", "__first"] if ordered else ["__failed"]
     merged = None
     for problem in problems:
         merged = problem if merged is None else merged.unionByName(problem)
@@ -207,7 +221,7 @@ def plan_rollup(
         bundle=bundle,
         period=month,
         rows=rows,
-        groups=rows.groupBy(*group_ids).agg(*measures),
+        groups=rows.groupBy(*group_ids).agg(*measures).select(*group_ids, *totals, *extra),
         group_ids=group_ids,
         sum_ids=sum_ids,
         problems=merged,
@@ -215,6 +229,12 @@ def plan_rollup(
     )
 
 
+def _parts_of(sum_id: str, is_split: bool) -> list[tuple[str, str]]:
+    if is_split:
+        return [(f"{sum_id}u", "bigint"), (f"{sum_id}m", "bigint")]
+    return [(sum_id, values.NUMBER)]
+
+
 def normal_period(period: str | int | None) -> str:
     """A six-digit period, checked on the driver; None stands for the validation period."""
     text = values.VALIDATION_PERIOD if period is None else str(period).strip()
@@ -223,62 +243,117 @@ def normal_period(period: str | int | None) -> str:
     return text
 
 
+@dataclass(frozen=True)
+class _Summand:
+    """What a SUM rule adds per row: a decimal, and for native numbers its two bigint parts."""
+
+    number: Column
+    applies: Column | None = None
+    units: Column | None = None
+    millionths: Column | None = None
+
+    @property
+    def is_split(self) -> bool:
+        return self.units is not None
+
+    def part(self, name: str, split: bool) -> Column:
+        column = self.number
+        if split:
+            column = self.units if name.endswith("u") else self.millionths
+        return column if self.applies is None else F.when(self.applies, column)
+
+
 class _Binding:
-    """Rules of one sheet turned into columns, with the failures they can meet."""
+    """Rules of one sheet turned into columns, with the failures they can meet.
+
+    Conditions and numbers become columns of their own first, layer by layer. Several rules and
+    the failure tests read them, and this way each is computed once per row. It also keeps the
+    generated methods below the size the JVM still compiles.
+    """
 
     def __init__(self, sheet: str, given: SheetInput, period: str) -> None:
         self.sheet = sheet
         self.given = given
         self.period = period
-        self.frame = given.frame
-        if conditions.PERIOD_NAME not in given.frame.columns:
-            self.frame = given.frame.withColumn(conditions.PERIOD_NAME, F.lit(period))
+        self._first: dict[str, Column] = {}
+        self._second: dict[str, Column] = {}
+        self._numbers: dict[tuple[str | None, str], tuple[Column, Column]] = {}
         self._failures: list[Column] = []
         self._notes: list[tuple[str, str]] = []
 
+    def prepared(self) -> DataFrame:
+        """The sheet with the period, all conditions and all split numbers as columns."""
+        frame = self.given.frame
+        if conditions.PERIOD_NAME not in frame.columns:
+            frame = frame.withColumn(conditions.PERIOD_NAME, F.lit(self.period))
+        for layer in (self._first, self._second):
+            frame = frame.withColumns(layer) if layer else frame
+        return frame
+
     def group(self, rule: Rule) -> Column | None:
         source = self._one(rule)
-        if source is None:
-            return None
-        return group_text(source)
+        return None if source is None else group_text(source)
 
-    def sum(self, rule: Rule) -> Column:
+    def sum(self, rule: Rule) -> _Summand:
+        nothing = _Summand(F.lit(None), None, F.lit(None), F.lit(None))
         source = self._one(rule)
         if source is None:
-            return F.lit(None)
+            return nothing
         applies = source.present
         try:
             term = conditions.build(rule.condition, self._lookup, self.period)
         except ConditionError as error:
             self._notes.append((error.field or rule.field, str(error)))
-            return F.lit(None)
+            return nothing
         if term is not None:
+            holds = self._keep(term.value)
             if term.bad is not None:
-                self._fail(both(applies, term.bad), None, FAILED_CONDITION)
-            applies = both(applies, term.value)
-        number, empty, unreadable = summand(source, rule.optional)
-        if empty is not None:
-            self._fail(both(applies, empty), rule.field, f"SUM field '{rule.field}' is empty.")
-        self._fail(
-            both(applies, unreadable), rule.field, f"SUM field '{rule.field}' is not a number."
-        )
-        return number if applies is None else F.when(applies, number)
+                is_text = isinstance(rule.condition, str)
+                bad = holds.isNull() if is_text else self._keep(term.bad)
+                self._fail(both(applies, bad), None, FAILED_CONDITION)
+            applies = both(applies, holds)
+        made = self._number(rule, source)
+        if made.empty is not None:
+            self._fail(both(applies, made.empty), rule.field, f"SUM field '{rule.field}' is empty.")
+        if made.unreadable is not None:
+            message = f"SUM field '{rule.field}' is not a number."
+            self._fail(both(applies, made.unreadable), rule.field, message)
+        return _Summand(made.number, applies, made.units, made.millionths)
 
     def issue(self) -> Column:
         """First failure of the row, NULL for a good row."""
-        kind = "struct<field:string,message:string>"
         if not self._failures:
-            return F.lit(None).cast(kind)
+            return F.lit(None).cast("struct<field:string,message:string>")
         return F.coalesce(*self._failures)
 
     def problems(self) -> list[DataFrame]:
         found = [] if self.given.problems is None else [self.given.problems]
         if self._notes:
-            spark = self.frame.sparkSession
+            spark = self.given.frame.sparkSession
             lines = [(None, self.sheet, None, name, message) for name, message in self._notes]
             found.append(spark.createDataFrame(lines, ISSUES))
         return found
 
+    def _number(self, rule: Rule, source: Source) -> _Number:
+        if not isinstance(source.kind, (T.FloatType, T.DoubleType)):
+            return summand(source, rule.optional)
+        place = (rule.category, rule.field)
+        if place not in self._numbers:
+            value = source.column.cast("double")
+            large = self._keep(values.large_number(value))
+            parts = values.split_number(value, large)
+            self._numbers[place] = tuple(self._keep(p, self._second) for p in parts)
+        units, millionths = self._numbers[place]
+        column = source.column
+        empty = None if rule.optional else column.isNull()
+        unreadable = column.isNotNull() & units.isNull()
+        return _Number(column.try_cast(values.NUMBER), empty, unreadable, units, millionths)
+
+    def _keep(self, column: Column, layer: dict[str, Column] | None = None) -> Column:
+        name = f"__c{len(self._first) + len(self._second)}"
+        (self._first if layer is None else layer)[name] = column
+        return F.col(name)
+
     def _one(self, rule: Rule) -> Source | None:
         found = self.given.by_column(rule.category, rule.field)
         if len(found) == 1:
@@ -306,16 +381,29 @@ def both(left: Column | None, right: Column) -> Column:
     return right if left is None else left & right
 
 
-def summand(source: Source, optional: bool) -> tuple[Column, Column | None, Column]:
-    """Number a SUM rule adds, where it is empty (None if that is allowed), where it is no number."""
-    column = source.column
-    if isinstance(source.kind, T.NumericType):
-        number = column.try_cast(values.NUMBER)
-        filled = F.coalesce(number, F.lit(0)) if optional else number
-        return filled, None if optional else column.isNull(), column.isNotNull() & number.isNull()
-    text = column.cast("string")
-    empty = None if optional else values.sum_empty(text)
-    return values.sum_value(text, optional), empty, values.sum_unreadable(text)
+@dataclass(frozen=True)
+class _Number:
+    """A source as a number, with the tests for empty and unreadable cells where they can occur."""
+
+    number: Column
+    empty: Column | None
+    unreadable: Column | None
+    units: Column | None = None
+    millionths: Column | None = None
+
+
+def summand(source: Source, optional: bool) -> _Number:
+    """What a SUM rule reads from a text, integer or decimal source."""
+    column, kind = source.column, source.kind
+    if not isinstance(kind, T.NumericType):
+        text = column.cast("string")
+        empty = None if optional else values.sum_empty(text)
+        return _Number(values.sum_value(text, optional), empty, values.sum_unreadable(text))
+    number = column.try_cast(values.NUMBER)
+    empty = None if optional else column.isNull()
+    if isinstance(kind, T.IntegralType):
+        return _Number(number, empty, None, column.cast("bigint"), F.lit(0).cast("bigint"))
+    return _Number(number, empty, column.isNotNull() & number.isNull())
 
 
 def group_text(source: Source) -> Column:

@@ -343,17 +343,19 @@ def ids_and_names(spark: SparkSession, sf_dir: str) -> DataFrame:
 def encoding_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Encoding markers and CJK share of whole document texts, per language."""
     body = F.col("text")
-    cjk = F.length(F.regexp_replace(body, f"[^{text.CJK_RANGE}]", ""))
-    return (
-        table(spark, sf_dir, "documents")
-        .groupBy("lang")
-        .agg(
-            F.count("*").alias("documents"),
-            F.count_if(text.has_encoding_marker(body)).alias("marked"),
-            F.sum(text.visible_length(body)).alias("visible_chars"),
-            F.sum(cjk).alias("cjk_chars"),
-            F.max(text.cjk_ratio(body)).alias("max_cjk_ratio"),
-        )
+    measured = table(spark, sf_dir, "documents").select(
+        "lang",
+        text.has_encoding_marker(body).alias("marker"),
+        text.visible_length(body).alias("visible"),
+        text.cjk_length(body).alias("cjk"),
+    )
+    ratio = F.when(F.col("visible") > 0, F.col("cjk") / F.col("visible")).otherwise(F.lit(0.0))
+    return measured.groupBy("lang").agg(
+        F.count("*").alias("documents"),
+        F.count_if("marker").alias("marked"),
+        F.sum("visible").alias("visible_chars"),
+        F.sum("cjk").alias("cjk_chars"),
+        F.max(ratio).alias("max_cjk_ratio"),
     )
 
 

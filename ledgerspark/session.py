@@ -15,6 +15,8 @@ RECOMMENDED = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
+    # Beyond this method size the JVM stops compiling; Spark then uses smaller methods instead.
+    "spark.sql.codegen.hugeMethodLimit": "8000",
     # Lets the CSV reader decode GB18030 files.
     "spark.sql.legacy.javaCharsets": "true",
 }

@@ -158,3 +158,21 @@ def test_encoding_measures(spark):
         True,
         True,
     ]
+
+
+def test_split_numbers_are_exact(spark):
+    cells = [0.29, -0.29, 1.1, 2.675, 123456.789, 999999999.99, 12345678901.23, -5e12 + 0.25, 0.0]
+    expected = [f"{x:.6f}" for x in cells[:-2]] + ["-4999999999999.750000", "0.000000"]
+
+    def parts(v):
+        return values.split_number(v, values.large_number(v))
+
+    joined = each(spark, cells, lambda v: values.joined_number(*parts(v)), kind="double")
+    assert [str(x) if x else "0.000000" for x in joined] == expected
+    lost = each(
+        spark,
+        [float("nan"), float("inf"), 1e300, None],
+        lambda v: parts(v)[0],
+        kind="double",
+    )
+    assert lost == [None] * 4
