@@ -11,16 +11,17 @@ from ledgerspark.functions.names import named
 from ledgerspark.session import settle
 
 
-def fill_unique(groups: DataFrame, fields: Sequence[str]) -> DataFrame:
+def fill_unique(groups: DataFrame, fields: Sequence[str], settled: bool = False) -> DataFrame:
     """Fill NULLs of the group ``fields`` of aggregated rows, one field after the other.
 
     Fields are text, and empty text does not occur (the rollup turns it into NULL). A NULL is
     filled when the rows that agree on all other group fields hold exactly one value of the field;
     later fields see earlier fills. Candidates are found by a min/max aggregate, which combines on
     the map side, and only rows with a gap are joined to them. ``groups`` holds one row per key, so
-    a candidate key meets few gap rows however many rows share it.
+    a candidate key meets few gap rows however many rows share it. ``settled`` says that ``groups``
+    has been written already.
     """
-    current = settle(groups)
+    current = groups if settled else settle(groups)
     gaps = current.agg(*[F.count_if(named(f).isNull()).alias(f) for f in fields]).first()
     for field in fields:
         if gaps[field] == 0:

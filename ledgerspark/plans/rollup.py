@@ -125,7 +125,7 @@ class Rollup:
             raise RollupIssues("the rollup was refused", self.issues(), failed + broken)
         if not backfill or not self.group_ids:
             return self._layout(settled)
-        filled = fill_unique(settled, self.group_ids)
+        filled = fill_unique(settled, self.group_ids, settled=True)
         if self.ordered:
             first = F.min("__first").alias("__first")
             sums = [F.sum(name).alias(name) for name in self.sum_ids]

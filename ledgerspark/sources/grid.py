@@ -223,10 +223,10 @@ def data_rows(rows: DataFrame, spec: SheetSpec) -> DataFrame:
     return kept.drop("resolved_last_row")
 
 
-def cell_at(position: Column, cells: Column, source_file: Column) -> Column:
+def cell_at(position: Column, cells: Column, stem: Column) -> Column:
     """Clean cell text at a zero-based position; short rows give NULL."""
     text = clean_cell(F.try_element_at(cells, position + 1))
-    return F.when(position == VIRTUAL, file_stem(source_file)).when(position >= 0, text)
+    return F.when(position == VIRTUAL, stem).when(position >= 0, text)
 
 
 def long_cells(rows: DataFrame, header: DataFrame) -> DataFrame:
@@ -237,7 +237,7 @@ def long_cells(rows: DataFrame, header: DataFrame) -> DataFrame:
         "col_idx",
         "category",
         "field",
-        cell_at(F.col("col_idx"), F.col("cells"), F.col("source_file")).alias("value"),
+        cell_at(F.col("col_idx"), F.col("cells"), file_stem(F.col("source_file"))).alias("value"),
     )
 
 
@@ -253,11 +253,18 @@ def called(name: str) -> Column:
 
 
 def bind_header(header: DataFrame, wanted: Sequence[Column]) -> DataFrame:
-    """Per (file, sheet): for each wanted column how often it occurs and where it is."""
+    """Per (file, sheet): for each wanted column how often it occurs and where it is.
+
+    The file stem is worked out here as well, once per file instead of once per row.
+    """
     found = [F.count_if(test).alias(f"n{i}") for i, test in enumerate(wanted)]
     places = [F.max(F.when(test, F.col("col_idx"))).alias(f"x{i}") for i, test in enumerate(wanted)]
     filled = F.sort_array(F.collect_set(F.when(F.col("col_idx") >= 0, F.col("col_idx"))))
-    return header.groupBy(*FILE_KEY).agg(*found, *places, filled.alias("named_idx"))
+    return (
+        header.groupBy(*FILE_KEY)
+        .agg(*found, *places, filled.alias("named_idx"))
+        .withColumn("stem", file_stem(F.col("source_file")))
+    )
 
 
 def rule_matches(rules: DataFrame, header: DataFrame) -> DataFrame:
@@ -324,7 +331,7 @@ def sheet_input(grid: DataFrame, spec: SheetSpec, rules: Sequence[Rule]) -> Shee
 
     def value(i: int) -> Column:
         place = F.when(F.col(f"n{i}") == 1, F.col(f"x{i}"))
-        return cell_at(place, F.col("cells"), F.col("source_file"))
+        return cell_at(place, F.col("cells"), F.col("stem"))
 
     offset = len(columns)
     frame = joined.select(
