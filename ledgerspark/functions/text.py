@@ -78,8 +78,12 @@ def cjk_ratio(value: Column) -> Column:
 
 def asks_for(value: Column, word: str = "upload", cjk_word: str = "上传") -> Column:
     """True where text asks for an action once all wordings that forbid it are taken out."""
-    text = F.lower(value)
+    lowered = F.lower(value)
+    text = lowered
     for wording in NEGATED_WORDINGS:
         pattern = "(?i)" + wording.replace("{w}", word).replace("{c}", cjk_word)
         text = F.regexp_replace(text, pattern, " ")
-    return text.rlike(rf"\b{word}\b") | text.contains(cjk_word)
+    asked = text.rlike(rf"\b{word}\b") | text.contains(cjk_word)
+    # Most texts hold neither word and are settled by a substring test.
+    mentioned = lowered.contains(word) | lowered.contains(cjk_word)
+    return F.when(mentioned, asked).otherwise(mentioned)

@@ -9,7 +9,7 @@ from ledgerspark.plans.rollup import plan_rollup
 from ledgerspark.plans.rules import Rule, RuleBundle, SheetSpec
 from ledgerspark.plans.validate import field_checks, sheet_checks
 from ledgerspark.registry.base import as_double, money_text, query, table
-from ledgerspark.session import scratch_path, settle
+from ledgerspark.session import scratch_path, settle, store
 from ledgerspark.sources import files, grid as G
 
 PERIOD = "199904"
@@ -362,7 +362,7 @@ def grid_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
         ),
     )
     bundle = RuleBundle("bills", (TWO_LEVEL,), rules)
-    grid = settle(bill_grid(spark, sf_dir))
+    grid = store(bill_grid(spark, sf_dir))
     plan = plan_rollup({"orders": G.sheet_input(grid, TWO_LEVEL, rules)}, bundle, PERIOD)
     return as_double(plan.release(), "fees", "keys_in_period")
 
@@ -391,7 +391,7 @@ def grid_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
         Rule("fees", "SUM", "orders", "fee", category="Money"),
     )
     bundle = RuleBundle("bills", (TWO_LEVEL, notes), rules)
-    grid = settle(bill_grid(spark, sf_dir))
+    grid = store(bill_grid(spark, sf_dir))
     inputs = {spec.sheet: G.sheet_input(grid, spec, rules) for spec in bundle.sheets}
     return plan_rollup(inputs, bundle, PERIOD).issues().drop("sheet")
 
@@ -487,7 +487,7 @@ def check_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
         Rule("broken", "SUM", "orders", "status", None, "`status` = = 'x'"),
         Rule("foreign", "SUM", "orders", "status", None, "no_such_function(`status`) = 'x'"),
     )
-    grid = settle(bill_grid(spark, sf_dir))
+    grid = store(bill_grid(spark, sf_dir))
     report = field_checks(grid, TWO_LEVEL, rules)
     return report.select(
         F.col("details")["source_file"].alias("source_file"),

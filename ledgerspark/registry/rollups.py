@@ -199,7 +199,7 @@ _GAPS_SQL = """
 
 def _orders_with_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
     key = F.col("o_orderkey")
-    nations = F.broadcast(table(spark, sf_dir, "nation"))  # 25 rows by definition
+    nations = table(spark, sf_dir, "nation")
     joined = (
         table(spark, sf_dir, "orders")
         .join(table(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey"))

@@ -6,6 +6,9 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ledgerspark.functions.names import named
 
 # Settings a job should run with. All are runtime settings, none replaces a cluster default that
 # sizes memory or executors.
@@ -56,6 +59,31 @@ def settle(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def store(df: DataFrame, name: str = "stored") -> DataFrame:
+    """Write ``df`` as a Parquet table in the shared folder and read it back.
+
+    For wide or large rows that later steps filter and prune; ``settle`` is for small results.
+    """
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+# A lookup side is broadcast up to this size, measured on its rows.
+BROADCAST_BYTES = 32 * 1024 * 1024
+
+
+def lookup_side(df: DataFrame) -> DataFrame:
+    """The small side of a join, written once and measured: broadcast if it is small enough.
+
+    Otherwise it stays a plain side, and the join shuffles both sides on their keys.
+    """
+    settled = settle(df)
+    text = F.to_json(F.struct(*[named(name) for name in settled.columns]))
+    size = settled.agg(F.coalesce(F.sum(F.octet_length(text)), F.lit(0))).first()[0]
+    return F.broadcast(settled) if size <= BROADCAST_BYTES else settled
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh sub-folder name for a table that a job writes and reads back."""
     return f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"

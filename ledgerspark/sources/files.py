@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ledgerspark.errors import SourceError
 from ledgerspark.functions.values import WHITESPACE
 from ledgerspark.plans.rules import DEFAULT_SHEET
-from ledgerspark.session import settle
+from ledgerspark.session import lookup_side, store
 
 # File types that are read, the prefix of temporary files, the encodings in order.
 SUFFIXES = [".csv", ".xlsx", ".xlsm"]
@@ -73,21 +73,28 @@ def read_grid(
     columns: int,
     multi_line: bool = True,
     numbered: bool = True,
+    encoding: str | None = None,
 ) -> DataFrame:
     """CSV files below ``path`` as a grid with ``columns`` cells per row.
 
     Rows whose cells are all white space are dropped before rows are numbered. ``multi_line``
     allows line breaks inside quotes, at the price of one task per file; turn it off for files that
     are large and free of them. ``numbered=False`` skips the numbering (``row_no`` is NULL).
+    Without ``encoding`` every file is judged by its own bytes, which reads the files once more.
     """
-    require_one_type(file_inventory(spark, path), path)
+    inventory = file_inventory(spark, path)
+    require_one_type(inventory, path)
+    if encoding is None:
+        judged = file_encodings(spark, path)
+    else:
+        judged = inventory.select("path", F.lit(encoding).alias("encoding"))
     by_encoding: dict[str, list[str]] = {}
     # The file list is driver-side in every Spark scan; contents never are.
-    for row in file_encodings(spark, path).toLocalIterator():
+    for row in judged.toLocalIterator():
         by_encoding.setdefault(row["encoding"], []).append(row["path"])
     parts = [
-        _read_csv(spark, paths, encoding, columns, multi_line)
-        for encoding, paths in sorted(by_encoding.items())
+        _read_csv(spark, paths, kind, columns, multi_line)
+        for kind, paths in sorted(by_encoding.items())
     ]
     grid = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
     if not numbered:
@@ -107,7 +114,7 @@ def number_rows(grid: DataFrame) -> DataFrame:
     Rows of one file block are read in order by one task, so the generated id counts them. Blocks
     are then put in order by a window over one row per block.
     """
-    placed = settle(grid.withColumn("seq", F.monotonically_increasing_id()))
+    placed = store(grid.withColumn("seq", F.monotonically_increasing_id()), "numbered")
     blocks = placed.groupBy("source_file", "block").agg(
         F.min("seq").alias("start"), F.count("*").alias("size")
     )
@@ -115,7 +122,7 @@ def number_rows(grid: DataFrame) -> DataFrame:
         "coalesce(sum(size) over (partition by source_file order by block"
         " rows between unbounded preceding and 1 preceding), 0)"
     )
-    offsets = blocks.select("source_file", "block", "start", order.alias("before"))
+    offsets = lookup_side(blocks.select("source_file", "block", "start", order.alias("before")))
     row_no = F.col("seq") - F.col("start") + F.col("before") + 1
     return placed.join(offsets, ["source_file", "block"]).select(
         *_key(), row_no.alias("row_no"), "cells"

@@ -19,6 +19,7 @@ from ledgerspark.functions.names import named
 from ledgerspark.functions.values import blank_to_null, clean_cell
 from ledgerspark.plans.rollup import MISSING_FIELD, SHARED_FIELD, SheetInput, Source
 from ledgerspark.plans.rules import DEFAULT_SHEET, FILE_NAME, Rule, SheetSpec
+from ledgerspark.session import lookup_side
 
 FILE_KEY = ["source_file", "sheet"]
 VIRTUAL = -1
@@ -95,17 +96,24 @@ def sheet_totals(grid: DataFrame) -> DataFrame:
     return grid.groupBy(*FILE_KEY).agg(F.count("*").alias("total_rows"))
 
 
+def named_sheet(grid: DataFrame, spec: SheetSpec) -> DataFrame:
+    """Rows that may belong to a logical sheet; for DEFAULT that is every row."""
+    return grid if spec.sheet == DEFAULT_SHEET else grid.where(F.col("sheet") == spec.sheet)
+
+
+def single_sheet_files(grid: DataFrame) -> DataFrame:
+    """Files with exactly one sheet, the only ones DEFAULT can stand for."""
+    sheets = grid.groupBy("source_file").agg(
+        F.min("sheet").alias("low"), F.max("sheet").alias("high")
+    )
+    return sheets.where("low = high").select("source_file")
+
+
 def pick_sheet(grid: DataFrame, spec: SheetSpec) -> DataFrame:
     """Rows of a logical sheet. For DEFAULT these are the files that have exactly one sheet."""
     if spec.sheet != DEFAULT_SHEET:
-        return grid.where(F.col("sheet") == spec.sheet)
-    single = (
-        grid.groupBy("source_file")
-        .agg(F.min("sheet").alias("low"), F.max("sheet").alias("high"))
-        .where("low = high")
-        .select("source_file")
-    )
-    return grid.join(single, "source_file", "left_semi")
+        return named_sheet(grid, spec)
+    return grid.join(lookup_side(single_sheet_files(grid)), "source_file", "left_semi")
 
 
 def sheet_bounds(grid: DataFrame, spec: SheetSpec) -> DataFrame:
@@ -219,7 +227,7 @@ def data_rows(rows: DataFrame, spec: SheetSpec) -> DataFrame:
     last = sheet_totals(rows).select(
         *FILE_KEY, (F.col("total_rows") + spec.last_row + 1).alias("resolved_last_row")
     )
-    kept = below.join(last, FILE_KEY).where("row_no <= resolved_last_row")
+    kept = below.join(lookup_side(last), FILE_KEY).where("row_no <= resolved_last_row")
     return kept.drop("resolved_last_row")
 
 
@@ -231,7 +239,7 @@ def cell_at(position: Column, cells: Column, stem: Column) -> Column:
 
 def long_cells(rows: DataFrame, header: DataFrame) -> DataFrame:
     """One row per data row and named column."""
-    return rows.join(header, FILE_KEY).select(
+    return rows.join(lookup_side(header), FILE_KEY).select(
         *FILE_KEY,
         "row_no",
         "col_idx",
@@ -316,8 +324,10 @@ def sheet_input(grid: DataFrame, spec: SheetSpec, rules: Sequence[Rule]) -> Shee
     Files where a required column is missing or ambiguous become problems of the input; their rows
     add nothing.
     """
-    rows = pick_sheet(grid, spec)
+    rows = named_sheet(grid, spec)
     header = resolve_header(rows, spec)
+    if spec.sheet == DEFAULT_SHEET:
+        header = header.join(single_sheet_files(grid), "source_file", "left_semi")
     mine = [rule for rule in rules if rule.applies_to(spec.sheet)]
     columns = list(dict.fromkeys((rule.category, rule.field) for rule in mine))
     names: dict[str, list[Rule]] = {}
@@ -326,7 +336,15 @@ def sheet_input(grid: DataFrame, spec: SheetSpec, rules: Sequence[Rule]) -> Shee
             names.setdefault(name, []).append(rule)
     wanted = [matches(*place) for place in columns] + [called(name) for name in names]
     bound = bind_header(header, wanted)
-    joined = data_rows(rows, spec).join(bound, FILE_KEY)
+    if spec.last_row < -1:
+        bound = bound.join(sheet_totals(rows), FILE_KEY)
+    # One row per file: the rows of the grid meet it without being shuffled while it is small.
+    bound = lookup_side(bound)
+    joined = rows.where(F.col("row_no") > spec.anchor_row).join(bound, FILE_KEY)
+    if spec.last_row < -1:
+        joined = joined.where(F.col("row_no") <= F.col("total_rows") + spec.last_row + 1)
+    elif spec.last_row > 0:
+        joined = joined.where(F.col("row_no") <= spec.last_row)
     joined = joined.where(not_blank(F.col("cells"), F.col("named_idx")))
 
     def value(i: int) -> Column:
