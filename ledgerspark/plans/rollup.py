@@ -335,9 +335,15 @@ class _Binding:
         return found
 
     def _number(self, rule: Rule, source: Source) -> _Number:
-        if not isinstance(source.kind, (T.FloatType, T.DoubleType)):
-            return summand(source, rule.optional)
         place = (rule.category, rule.field)
+        if not isinstance(source.kind, T.NumericType):
+            if place not in self._numbers:
+                text = self._keep(values.numeric_text(source.column.cast("string")))
+                number = self._keep(text.try_cast(values.NUMBER), self._second)
+                self._numbers[place] = (text, number)
+            return text_number(*self._numbers[place], rule.optional)
+        if not isinstance(source.kind, (T.FloatType, T.DoubleType)):
+            return whole_number(source, rule.optional)
         if place not in self._numbers:
             value = source.column.cast("double")
             large = self._keep(values.large_number(value))
@@ -392,13 +398,19 @@ class _Number:
     millionths: Column | None = None
 
 
-def summand(source: Source, optional: bool) -> _Number:
-    """What a SUM rule reads from a text, integer or decimal source."""
+def text_number(text: Column, number: Column, optional: bool) -> _Number:
+    """A text cell from its normalized text and the number read from it."""
+    empty = F.coalesce(text == "", F.lit(True))
+    unreadable = ~empty & number.isNull()
+    if not optional:
+        return _Number(number, empty, unreadable)
+    zero = F.lit(0).cast(values.NUMBER)
+    return _Number(F.when(empty, zero).otherwise(number), None, unreadable)
+
+
+def whole_number(source: Source, optional: bool) -> _Number:
+    """An integer or decimal column."""
     column, kind = source.column, source.kind
-    if not isinstance(kind, T.NumericType):
-        text = column.cast("string")
-        empty = None if optional else values.sum_empty(text)
-        return _Number(values.sum_value(text, optional), empty, values.sum_unreadable(text))
     number = column.try_cast(values.NUMBER)
     empty = None if optional else column.isNull()
     if isinstance(kind, T.IntegralType):
