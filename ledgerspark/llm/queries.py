@@ -138,7 +138,7 @@ ORACLE: dict[str, str] = {
             SELECT q.vec_id AS query_id, c.vec_id, CAST(list_dot_product(q.e, c.e) AS BIGINT) AS score
             FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 50 = 0)
         SELECT query_id, CAST(row_number() OVER w AS INTEGER) AS rank, vec_id, score
-        FROM pairs QUALIFY row_number() OVER w <= 5
-        WINDOW w AS (PARTITION BY query_id ORDER BY score DESC, vec_id)
+        FROM pairs WINDOW w AS (PARTITION BY query_id ORDER BY score DESC, vec_id)
+        QUALIFY row_number() OVER w <= 5
     """,
 }
