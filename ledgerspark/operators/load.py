@@ -219,8 +219,14 @@ def upsert(
     """Upsert ``source`` into one period of the table at ``path``; returns the action counts.
 
     The new state of the period is written as a whole and swapped in when the job commits, so a
-    lost executor only repeats tasks. Rows without a source row stay.
+    lost executor only repeats tasks. Rows without a source row stay. Source columns that the target
+    lacks are refused by name: their values would be lost.
     """
+    unknown = sorted(set(source.columns) - set(spark.read.parquet(path).columns))
+    if unknown:
+        raise GateError(f"the target has no columns: {', '.join(unknown)}")
+    # The keys are tested and then matched; a lazy rollup would be computed for each.
+    source = settle(source)
     repeated = duplicate_source_keys(source, keys)
     if not repeated.isEmpty():
         raise ReportError("several source rows share one target key", repeated)

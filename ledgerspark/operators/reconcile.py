@@ -42,12 +42,16 @@ class Comparison:
     joined: DataFrame
     keys: tuple[str, ...]
 
-    def differences(self) -> DataFrame:
-        """One row per key and differing field; a missing record counts as one row."""
+    def differences(self, ordered: bool = False) -> DataFrame:
+        """One row per key and differing field; a missing record counts as one row.
+
+        ``ordered`` sorts the report by key, then field.
+        """
         keys = [named(key) for key in self.keys]
         found = self.joined.where("issue_type is not null")
         items = found.select(*keys, "key_text", "issue_type", F.explode("found").alias("item"))
-        return items.select(*keys, "key_text", "issue_type", "item.*")
+        listed = items.select(*keys, "key_text", "issue_type", "item.*")
+        return listed.orderBy("key_text", "issue_type", "field") if ordered else listed
 
     def summary(self) -> DataFrame:
         """One row: record counts, matched, kind of difference, next action."""
@@ -200,7 +204,9 @@ def _one_per_key(
         (join_form(named(key), kinds[key]) if key in kinds else F.lit(NO_KEY)).alias(f"{side}_k{i}")
         for i, key in enumerate(keys)
     ]
-    rank = named(order) if order else F.col("record")
+    # A record without an order value ranks below all others and never vanishes; ties are settled by
+    # the records themselves, so both sides settle them alike.
+    rank = F.struct(named(order).isNotNull(), named(order), F.col("record")) if order else F.col("record")
     columns = [*key_columns, record.alias("record")] + ([named(order)] if order else [])
     return (
         table.select(*columns)

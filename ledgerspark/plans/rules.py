@@ -23,9 +23,6 @@ DEFAULT_SHEET = "DEFAULT"
 FILE_NAME = "FILE_NAME"
 GROUP, SUM = "GROUP", "SUM"
 
-# No project needs more rules than this; a larger table is a wrong filter, not a bundle.
-MAX_RULES = 10_000
-
 
 @dataclass(frozen=True)
 class Rule:
@@ -185,10 +182,7 @@ def _of_project(table: DataFrame, project: str) -> list:
     chosen = table.where(F.col("project") == project)
     if "rule_no" in table.columns:
         chosen = chosen.orderBy("rule_no")
-    rows = chosen.take(MAX_RULES + 1)
-    if len(rows) > MAX_RULES:
-        raise RuleError(f"project {project} has more than {MAX_RULES} configuration rows")
-    return rows
+    return chosen.collect()
 
 
 def _project(raw: DataFrame) -> Column:

@@ -360,10 +360,16 @@ def encoding_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _intent_sql(word: str) -> str:
+    # Written out on purpose, so that the check does not share the patterns of the code.
+    wordings = [
+        rf"\b(?:do\s+not|don''t|not|no|without)\s+(?:(?:run|execute|perform|call|trigger|do)\s+)?(?:the\s+)?{word}\b",
+        rf"\b{word}\s+(?:(?:was|is|should\s+be)\s+)?not\s+(?:run|executed|performed|called|triggered|done)\b",
+        rf"(?:不要|不|禁止|未)(?:执行|运行|调用|触发|跑|做)?\s*(?:\b{word}\b|上传)",
+        rf"(?:\b{word}\b|上传)\s*不(?:执行|运行|调用|触发|跑|做)?",
+    ]
     cleaned = "lower(text)"
-    for wording in text.NEGATED_WORDINGS:
-        pattern = wording.replace("{w}", word).replace("{c}", "上传").replace("'", "''")
-        cleaned = f"regexp_replace({cleaned}, '{pattern}', ' ', 'gi')"
+    for pattern in wordings:
+        cleaned = f"regexp_replace({cleaned}, '{pattern}', ' ', 'g')"
     return f"""
     SELECT conv_id, turn, regexp_matches(cleaned, '\\b{word}\\b') OR contains(cleaned, '上传') AS asks
     FROM (SELECT conv_id, turn, {cleaned} AS cleaned FROM conversations)"""

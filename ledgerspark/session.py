@@ -20,6 +20,8 @@ RECOMMENDED = {
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
     # Beyond this method size the JVM stops compiling; Spark then uses smaller methods instead.
     "spark.sql.codegen.hugeMethodLimit": "8000",
+    # A JSON object that repeats a key is valid; the last value counts.
+    "spark.sql.variant.allowDuplicateKeys": "true",
     # Lets the CSV reader decode GB18030 files.
     "spark.sql.legacy.javaCharsets": "true",
 }

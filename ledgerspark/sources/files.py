@@ -54,13 +54,18 @@ def sample_file(inventory: DataFrame, seed: str, path: str = "path") -> DataFram
     return inventory.agg(F.min_by(F.col(path), mixed).alias(path))
 
 
+def plain_path() -> Column:
+    """Path of the file a row comes from, as it is spelled on disk; Spark's own is URI-escaped."""
+    return F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B")))
+
+
 def file_encodings(spark: SparkSession, path: str) -> DataFrame:
     """Encoding per file, judged on its raw lines: UTF-8 if every line is, else GB18030."""
     lines = (
         spark.read.option("recursiveFileLookup", "true")
         .option("pathGlobFilter", "*.[cC][sS][vV]")
         .text(path)
-        .select(F.col("_metadata.file_path").alias("path"), F.is_valid_utf8("value").alias("good"))
+        .select(plain_path().alias("path"), F.is_valid_utf8("value").alias("good"))
     )
     verdict = lines.groupBy("path").agg(F.bool_and("good").alias("good"))
     encoding = F.when(F.col("good"), F.lit(UTF8)).otherwise(F.lit(GB18030))
@@ -77,7 +82,9 @@ def read_grid(
 ) -> DataFrame:
     """CSV files below ``path`` as a grid with ``columns`` cells per row.
 
-    Rows whose cells are all white space are dropped before rows are numbered. ``multi_line``
+    A row with more cells than ``columns`` and a file that fits no encoding stop the read by name;
+    nothing is dropped without a word. Rows whose cells are all white space are dropped before rows
+    are numbered. ``multi_line``
     allows line breaks inside quotes, at the price of one task per file; turn it off for files that
     are large and free of them. ``numbered=False`` skips the numbering (``row_no`` is NULL).
     Without ``encoding`` every file is judged by its own bytes, which reads the files once more.
@@ -92,6 +99,8 @@ def read_grid(
     # The file list is driver-side in every Spark scan; contents never are.
     for row in judged.toLocalIterator():
         by_encoding.setdefault(row["encoding"], []).append(row["path"])
+    if not by_encoding:
+        raise SourceError(f"no CSV files were found: {path}")
     parts = [
         _read_csv(spark, paths, kind, columns, multi_line)
         for kind, paths in sorted(by_encoding.items())
@@ -136,8 +145,16 @@ def _key() -> list[Column]:
 def _read_csv(
     spark: SparkSession, paths: list[str], encoding: str, columns: int, multi_line: bool
 ) -> DataFrame:
-    names = [f"c{i}" for i in range(columns)]
-    cells = F.array(*names)
+    names = [f"c{i}" for i in range(columns + 1)]
+    file = F.col("_metadata.file_path")
+    # The one column more than asked for shows rows that are wider.
+    too_wide = F.raise_error(F.concat(F.lit(f"a row has more than {columns} cells: "), file))
+    cells = F.when(F.col(names[-1]).isNotNull(), too_wide.cast("array<string>")).otherwise(F.array(*names[:-1]))
+    if encoding == GB18030:
+        # The last encoding that is tried leaves replacement characters where it does not fit.
+        broken = F.exists(F.array(*names), lambda cell: F.coalesce(cell.contains(REPLACEMENT), F.lit(False)))
+        unknown = F.raise_error(F.concat(F.lit("the file fits no encoding: "), file))
+        cells = F.when(broken, unknown.cast("array<string>")).otherwise(cells)
     filled = F.exists(
         cells, lambda cell: F.coalesce(F.btrim(cell, F.lit(WHITESPACE)) != "", F.lit(False))
     )
@@ -150,7 +167,7 @@ def _read_csv(
         .option("maxColumns", str(max(columns, 20480)))
         .csv(paths)
         .select(
-            F.col("_metadata.file_path").alias("source_file"),
+            plain_path().alias("source_file"),
             F.col("_metadata.file_block_start").alias("block"),
             cells.alias("cells"),
         )

@@ -218,3 +218,14 @@ def test_join_keys_are_plain_columns(spark):
     plan = found.joined._jdf.queryExecution().executedPlan().toString()
     assert "NestedLoop" not in plan and "Cartesian" not in plan
     assert plan.count("Exchange") == 2
+
+
+def test_order_that_is_null_or_tied_never_hides_a_mismatch(spark):
+    from ledgerspark.operators import reconcile
+
+    schema = "id string, v string, at int"
+    for one, two in (([("a", "1", None)], [("a", "2", None)]), ([("a", "1", 5), ("a", "2", 5)], [("a", "1", 5)])):
+        left, right = spark.createDataFrame(one, schema), spark.createDataFrame(two, schema)
+        compared = reconcile.compare(left, right, keys=["id"], order="at")
+        assert compared.summary().first()["matched"] is False
+        assert compared.differences(ordered=True).count() == 1

@@ -215,3 +215,35 @@ def test_header_is_found_in_one_pass(spark):
     assert [bound["n0"], bound["n1"], bound["n2"]] == [1, 1, 0]
     assert [bound["x0"], bound["x1"], bound["x2"]] == [0, 1, None]
     assert grid.select(F.size("cells")).first()[0] == 2
+
+
+def test_wide_rows_broken_files_and_odd_names(spark, tmp_path):
+    import pytest
+
+    from ledgerspark.errors import SourceError
+    from ledgerspark.sources import files
+
+    def folder(name, data):
+        (tmp_path / name).mkdir()
+        for file, content in data.items():
+            (tmp_path / name / file).write_bytes(content)
+        return str(tmp_path / name)
+
+    named = folder("named", {"门店 1+2.csv": b"a,b\n1,2\n"})
+    found = files.read_grid(spark, named, columns=2).select("source_file").distinct().collect()
+    assert len(found) == 1 and found[0][0].endswith("/门店 1+2.csv")
+    wide = folder("wide", {"a.csv": b"1,2,3,9\n"})
+    with pytest.raises(Exception, match="more than 2 cells"):
+        files.read_grid(spark, wide, columns=2).collect()
+    broken = folder("broken", {"a.csv": b"\xff\xff\xfe,2\n"})
+    with pytest.raises(Exception, match="fits no encoding"):
+        files.read_grid(spark, broken, columns=2).collect()
+    with pytest.raises(SourceError):
+        files.read_grid(spark, folder("books", {"a.xlsx": b"x"}), columns=2)
+
+
+def test_repeated_keys_are_valid_json(spark):
+    from ledgerspark.sources import jsonl
+
+    lines = spark.createDataFrame([('{"type":"a","type":"b"}',), ("{bad",)], "raw string")
+    assert [r["raw"] for r in jsonl.good_lines(lines).collect()] == ['{"type":"a","type":"b"}']
