@@ -59,15 +59,8 @@ def _share(raw: np.ndarray) -> np.ndarray:
 class Linear:
     """Logistic regression on words and a few probabilities, by mini-batch gradients."""
 
-    def __init__(self, extra: int):
-        self.keys, self.words, self.extra, self.bias = np.empty(0, np.int64), np.zeros(1), np.zeros(extra), 0.0
-
-    def places(self, keys: np.ndarray) -> np.ndarray:
-        """Index of each word's weight; words without one share the last, which is 0."""
-        if not len(self.keys):
-            return np.zeros(len(keys), np.int64)
-        at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
-        return np.where(self.keys[at] == keys, at, len(self.keys))
+    def __init__(self, size: int, extra: int):
+        self.words, self.extra, self.bias = np.zeros(size), np.zeros(extra), 0.0
 
     def raw(self, at: np.ndarray, row: np.ndarray, n: int, before: np.ndarray) -> np.ndarray:
         return np.bincount(row, weights=self.words[at], minlength=n) + before @ self.extra + self.bias
@@ -78,10 +71,6 @@ class Linear:
         self.bias = float(np.log((share * len(label) + 0.5) / ((1 - share) * len(label) + 0.5)))
         if share in (0.0, 1.0) or not len(label):
             return self
-        found, docs = np.unique(np.concatenate(lists), return_counts=True)
-        self.keys = found[docs >= MIN_DOCS]
-        self.words = np.zeros(len(self.keys) + 1)
-        lists = [p[p < len(self.keys)] for p in map(self.places, lists)]
         sizes = np.array([len(x) for x in lists])
         seen_words, seen_rest = np.full(len(self.words), 1e-2), np.full(before.shape[1] + 1, 1e-2)
         drawn = np.random.default_rng(0)
@@ -105,30 +94,37 @@ class Linear:
 
     def probability(self, lists: list[np.ndarray], before: np.ndarray) -> np.ndarray:
         row = np.repeat(np.arange(len(lists)), [len(x) for x in lists])
-        at = self.places(np.concatenate(lists) if lists else np.empty(0, np.int64))
+        at = np.concatenate(lists) if lists else np.empty(0, np.int32)
         return _share(self.raw(at, row, len(lists), before))
 
 
+def places(vocabulary: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """Index of each key in the sorted vocabulary; keys outside share the index behind the last."""
+    if not len(vocabulary):
+        return np.zeros(len(keys), np.int64)
+    at = np.minimum(np.searchsorted(vocabulary, keys), len(vocabulary) - 1)
+    return np.where(vocabulary[at] == keys, at, len(vocabulary))
+
+
 def _lists(column: pd.Series) -> list[np.ndarray]:
-    return [np.frombuffer(x, np.int64) for x in column]
+    return [np.frombuffer(x, np.int32) for x in column]
 
 
 def _before(rows: pd.DataFrame) -> np.ndarray:
     return np.array(rows["before"].tolist(), np.float64).reshape(len(rows), -1)
 
 
-def _trainer(place: int):
+def _trainer(place: int, size: int):
     """A function that fits one model of the category at ``place`` to its rows."""
 
     def train(part: pd.DataFrame) -> pd.DataFrame:
         part = part.sort_values(["key", "words"])
         label = np.array([x[place] for x in part["labels"]])
         before = _before(part)
-        model = Linear(before.shape[1]).fit(_lists(part["words"]), before, label)
+        model = Linear(size, before.shape[1]).fit(_lists(part["words"]), before, label)
         return pd.DataFrame(
             {
                 "model": [part["model"].iloc[0]],
-                "keys": [model.keys.tobytes()],
                 "weights": [model.words.tobytes()],
                 "extra": [model.extra.tobytes()],
                 "bias": [model.bias],
@@ -141,8 +137,8 @@ def _trainer(place: int):
 def fit_chain(
     docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text",
     sample: int = SAMPLE, folds: int = FOLDS,
-) -> list[tuple[str, Linear]]:
-    """One model per category, fitted on about ``sample`` labelled documents drawn by a hash.
+) -> tuple[np.ndarray, list[tuple[str, Linear]]]:
+    """The vocabulary and one model per category, fitted on about ``sample`` labelled documents drawn by a hash.
 
     Labels that are NULL take no part; a document labelled more than once counts with its worst
     labels. A category of which only one class was seen gives its share. Without labels every
@@ -184,6 +180,19 @@ def fit_chain(
         ),
         "labelled",
     )
+    vocabulary = _vocabulary(rows)
+    size = len(vocabulary) + 1
+    sorted_keys = sent(spark, vocabulary)
+
+    def numbered(batches):
+        keys = sorted_keys()
+        for batch in batches:
+            found = [places(keys, np.frombuffer(x, np.int64)) for x in batch.column("words").to_pylist()]
+            short = pa.array([x[x < len(keys)].astype(np.int32).tobytes() for x in found], pa.binary())
+            at = batch.schema.get_field_index("words")
+            yield pa.RecordBatch.from_arrays([*batch.columns[:at], short, *batch.columns[at + 1 :]], names=batch.schema.names)
+
+    rows = store(rows.mapInArrow(numbered, rows.schema), "labelled")
     chain = []
     for place, (name, _) in enumerate(CATEGORIES):
         last = place + 1 == len(CATEGORIES)
@@ -194,13 +203,13 @@ def fit_chain(
         )
         fitted = {}
         for row in rows.withColumn("model", models).repartition(folds + 1, "model").groupBy("model").applyInPandas(
-            _trainer(place), "model int, keys binary, weights binary, extra binary, bias double"
+            _trainer(place, size), "model int, weights binary, extra binary, bias double"
         ).toLocalIterator():
-            model = Linear(len(row["extra"]) // 8)
-            model.keys, model.words = np.frombuffer(row["keys"], np.int64), np.frombuffer(row["weights"])
+            model = Linear(0, 0)
+            model.words = np.frombuffer(row["weights"])
             model.extra, model.bias = np.frombuffer(row["extra"]), row["bias"]
             fitted[row["model"]] = model
-        chain.append((name, fitted.get(-1, Linear(place))))
+        chain.append((name, fitted.get(-1, Linear(size, place))))
         if last:
             break
         shared = sent(spark, fitted)
@@ -211,13 +220,26 @@ def fit_chain(
                 p = np.empty(len(part))
                 for fold in part["fold"].unique():
                     mine = (part["fold"] == fold).to_numpy()
-                    model = models.get(fold, Linear(place))
+                    model = models.get(fold, Linear(size, place))
                     p[mine] = model.probability(_lists(part["words"][mine]), _before(part[mine]))
                 part["before"] = [[*b, x] for b, x in zip(part["before"], p.tolist(), strict=True)]
                 yield part
 
         rows = store(rows.mapInPandas(predicted, rows.schema), "labelled")
-    return chain
+    return vocabulary, chain
+
+
+def _vocabulary(rows: DataFrame) -> np.ndarray:
+    """Keys that are common enough in the sample, sorted; counted where the rows are."""
+
+    def counted(batches):
+        for batch in batches:
+            keys = np.frombuffer(b"".join(batch.column(0).to_pylist()), np.int64)
+            found, n = np.unique(keys, return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(n)], names=["word", "n"])
+
+    sums = rows.select("words").mapInArrow(counted, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    return np.sort(sums.where(F.col("n") >= MIN_DOCS).select("word").toArrow().column(0).to_numpy())
 
 
 def toxicity(
@@ -231,16 +253,8 @@ def toxicity(
     none. The added columns are inside one struct ``_tox``, the only name that ``docs`` may not use.
     """
     names = docs.columns if keep is None else keep
-    chain = fit_chain(docs, labels, doc_id, text, sample)
-    # One table of all words that have a weight, and a last place for all others.
-    everything = Linear(0)
-    everything.keys = np.unique(np.concatenate([m.keys for _, m in chain]))
-    aligned = [m.words[m.places(np.append(everything.keys, 0))] for _, m in chain]
-    for weights in aligned:
-        weights[-1] = 0.0
-    shared = sent(
-        docs.sparkSession, (everything, [(w, m.extra, m.bias) for w, (_, m) in zip(aligned, chain, strict=True)])
-    )
+    vocabulary, chain = fit_chain(docs, labels, doc_id, text, sample)
+    shared = sent(docs.sparkSession, (vocabulary, [(m.words, m.extra, m.bias) for _, m in chain]))
     with_batches(docs.sparkSession)
     rows = docs.select(*[F.col(c) for c in names], text_or_empty(text).alias("_tox"))
     scores = pa.struct([(name, pa.float64()) for name, _ in chain])
@@ -248,7 +262,7 @@ def toxicity(
 
     def run(batches):
         known: dict[bytes, int] = {}
-        model, tables = shared()
+        vocabulary, tables = shared()
         # Per category, what each word that was met adds up to.
         added = [np.empty(0) for _ in tables]
         for batch in batches:
@@ -259,9 +273,9 @@ def toxicity(
             new = list(set().union(*sets).difference(known))
             keys = list(map(word_keys, new))
             owner = np.repeat(np.arange(len(new)), list(map(len, keys))).astype(np.int64)
-            places = model.places(np.array([k for own in keys for k in own], np.int64))
+            at = places(vocabulary, np.array([k for own in keys for k in own], np.int64))
             added = [
-                np.append(sums, np.bincount(owner, weights=weights[places], minlength=len(new)))
+                np.append(sums, np.bincount(owner, weights=weights[at], minlength=len(new)))
                 for sums, (weights, _, _) in zip(added, tables, strict=True)
             ]
             known.update(zip(new, range(len(known), len(known) + len(new)), strict=True))
