@@ -7,7 +7,11 @@ Two ways to write a condition:
 
 The Python form keeps the value and the failure of every term side by side, so a row whose
 condition cannot be decided is reported and never counted as false. The text form is resolved by
-Spark itself; there a NULL outcome is the failure.
+Spark itself; there a NULL outcome is the failure. It may hold fields in back-ticks, the period,
+the helpers, literals and plain operators, nothing else.
+
+A text and a number are never equal, and comparing them by order or calculating with them is a
+failure of the row, as in Python.
 """
 
 from __future__ import annotations
@@ -15,6 +19,7 @@ from __future__ import annotations
 import re
 from collections.abc import Callable
 from dataclasses import dataclass
+from decimal import Decimal
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -32,10 +37,20 @@ CODE_FUNCTION = "condition_function_not_allowed"
 CODE_FIELD_CALL = "condition_invalid_f_call"
 CODE_UNRESOLVED = "condition_identifier_unresolved"
 CODE_RUNTIME = "condition_runtime_error"
+CODE_SYNTAX = "condition_ast_not_allowed"
 
 FIELD_IN_TEXT = r"`([^`]*)`"
 PERIOD_NAME = "current_period"
 
+# Words that may stand bare in a condition text.
+PLAIN_WORDS = {"and", "or", "not", "in", "is", "null", "true", "false", PERIOD_NAME}
+# Pieces of a condition text. Comments come before signs, so none can hide a quote.
+_PIECE = re.compile(
+    r"""(?P<literal>'(?:\\.|[^'\\])*'|"(?:\\.|[^"\\])*"|(?:\d+\.?\d*|\.\d+)(?:[eE][+-]?\d+)?)
+    |(?P<field>`[^`]*`)|(?P<comment>--|/\*)|(?P<word>[^\W\d]\w*)(?P<call>\s*\()?
+    |(?P<sign>[=<>!+\-*/%(),]|\s)|(?P<other>.)""",
+    re.DOTALL | re.VERBOSE,
+)
 
 
 @dataclass(frozen=True, eq=False)
@@ -46,9 +61,15 @@ class Term:
     bad: Column | None = None
     kind: T.DataType | None = None
 
-    def _pair(self, other: object, make: Callable[[Column, Column], Column], strict: bool) -> Term:
+    def _pair(
+        self, other: object, make: Callable[[Column, Column], Column], strict: bool, unlike: bool = False, kind: str = "double"
+    ) -> Term:
         that = as_term(other)
         bad = either(self.bad, that.bad)
+        if mixed(self.kind, that.kind):
+            if strict:
+                return Term(F.lit(None).cast(kind), F.lit(True))
+            return Term(F.lit(unlike), bad)
         if strict:
             bad = either(bad, self.value.isNull() | that.value.isNull())
         return Term(make(self.value, that.value), bad)
@@ -57,19 +78,19 @@ class Term:
         return self._pair(other, lambda a, b: a.eqNullSafe(b), strict=False)
 
     def __ne__(self, other: object) -> Term:  # type: ignore[override]
-        return self._pair(other, lambda a, b: ~a.eqNullSafe(b), strict=False)
+        return self._pair(other, lambda a, b: ~a.eqNullSafe(b), strict=False, unlike=True)
 
     def __lt__(self, other: object) -> Term:
-        return self._pair(other, lambda a, b: a < b, strict=True)
+        return self._pair(other, lambda a, b: a < b, strict=True, kind="boolean")
 
     def __le__(self, other: object) -> Term:
-        return self._pair(other, lambda a, b: a <= b, strict=True)
+        return self._pair(other, lambda a, b: a <= b, strict=True, kind="boolean")
 
     def __gt__(self, other: object) -> Term:
-        return self._pair(other, lambda a, b: a > b, strict=True)
+        return self._pair(other, lambda a, b: a > b, strict=True, kind="boolean")
 
     def __ge__(self, other: object) -> Term:
-        return self._pair(other, lambda a, b: a >= b, strict=True)
+        return self._pair(other, lambda a, b: a >= b, strict=True, kind="boolean")
 
     def __add__(self, other: object) -> Term:
         return self._pair(other, F.try_add, strict=True)
@@ -102,7 +123,7 @@ class Term:
 
     def isin(self, *options: object) -> Term:
         listed = options[0] if len(options) == 1 and isinstance(options[0], (list, tuple, set)) else options
-        known = [item for item in listed if item is not None]
+        known = [item for item in listed if item is not None and not mixed(self.kind, as_term(item).kind)]
         hit = F.coalesce(self.value.isin(known), F.lit(False)) if known else F.lit(False)
         if None in listed:
             hit = hit | self.value.isNull()
@@ -133,7 +154,17 @@ def as_term(item: object) -> Term:
         return item
     if isinstance(item, Column):
         return Term(item)
-    return Term(F.lit(item))
+    if isinstance(item, str):
+        return Term(F.lit(item), kind=T.StringType())
+    is_number = isinstance(item, (int, float, Decimal)) and not isinstance(item, bool)
+    return Term(F.lit(item), kind=T.DoubleType() if is_number else None)
+
+
+def mixed(left: T.DataType | None, right: T.DataType | None) -> bool:
+    """Whether one side is known to be a text and the other a number."""
+    return any(
+        isinstance(a, T.StringType) and isinstance(b, T.NumericType) for a, b in ((left, right), (right, left))
+    )
 
 
 def either(left: Column | None, right: Column | None) -> Column | None:
@@ -147,7 +178,7 @@ class Fields:
 
     def __init__(self, lookup: Callable[[str], Term], period: str) -> None:
         self._lookup = lookup
-        self.current_period = Term(F.lit(period))
+        self.current_period = Term(F.lit(period), kind=T.StringType())
 
     def __call__(self, name: str) -> Term:
         if not isinstance(name, str) or not name.strip():
@@ -226,6 +257,7 @@ def build(condition: Condition | None, lookup: Callable[[str], Term], period: st
     _refuse_placeholder(condition)
     for name in referenced_names(condition):
         lookup(name)
+    refuse_unlisted(condition)
     outcome = F.expr(condition)
     return Term(outcome, outcome.isNull())
 
@@ -247,6 +279,22 @@ def check_text(frame: DataFrame, condition: str) -> None:
         raise ConditionError(CODE_RUNTIME, "the condition does not give a truth value")
 
 
+def refuse_unlisted(condition: str) -> None:
+    """Refuse what a condition text may not hold: other functions, bare names, queries, comments.
+
+    Rule tables are data from outside, and Spark SQL can call any method of the JVM.
+    """
+    for piece in _PIECE.finditer(condition):
+        if piece["comment"] or piece["other"]:
+            raise ConditionError(CODE_SYNTAX, f"the condition may not hold {piece[0]!r}")
+        word = (piece["word"] or "").lower()
+        if not word or word in PLAIN_WORDS or (piece["call"] and word in HELPER_NAMES):
+            continue
+        if piece["call"]:
+            raise ConditionError(CODE_FUNCTION, f"the condition calls {word}, which is no helper")
+        raise ConditionError(CODE_SYNTAX, f"the condition may not hold {word}; fields stand in back-ticks")
+
+
 def _refuse_placeholder(condition: str) -> None:
     if condition.strip().upper() in PLACEHOLDERS:
         raise ConditionError(CODE_PLACEHOLDER, "the condition is still a placeholder")
@@ -277,6 +325,9 @@ _HELPERS = {
 }
 
 
+HELPER_NAMES = {head.partition("(")[0] for head in _HELPERS}
+
+
 def install_sql_helpers(spark: SparkSession) -> list[str]:
     """Make the helpers callable from condition text in this session; returns their names."""
     for head, body in _HELPERS.items():

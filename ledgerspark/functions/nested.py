@@ -15,9 +15,6 @@ TRUE_WORDS = ["true", "1", "yes", "y"]
 # Keys that may hold the text of a configuration value, best first.
 TEXT_KEYS = ["text", "name", "value"]
 
-# Lists and objects that may be nested around a scalar.
-WRAPPER_DEPTH = 4
-
 # Alias names of the token counters in usage objects, best first.
 TOKEN_ALIASES = {
     "input": ["inputTokens", "prompt_tokens", "input_tokens"],
@@ -37,11 +34,15 @@ def unwrap(raw: Column) -> Column:
     A list of one element stands for the element, ``text`` wins over ``value``, an empty list is
     NULL. Lists of several elements and objects without these keys stay JSON text.
     """
-    start = F.struct(raw.alias("text"), F.lit(False).alias("done"))
-    layers = start
-    for _ in range(WRAPPER_DEPTH):
-        layers = once(layers, _peel)
-    return layers["text"]
+    # A NULL may turn up on the way, so the state has to be nullable from the start.
+    text = F.when(raw.isNotNull(), raw.cast("string"))
+    start = F.struct(text.alias("text"), F.lit(False).alias("done"))
+    return F.aggregate(_layers(raw), start, lambda state, _: _peel(state))["text"]
+
+
+def _layers(raw: Column) -> Column:
+    """One item per opening bracket, one at least: no value is nested deeper than that."""
+    return F.sequence(F.lit(1), F.greatest(F.regexp_count(raw, F.lit(r"[\[{]")), F.lit(1)))
 
 
 def _peel(state: Column) -> Column:
@@ -91,9 +92,14 @@ def first_text(raw: Column) -> Column:
     Wrappers are opened layer by layer into a list of candidates that stay in order; an object
     without any text is a candidate itself, behind its own parts.
     """
-    found = F.array(F.struct(raw.alias("text"), F.lit(False).alias("done")))
-    for _ in range(WRAPPER_DEPTH):
-        found = F.flatten(F.transform(found, _open_up))
+    text = F.when(raw.isNotNull(), raw.cast("string"))
+    start = F.array(F.struct(text.alias("text"), F.lit(False).alias("done")))
+
+    def opened(found: Column, _: Column) -> Column:
+        final = F.forall(found, lambda item: item["done"])
+        return F.when(final, found).otherwise(F.flatten(F.transform(found, _open_up)))
+
+    found = F.aggregate(_layers(raw), start, opened)
     texts = F.transform(found, lambda item: blank_to_null(item["text"]))
     return F.try_element_at(F.array_compact(texts), F.lit(1))
 

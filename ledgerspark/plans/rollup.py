@@ -283,13 +283,17 @@ class _Binding:
 
     def prepared(self) -> DataFrame:
         """The sheet with the period, all conditions and all split numbers as columns."""
-        frame = self.given.frame
-        if conditions.PERIOD_NAME not in frame.columns:
-            frame = frame.withColumn(conditions.PERIOD_NAME, F.lit(self.period))
+        frame = self._with_period()
         for layer in (self._first, self._second):
             frame = frame.withColumns(layer) if layer else frame
         return frame
 
+    def _with_period(self) -> DataFrame:
+        frame = self.given.frame
+        if conditions.PERIOD_NAME in frame.columns:
+            return frame
+        return frame.withColumn(conditions.PERIOD_NAME, F.lit(self.period))
+
     def group(self, rule: Rule) -> Column | None:
         source = self._one(rule)
         return None if source is None else group_text(source)
@@ -302,6 +306,8 @@ class _Binding:
         applies = source.present
         try:
             term = conditions.build(rule.condition, self._lookup, self.period)
+            if term is not None and isinstance(rule.condition, str):
+                conditions.check_text(self._with_period(), rule.condition)
         except ConditionError as error:
             self._notes.append((error.field or rule.field, str(error)))
             return nothing
@@ -414,6 +420,9 @@ def whole_number(source: Source, optional: bool) -> _Number:
     number = column.try_cast(values.NUMBER)
     empty = None if optional else column.isNull()
     if isinstance(kind, T.IntegralType):
+        if isinstance(kind, T.LongType):
+            # Two cells can already exceed a bigint sum; decimals hold 32 digits.
+            return _Number(number, empty, None)
         return _Number(number, empty, None, column.cast("bigint"), F.lit(0).cast("bigint"))
     return _Number(number, empty, column.isNotNull() & number.isNull())
 

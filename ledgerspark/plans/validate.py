@@ -200,6 +200,7 @@ def _check_syntax(grid: DataFrame, condition: str) -> None:
         f"{quoted(name)} string" for name in [*names, conditions.PERIOD_NAME]
     )
     conditions.check_text(grid.sparkSession.createDataFrame([], columns), condition)
+    conditions.refuse_unlisted(condition)
 
 
 def source_checks(grid: DataFrame, bundle: RuleBundle) -> DataFrame:

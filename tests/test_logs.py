@@ -199,3 +199,10 @@ def test_evidence_and_selection(spark):
     declared = spark.createDataFrame([("g",), ("h",)], "grader string")
     unknown = grading.unknown_graders(declared, declared.where("grader = 'g'")).collect()
     assert [r["grader"] for r in unknown] == ["h"]
+
+
+def test_lines_with_a_repeated_key_are_good(spark):
+    from ledgerspark.sources.jsonl import good_lines
+
+    lines = spark.createDataFrame([('{"type":"a","type":"message"}',), ('{"type":',)], "raw string")
+    assert [row["raw"] for row in good_lines(lines).collect()] == ['{"type":"a","type":"message"}']

@@ -52,6 +52,9 @@ PLACES = {"rmb": ("实收组成", "人民币")}
         (lambda f: f("empty") == "x", "202605", False),
         (lambda f: f("empty") != "x", "202605", True),
         (lambda f: f("empty").isin("x", "y"), "202605", False),
+        (lambda f: f("bad") == 5, "202605", False),
+        (lambda f: f("bad") != 5, "202605", True),
+        (lambda f: f("bad").isin(5, 6), "202605", False),
         (lambda f: f("empty").isin("x", None), "202605", True),
         (lambda f: ~f.is_blank(f("empty")), "202605", False),
         (lambda f: f.as_number(f("金额")) % 5 == 2.5, "202605", True),
@@ -59,7 +62,7 @@ PLACES = {"rmb": ("实收组成", "人民币")}
         (lambda f: (f("订单类型") == "索赔单") | (f.as_number(f("bad")) > 1), "202605", True),
         ("`订单类型` <=> '索赔单'", "202605", True),
         ("period_of(`结算时间`) = shift_period(current_period, 1)", "202602", True),
-        ("`订单类型` <> '索赔单' and as_number(bad) > 1", "202605", False),
+        ("`订单类型` <> '索赔单' and as_number(`bad`) > 1", "202605", False),
     ],
 )
 def test_conditions(one_row, condition, period, expected):
@@ -78,6 +81,8 @@ def test_conditions(one_row, condition, period, expected):
         lambda f: f.as_number(f("empty")) > 1,
         lambda f: f.as_number(f("金额")) / 0 > 1,
         lambda f: (f("订单类型") == "索赔单") & (f.as_number(f("bad")) > 1),
+        lambda f: f("bad") > 1,
+        lambda f: f("金额") + 1 > 0,
         "`empty` = 'x'",
         "as_number(`bad`) > 1",
     ],
@@ -97,6 +102,14 @@ def test_conditions_that_cannot_be_decided(one_row, condition):
         ("`不存在字段` = 'foo'", conditions.CODE_UNRESOLVED),
         (lambda f: f("金额") == "1" and f("金额") == "2", conditions.CODE_PARSE),
         (lambda f: True, conditions.CODE_PARSE),
+        ("reflect('java.lang.Math', 'abs', 1) = '1'", conditions.CODE_FUNCTION),
+        ("rand() < 0.5", conditions.CODE_FUNCTION),
+        ("`金额` = '1' or /*'*/ rand() < 1 /*'*/", conditions.CODE_SYNTAX),
+        ("`金额` = '1' --'", conditions.CODE_SYNTAX),
+        ("金额 <=> '1'", conditions.CODE_SYNTAX),
+        ("exists (select 1)", conditions.CODE_FUNCTION),
+        ("`金额` in (select 1)", conditions.CODE_SYNTAX),
+        (r"`金额` = r'\' or rand() < 1 or ''", conditions.CODE_SYNTAX),
     ],
 )
 def test_broken_conditions(one_row, condition, code):
@@ -269,6 +282,16 @@ def test_row_order_and_partitions_do_not_matter(spark):
     assert results[0] == results[1]
 
 
+def test_large_integers_add_up(spark):
+    rows = spark.createDataFrame([("a", 9 * 10**18)] * 3, "k string, v bigint")
+    assert int(roll(rows, group("k"), total("v")).release().first()["v"]) == 27 * 10**18
+
+
+def test_text_condition_without_truth_value(one_row):
+    issues = roll(one_row, total("金额", condition="as_number(`金额`)")).issues().collect()
+    assert [row["message"] for row in issues] == ["the condition does not give a truth value"]
+
+
 def test_one_aggregate_reads_the_source_once(spark):
     rows = spark.range(10).select(F.col("id").cast("string").alias("k"), F.col("id").alias("v"))
     rules = [group("k")] + [

@@ -96,6 +96,9 @@ def test_unwrap(spark):
         '["x","y"]': '["x","y"]',
         '{"value":{"text":"[1]"}}': "[1]",
         '[{"value":[{"text":"deep"}]}]': "deep",
+        '[[[[[[{"text":"six"}]]]]]]': "six",
+        '{"value":[{"value":[{"value":[{"value":[{"text":"eight"}]}]}]}]}': "eight",
+        "[" * 40 + "7" + "]" * 40: "7",
         '{"a":1}': '{"a":1}',
         "[已结算]": "[已结算]",
     }
@@ -110,6 +113,8 @@ def test_first_text(spark):
         '["", "y"]': "y",
         '{"name":"n"}': "n",
         '{"text":" ","value":"v"}': "v",
+        '[[[[[[{"text":"six"}]]]]]]': "six",
+        '[{"value":[{"value":[{"value":[{"name":"n"}]}]}]}]': "n",
         "[]": None,
     }
     assert each(spark, list(cells), nested.first_text) == list(cells.values())
