@@ -610,3 +610,24 @@ def file_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
         )
     )
     return files.supported_files(listed).select("path")
+
+
+@query(
+    """
+    WITH listed AS (SELECT 'bills/' || p_brand || '/' || p_partkey || '.csv' AS path FROM part)
+    SELECT seed, arg_min(path, sha256(seed || path)) AS path
+    FROM listed, (VALUES ('preview'), ('check'), ('')) AS seeds(seed) GROUP BY seed"""
+)
+def sample_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The representative file of a listing, for three seeds."""
+    listed = files.supported_files(
+        table(spark, sf_dir, "part").select(
+            F.concat(F.lit("bills/"), "p_brand", F.lit("/"), F.col("p_partkey").cast("string"), F.lit(".csv")).alias(
+                "path"
+            )
+        )
+    )
+    picks = [
+        files.sample_file(listed, seed).select(F.lit(seed).alias("seed"), "path") for seed in ("preview", "check", "")
+    ]
+    return picks[0].unionByName(picks[1]).unionByName(picks[2])

@@ -50,7 +50,7 @@ def require_one_type(inventory: DataFrame, path: str = "") -> str:
 
 def sample_file(inventory: DataFrame, seed: str, path: str = "path") -> DataFrame:
     """One representative file; the same seed picks the same file."""
-    mixed = F.xxhash64(F.lit(seed), F.col(path))
+    mixed = F.sha2(F.concat(F.lit(seed), F.col(path)).cast("binary"), 256)
     return inventory.agg(F.min_by(F.col(path), mixed).alias(path))
 
 
