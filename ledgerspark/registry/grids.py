@@ -571,23 +571,45 @@ def csv_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@query("SELECT 8 AS files, count(*) AS rows FROM orders")
+@query("SELECT 8 AS files, count(*) AS rows, count(*) AS exact FROM orders")
 def csv_row_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Row numbers of CSV files count up from 1 without gaps, in the order of the file."""
+    """Row numbers of CSV files are the places at which the writing tasks put the rows."""
     orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus")
     path = scratch_path(spark, "numbered")
-    orders.repartition(8, "o_orderkey").sortWithinPartitions("o_orderkey").write.csv(path)
-    grid = files.read_grid(spark, path, columns=2, multi_line=False)
-    key = F.col("cells")[0].cast("bigint")
-    per_file = grid.groupBy("source_file").agg(
-        F.count("*").alias("n"),
-        F.min("row_no").alias("low"),
-        F.max("row_no").alias("high"),
-        F.countDistinct("row_no").alias("numbers"),
-        F.corr("row_no", key).alias("order"),
+    # One task writes one file; the lower 33 bits of the id count the rows of a task from 0.
+    place = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)) + 1
+    orders.repartition(8, "o_orderkey").sortWithinPartitions("o_orderkey").select(
+        "o_orderkey", "o_orderstatus", place
+    ).write.csv(path)
+    grid = files.read_grid(spark, path, columns=3, multi_line=False)
+    return grid.agg(
+        F.countDistinct("source_file").alias("files"),
+        F.count("*").alias("rows"),
+        F.count_if(F.col("row_no") == F.col("cells")[2].cast("bigint")).alias("exact"),
+    )
+
+
+@query(
+    """
+    SELECT CAST(o_orderkey AS VARCHAR) AS order_key, '门店单据 ' || o_orderkey AS note,
+        CASE WHEN o_orderkey % 2 = 0 THEN 'UTF-8' ELSE 'GB18030' END AS encoding
+    FROM orders"""
+)
+def csv_encodings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each file is read in the encoding that its bytes fit, whatever its folder is called."""
+    key = F.col("o_orderkey")
+    lines = table(spark, sf_dir, "orders").select(
+        key.cast("string"), F.concat(F.lit("门店单据 "), key.cast("string")), (key % 2 == 0).alias("even")
+    )
+    path = scratch_path(spark, "bills")
+    for even, encoding, folder in ((True, files.UTF8, "门店 1"), (False, files.GB18030, "门店+2")):
+        part = lines.where(F.col("even") == even).drop("even")
+        part.write.option("encoding", encoding).csv(f"{path}/{folder}")
+    judged = files.file_encodings(spark, path).select(F.col("path").alias("source_file"), "encoding")
+    grid = files.read_grid(spark, path, columns=2, multi_line=False, numbered=False)
+    return grid.join(judged, "source_file").select(
+        F.col("cells")[0].alias("order_key"), F.col("cells")[1].alias("note"), "encoding"
     )
-    good = per_file.where("low = 1 and high = n and numbers = n and order > 0.9")
-    return good.agg(F.count("*").alias("files"), F.coalesce(F.sum("n"), F.lit(0)).alias("rows"))
 
 
 @query(
