@@ -11,7 +11,7 @@ import public_tokenizers
 import pytest
 import xxhash
 
-from ledgerspark.llm import exact, maxent, mixing, pieces, private, simhash, tokens, topk, toxicity, urls
+from ledgerspark.llm import exact, maxent, mixing, overlap, pieces, private, simhash, tokens, topk, toxicity, urls
 from ledgerspark.llm.common import only_staying
 
 WHITE = re.compile(r"[\x20\x09-\x0D]+")
@@ -308,3 +308,56 @@ def test_pipeline_stages_chain(spark):
         after = stage(spark, docs, sf_dir)
         assert after.columns == docs.columns
     assert corpus_pipeline.run(spark, sf_dir).count() > 0
+
+
+def brute_near_copies(rows):
+    """For each of ``(doc_id, text)`` the index of its group; pairs of Jaccard 0.8 over five words are linked."""
+    sets = []
+    for _, text in rows:
+        words = [w for w in WHITE.split(re.sub("[A-Z]", lambda m: m[0].lower(), text or "")) if w]
+        sets.append(frozenset(tuple(words[k : k + 5]) for k in range(max(1, len(words) - 4))) if words else frozenset())
+    label = list(range(len(rows)))
+
+    def root(i):
+        while label[i] != i:
+            i = label[i]
+        return i
+
+    for j, y in enumerate(sets):
+        for i in range(j):
+            x = sets[i]
+            if 5 * min(len(x), len(y)) >= 4 * max(len(x), len(y)) and 5 * len(x & y) >= 4 * len(x | y):
+                a, b = root(i), root(j)
+                label[max(a, b)] = min(a, b)
+    return [root(i) for i in range(len(rows))]
+
+
+@pytest.mark.parametrize("common", [0, 1 << 18])
+def test_pipeline_near_copies(spark, rows, monkeypatch, common):
+    import corpus_pipeline
+
+    monkeypatch.setattr(overlap, "COMMON", common)
+    rng = np.random.default_rng(8)
+    own = [(r[0], r[1]) for r in rows]
+    # A chain of edits and a large group around one text; beyond a few edits two of them are not similar.
+    base = [f"w{i}" for i in rng.integers(0, 5000, 120)]
+    for i in range(60):
+        words = list(base)
+        for k in rng.integers(0, 120, i % 6):
+            words[k] = f"odd{i}"
+        own.append((1000 + i, " ".join(words)))
+    expected = brute_near_copies(own)
+    df = spark.createDataFrame(own, "doc_id long, text string").repartition(4)
+    names = {}
+    for (i, _), group in zip(own, expected, strict=True):
+        names.setdefault(group, []).append(i)
+    least = {k: min((x for x in v if x is not None), default=None) for k, v in names.items()}
+    found = overlap.similar_groups(df).collect()
+    assert pairs_of(found) == sorted(((i, least[g]) for (i, _), g in zip(own, expected, strict=True)), key=str)
+    kept = corpus_pipeline.drop_near_copies(spark, df, "")
+    assert kept.columns == df.columns and kept.count() == len(names)
+    assert corpus_pipeline.drop_near_copies(spark, df.limit(0), "").count() == 0
+
+
+def pairs_of(found):
+    return sorted(((r["doc_id"], r["component_id"]) for r in found), key=str)
