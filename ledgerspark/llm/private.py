@@ -33,7 +33,7 @@ LOOSE = {
     "mail": rf"(?:(?<!{_LOCAL})|\G){_LOCAL}++(?:@|[\[(]at[\])])[A-Za-z0-9\-]++(?:(?:\.|[\[(]dot[\])])[A-Za-z0-9\-]++)*+",
     "number": r"(?:(?<![0-9A-Za-z])|\G)[0-9]++(?:[\x20().\-]{1,2}+[0-9]++)++",
 }
-NEEDS = {"email": "@", "mail": "[@(\\[]", "phone": "\\+[0-9]", "ip": "[0-9]\\.[0-9]", "card": "[0-9]{2}", "number": "[0-9]"}
+NEEDS = {"email": "@", "mail": "[@(\\[]", "phone": "\\+[0-9]", "ip": "[0-9]\\.[0-9]", "card": "[0-9][\\x20\\-]?[0-9]", "number": "[0-9]"}
 # Characters before a find that can hold its two words of context.
 NEAR = 48
 CONTEXT = r"(?s)([^\x20\x09-\x0D]+[\x20\x09-\x0D]+[^\x20\x09-\x0D]*)$"

@@ -361,3 +361,14 @@ def test_pipeline_near_copies(spark, rows, monkeypatch, common):
 
 def pairs_of(found):
     return sorted(((r["doc_id"], r["component_id"]) for r in found), key=str)
+
+
+def test_private_finds_spaced_cards(spark):
+    digits = "4111111111111111"
+    texts = ["card " + " ".join(digits), "card " + "-".join(digits), "- ".join(digits), " ".join(digits[:-1] + "2")]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = {r["doc_id"]: (r["n_card"], r["base_sha256"], r["spans"]) for r in private.private_digests(df).collect()}
+    span = "card:5:36"
+    none = hashlib.sha256(b"").hexdigest()
+    own = (1, hashlib.sha256(span.encode()).hexdigest(), span)
+    assert found == {0: own, 1: own, 2: (0, none, ""), 3: (0, none, "")}
