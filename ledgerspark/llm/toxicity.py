@@ -5,8 +5,9 @@ categories before it. While a model is trained those come from models that have
 document: the labelled rows are dealt into folds, and each fold is predicted by a model of the other
 folds. For scoring, one model per category is trained on all labelled rows.
 
-All models of a category are trained side by side, one task each, on a labelled sample of bounded
-size. Scoring is one pass over the texts; weights have a fixed size.
+All labelled rows are counted and learned from: they are dealt into shards of bounded size, every model
+is trained on each shard in a task of its own, and weights are averaged by how many rows of a shard
+have the word. Scoring is one pass over the texts; weights have a bounded size.
 """
 
 from __future__ import annotations
@@ -21,17 +22,20 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerspark.llm.common import sent, text_or_empty, with_batches
-from ledgerspark.session import lookup_side, store
+from ledgerspark.session import lookup_side, settle, store
 
 # Category and the label that it stands for, in the order of the chain.
 CATEGORIES = (("low_quality", "quality = 0"), ("toxic", "toxic = 1"))
-# A word is a feature if so many documents of the sample have it. Other words weigh nothing.
-MIN_DOCS = 20
+# A word is a feature if its counts over all labelled rows depend on a label: the likelihood ratio of
+# one degree of freedom at one per cent. How many documents have it does not matter by itself.
+ASSOCIATED = 6.63
+# The most associated words, if there are more than fit into a task's memory.
+VOCABULARY = 1 << 20
 # Bytes of a word's beginning that are features as well: they catch inflected and invented forms.
 BEGINNINGS = (4, 5, 6)
 FOLDS = 3
-# Labelled rows that the models are fitted on: about so many at most.
-SAMPLE = 20_000
+# Labelled rows of one shard: about so many.
+SHARD = 20_000
 EPOCHS = 8
 BATCH = 256
 RATE = 0.3
@@ -115,30 +119,53 @@ def _before(rows: pd.DataFrame) -> np.ndarray:
 
 
 def _trainer(place: int, size: int):
-    """A function that fits one model of the category at ``place`` to its rows."""
+    """A function that fits one model of the category at ``place`` to the rows of one shard.
+
+    It gives a weight per word that the shard has, and how many rows have it; the bias is word -1, the
+    probabilities of earlier categories are words -2, -3 and so on.
+    """
 
     def train(part: pd.DataFrame) -> pd.DataFrame:
         part = part.sort_values(["key", "words"])
         label = np.array([x[place] for x in part["labels"]])
         before = _before(part)
-        model = Linear(size, before.shape[1]).fit(_lists(part["words"]), before, label)
+        lists = _lists(part["words"])
+        model = Linear(size, before.shape[1]).fit(lists, before, label)
+        n = np.bincount(np.concatenate(lists), minlength=size)
+        own = np.flatnonzero(n)
+        rest = -1 - np.arange(len(model.extra) + 1)
         return pd.DataFrame(
             {
-                "model": [part["model"].iloc[0]],
-                "weights": [model.words.tobytes()],
-                "extra": [model.extra.tobytes()],
-                "bias": [model.bias],
+                "model": part["model"].iloc[0],
+                "at": np.concatenate((rest, own)).astype(np.int32),
+                "weight": np.concatenate(([model.bias], model.extra, model.words[own])),
+                "n": np.concatenate((np.full(len(rest), len(part)), n[own])).astype(np.int64),
             }
         )
 
     return train
 
 
+def _fitted(trained: DataFrame, size: int, extra: int) -> dict[int, Linear]:
+    """Models by number, averaged over the shards."""
+    mean = F.sum(F.col("weight") * F.col("n")) / F.sum("n")
+    found = trained.groupBy("model", "at").agg(mean.alias("weight")).toArrow()
+    number, at, weight = (found.column(c).to_numpy() for c in ("model", "at", "weight"))
+    models = {}
+    for k in np.unique(number).tolist():
+        model = models[k] = Linear(size, extra)
+        own, values = at[number == k], weight[number == k]
+        model.words[own[own >= 0]] = values[own >= 0]
+        model.extra[-2 - own[own < -1]] = values[own < -1]
+        model.bias = float(values[own == -1][0])
+    return models
+
+
 def fit_chain(
     docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text",
-    sample: int = SAMPLE, folds: int = FOLDS,
+    shard: int = SHARD, folds: int = FOLDS,
 ) -> tuple[np.ndarray, list[tuple[str, Linear]]]:
-    """The vocabulary and one model per category, fitted on about ``sample`` labelled documents drawn by a hash.
+    """The vocabulary and one model per category, fitted on all labelled documents.
 
     Labels that are NULL take no part; a document labelled more than once counts with its worst
     labels. A category of which only one class was seen gives its share. Without labels every
@@ -151,48 +178,37 @@ def fit_chain(
         .groupBy("doc_id")
         .agg(F.min("quality").alias("quality"), F.max("toxic").alias("toxic"))
     )
-    share = min(1.0, sample / max(1, clean.count()))
-    drawn = lookup_side(
-        clean.where(F.pmod(F.xxhash64("doc_id", F.lit(8)), F.lit(1_000_000)) < int(share * 1_000_000)).select(
+    shards = max(1, -(-clean.count() // shard))
+    known = lookup_side(
+        clean.select(
             F.col("doc_id").alias("label_id"),
             F.array(*[F.expr(rule).cast("double") for _, rule in CATEGORIES]).alias("labels"),
         )
     )
     own = docs.select(F.col(doc_id).alias("id"), text_or_empty(text).alias("text"))
-    labelled = own.join(drawn, F.col("id") == F.col("label_id")).select(
-        F.xxhash64("id", "text").alias("key"), "labels", "text"
+    labelled = store(
+        own.join(known, F.col("id") == F.col("label_id")).select(F.xxhash64("id", "text").alias("key"), "labels", "text"),
+        "texts",
     )
+    vocabulary = _vocabulary(labelled)
+    size = len(vocabulary) + 1
+    sorted_keys = sent(spark, vocabulary)
 
-    def featured(batches):
+    def numbered(batches):
+        keys = sorted_keys()
         for batch in batches:
-            texts = batch.column(2).cast(pa.binary()).to_pylist()
-            sets = list(map(word_set, texts))
-            keys = {w: word_keys(w) for w in set().union(*sets)}
-            found = [np.sort(np.array([k for w in own for k in keys[w]], np.int64)).tobytes() for own in sets]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(found, pa.binary())], names=["key", "labels", "words"]
-            )
+            found = [places(keys, x) for x in _features(batch.column("text"))]
+            short = pa.array([np.sort(x[x < len(keys)]).astype(np.int32).tobytes() for x in found], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column("key"), batch.column("labels"), short], names=["key", "labels", "words"])
 
     rows = store(
-        labelled.mapInArrow(featured, "key long, labels array<double>, words binary").select(
-            "key", F.pmod(F.xxhash64("key"), F.lit(folds)).cast("int").alias("fold"), "labels", "words",
+        labelled.mapInArrow(numbered, "key long, labels array<double>, words binary").select(
+            "key", F.pmod(F.xxhash64("key"), F.lit(folds)).cast("int").alias("fold"),
+            F.pmod(F.xxhash64("key", F.lit(8)), F.lit(shards)).cast("int").alias("shard"), "labels", "words",
             F.array().cast("array<double>").alias("before"),
         ),
         "labelled",
     )
-    vocabulary = _vocabulary(rows)
-    size = len(vocabulary) + 1
-    sorted_keys = sent(spark, vocabulary)
-
-    def numbered(batches):
-        keys = sorted_keys()
-        for batch in batches:
-            found = [places(keys, np.frombuffer(x, np.int64)) for x in batch.column("words").to_pylist()]
-            short = pa.array([x[x < len(keys)].astype(np.int32).tobytes() for x in found], pa.binary())
-            at = batch.schema.get_field_index("words")
-            yield pa.RecordBatch.from_arrays([*batch.columns[:at], short, *batch.columns[at + 1 :]], names=batch.schema.names)
-
-    rows = store(rows.mapInArrow(numbered, rows.schema), "labelled")
     chain = []
     for place, (name, _) in enumerate(CATEGORIES):
         last = place + 1 == len(CATEGORIES)
@@ -201,14 +217,10 @@ def fit_chain(
         models = F.lit(-1) if last else F.explode(
             F.array_union(F.array(F.lit(-1)), F.array_except(F.sequence(F.lit(0), F.lit(folds - 1)), F.array("fold")))
         )
-        fitted = {}
-        for row in rows.withColumn("model", models).repartition(folds + 1, "model").groupBy("model").applyInPandas(
-            _trainer(place, size), "model int, weights binary, extra binary, bias double"
-        ).toLocalIterator():
-            model = Linear(0, 0)
-            model.words = np.frombuffer(row["weights"])
-            model.extra, model.bias = np.frombuffer(row["extra"]), row["bias"]
-            fitted[row["model"]] = model
+        trained = rows.withColumn("model", models).repartition((folds + 1) * shards, "model", "shard").groupBy(
+            "model", "shard"
+        ).applyInPandas(_trainer(place, size), "model int, at int, weight double, n long")
+        fitted = _fitted(trained, size, place)
         chain.append((name, fitted.get(-1, Linear(size, place))))
         if last:
             break
@@ -229,22 +241,52 @@ def fit_chain(
     return vocabulary, chain
 
 
-def _vocabulary(rows: DataFrame) -> np.ndarray:
-    """Keys that are common enough in the sample, sorted; counted where the rows are."""
+def _features(texts: pa.Array) -> list[np.ndarray]:
+    """Features of each text, unsorted; words of one beginning count it as often as there are words."""
+    sets = [word_set(t) for t in texts.cast(pa.binary()).to_pylist()]
+    keys = {w: word_keys(w) for w in set().union(*sets)}
+    return [np.array([k for w in own for k in keys[w]], np.int64) for own in sets]
+
+
+def _vocabulary(labelled: DataFrame) -> np.ndarray:
+    """Keys that depend on a label, sorted; counted over all labelled rows where the rows are."""
+    width = len(CATEGORIES)
+    names = [f"p{i}" for i in range(width)]
 
     def counted(batches):
         for batch in batches:
-            keys = np.frombuffer(b"".join(batch.column(0).to_pylist()), np.int64)
-            found, n = np.unique(keys, return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(n)], names=["word", "n"])
-
-    sums = rows.select("words").mapInArrow(counted, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    return np.sort(sums.where(F.col("n") >= MIN_DOCS).select("word").toArrow().column(0).to_numpy())
+            own = [np.unique(x) for x in _features(batch.column("text"))]
+            label = np.array(batch.column("labels").to_pylist(), np.float64).reshape(len(own), width)
+            row = np.repeat(np.arange(len(own)), list(map(len, own)))
+            found, where = np.unique(np.concatenate([np.empty(0, np.int64), *own]), return_inverse=True)
+            counts = [np.bincount(where, minlength=len(found)), *[np.bincount(where, weights=c[row], minlength=len(found)) for c in label.T]]
+            yield pa.RecordBatch.from_arrays([pa.array(found), *[pa.array(c.astype(np.int64)) for c in counts]], names=["word", "n", *names])
+
+    sums = labelled.select("labels", "text").mapInArrow(counted, "word long, n long, " + ", ".join(f"{c} long" for c in names))
+    sums = sums.groupBy("word").agg(*[F.sum(c).alias(c) for c in ("n", *names)])
+    total = labelled.agg(F.count(F.lit(1)), *[F.sum(F.col("labels")[i]) for i in range(width)]).first()
+
+    def ratio(p, positive):
+        """The likelihood ratio of the table of word and label."""
+        rows, n = float(total[0]), F.col("n").cast("double")
+        cells = []
+        for seen, with_word, with_label in (
+            (p, n, positive), (n - p, n, rows - positive),
+            (positive - p, rows - n, positive), (rows - positive - n + p, rows - n, rows - positive),
+        ):
+            cells.append(F.when(seen > 0, seen * F.log(seen * rows / (with_word * with_label))).otherwise(0.0))
+        return 2 * sum(cells[1:], cells[0])
+
+    ratios = [ratio(F.col(c).cast("double"), float(total[i + 1] or 0)) for i, c in enumerate(names)]
+    kept = settle(sums.select("word", F.greatest(*ratios).alias("ratio")).where(F.col("ratio") >= ASSOCIATED))
+    if kept.count() > VOCABULARY:
+        kept = kept.orderBy(F.col("ratio").desc(), "word").limit(VOCABULARY)
+    return np.sort(kept.select("word").toArrow().column(0).to_numpy())
 
 
 def toxicity(
     docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text",
-    threshold: float = THRESHOLD, sample: int = SAMPLE, keep: list[str] | None = None,
+    threshold: float = THRESHOLD, shard: int = SHARD, keep: list[str] | None = None,
 ) -> DataFrame:
     """Columns ``keep`` of ``docs`` (all by default) and ``low_quality, toxic, rejected``.
 
@@ -253,7 +295,7 @@ def toxicity(
     none. The added columns are inside one struct ``_tox``, the only name that ``docs`` may not use.
     """
     names = docs.columns if keep is None else keep
-    vocabulary, chain = fit_chain(docs, labels, doc_id, text, sample)
+    vocabulary, chain = fit_chain(docs, labels, doc_id, text, shard)
     shared = sent(docs.sparkSession, (vocabulary, [(m.words, m.extra, m.bias) for _, m in chain]))
     with_batches(docs.sparkSession)
     rows = docs.select(*[F.col(c) for c in names], text_or_empty(text).alias("_tox"))

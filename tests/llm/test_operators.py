@@ -372,3 +372,16 @@ def test_private_finds_spaced_cards(spark):
     none = hashlib.sha256(b"").hexdigest()
     own = (1, hashlib.sha256(span.encode()).hexdigest(), span)
     assert found == {0: own, 1: own, 2: (0, none, ""), 3: (0, none, "")}
+
+
+@pytest.mark.parametrize("shard", [20_000, 50])
+def test_toxicity_learns_rare_words(spark, shard):
+    rng = np.random.default_rng(6)
+    plain = ["word%d" % i for i in range(200)]
+    bad = [i % 10 == 0 for i in range(200)]
+    text = lambda b: " ".join([*rng.choice(plain, 20), *(["scum"] if b else [])])
+    df = spark.createDataFrame([(i, text(b)) for i, b in enumerate(bad)], "doc_id long, text string")
+    # The word is in ten of a hundred labelled documents; the other half is only scored.
+    labels = spark.createDataFrame([(i, 1, int(b)) for i, b in enumerate(bad) if i % 20 < 10], "doc_id long, quality int, toxic int")
+    found = {r["doc_id"]: r["_tox"]["toxic"] for r in toxicity.toxicity(df, labels, shard=shard).collect()}
+    assert min(found[i] for i, b in enumerate(bad) if b) > max(found[i] for i, b in enumerate(bad) if not b)
