@@ -11,7 +11,7 @@ import public_tokenizers
 import pytest
 import xxhash
 
-from ledgerspark.llm import exact, maxent, mixing, overlap, pieces, private, simhash, tokens, topk, toxicity, urls
+from ledgerspark.llm import bpe, exact, maxent, mixing, overlap, pieces, private, simhash, tokens, topk, toxicity, urls
 from ledgerspark.llm.common import only_staying
 
 WHITE = re.compile(r"[\x20\x09-\x0D]+")
@@ -385,3 +385,16 @@ def test_toxicity_learns_rare_words(spark, shard):
     labels = spark.createDataFrame([(i, 1, int(b)) for i, b in enumerate(bad) if i % 20 < 10], "doc_id long, quality int, toxic int")
     found = {r["doc_id"]: r["_tox"]["toxic"] for r in toxicity.toxicity(df, labels, shard=shard).collect()}
     assert min(found[i] for i, b in enumerate(bad) if b) > max(found[i] for i, b in enumerate(bad) if not b)
+
+
+def test_long_words_merge_alike(monkeypatch):
+    own = pieces.Pieces(public_tokenizers.path("piece_bpe_32k.model"))
+    rng = np.random.default_rng(9)
+    letters = list("aeiorstnhé")
+    words = ["".join(rng.choice(letters, n)) for n in (bpe.LONG - 1, bpe.LONG, bpe.LONG + 1)]
+    words += ["a" * n for n in range(bpe.LONG - 2, bpe.LONG + 3)]
+    found = []
+    for bound in (0, bpe.LONG, 1 << 30):
+        monkeypatch.setattr(bpe, "LONG", bound)
+        found.append(own.merged(words))
+    assert found[0] == found[1] == found[2]
