@@ -4,12 +4,18 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import weakref
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerspark.functions.names import named
 
+# Where the frames that ``store`` gave have their files.
+_STORED: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()
+
 # Settings a job should run with. All are runtime settings, none replaces a cluster default that
 # sizes memory or executors.
 RECOMMENDED = {
@@ -68,7 +74,9 @@ def store(df: DataFrame, name: str = "stored") -> DataFrame:
     """
     path = scratch_path(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    stored = df.sparkSession.read.schema(df.schema).parquet(path)
+    _STORED[stored] = path
+    return stored
 
 
 # A lookup side is broadcast up to this size, measured on its rows.
@@ -89,3 +97,28 @@ def lookup_side(df: DataFrame) -> DataFrame:
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh sub-folder name for a table that a job writes and reads back."""
     return f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def discard(stored: DataFrame) -> None:
+    """Delete a table that ``store`` wrote, once its successor is written.
+
+    The frame, and all that reads it, ends here. A frame that ``store`` did not give stays as it is.
+    """
+    place = _STORED.pop(stored, None)
+    if place is None:
+        return
+    context = stored.sparkSession.sparkContext
+    path = context._jvm.org.apache.hadoop.fs.Path(place)
+    path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
+
+
+@contextmanager
+def batches_of(spark: SparkSession, rows: int) -> Iterator[None]:
+    """Bound the rows of an Arrow batch for jobs that run inside; afterwards the setting is as before."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
