@@ -5,7 +5,9 @@ from __future__ import annotations
 import pickle
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -99,3 +101,20 @@ def sent(spark: SparkSession, value: object) -> Callable[[], object]:
     """
     box = spark.sparkContext.broadcast(cloudpickle.dumps(value))
     return lambda: pickle.loads(box.value)
+
+
+# Bytes of text that a function looks at together; a longer text is looked at alone.
+SLICE_BYTES = 4 << 20
+
+
+def slices(batch: pa.RecordBatch, column: int, most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """A batch in parts whose texts take about ``most`` bytes, whatever the session's batch size."""
+    if not batch.num_rows:
+        return
+    ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    begin = 0
+    while begin < batch.num_rows:
+        done = ends[begin - 1] if begin else 0
+        end = max(begin + 1, int(np.searchsorted(ends, done + most, "right")))
+        yield batch.slice(begin, end - begin)
+        begin = end

@@ -8,7 +8,21 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerspark.llm import exact, maxent, mixing, pieces, private, simhash, tokens, topk, toxicity, urls
+from ledgerspark.llm import (
+    centroids,
+    exact,
+    langid,
+    maxent,
+    mixing,
+    pieces,
+    private,
+    ranked,
+    simhash,
+    tokens,
+    topk,
+    toxicity,
+    urls,
+)
 from ledgerspark.llm.common import read
 
 COUNTER = "byte_bpe_50k.json"
@@ -71,6 +85,18 @@ def op10_top_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(read(spark, sf_dir, "embeddings"))
 
 
+def op11_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked.ranked(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
+def op12_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.languages(read(spark, sf_dir, "documents"))
+
+
+def op13_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.clustered(read(spark, sf_dir, "embeddings"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -90,10 +116,51 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_toxicity,
         op9_simhash_groups,
         op10_top_vectors,
+        op11_ranked_search,
+        op12_languages,
+        op13_centroids,
         pipeline,
     )
 }
 
+
+def _centroids_sql(clusters: int = 16, rounds: int = 3) -> str:
+    """Rounds of assignment and update written out one after the other."""
+
+    def nearest(step: int) -> str:
+        return f"""
+        near{step} AS (
+            SELECT vec_id, e, arg_min(c, (d, c)) AS c, min(d) AS d, row_id FROM (
+                SELECT row_id, vec_id, e, c,
+                    CAST(list_sum(list_transform(list_zip(e, m), lambda p: (p[1] - p[2]) * (p[1] - p[2]))) AS BIGINT) AS d
+                FROM kept, mid{step}) GROUP BY row_id, vec_id, e)"""
+
+    steps = [nearest(0)]
+    for step in range(1, rounds + 1):
+        before = step - 1
+        steps.append(f"""
+        mid{step} AS (
+            SELECT m.c, coalesce(u.m, m.m) AS m FROM mid{before} m LEFT JOIN (
+                SELECT c, list(v ORDER BY i) AS m FROM (
+                    SELECT c, i, CAST(floor(sum(x)::DOUBLE / count(*)) AS BIGINT) AS v
+                    FROM (SELECT c, unnest(e) AS x, generate_subscripts(e, 1) AS i FROM near{before}) GROUP BY c, i)
+                GROUP BY c) u ON m.c = u.c)""")
+        steps.append(nearest(step))
+    return f"""
+        WITH kept AS MATERIALIZED (
+            SELECT row_number() OVER () AS row_id, vec_id,
+                list_transform(embedding, lambda x: CAST(floor(64 * x::DOUBLE) AS BIGINT)) AS e
+            FROM embeddings
+            WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+        mid0 AS (
+            SELECT CAST(row_number() OVER (ORDER BY sha256('1:' || vec_id), e) - 1 AS INTEGER) AS c, e AS m FROM kept
+            QUALIFY row_number() OVER (ORDER BY sha256('1:' || vec_id), e) <= {clusters}),{",".join(steps)}
+        SELECT n.vec_id, n.c AS cluster, n.d AS distance, CAST(sum(n.d) OVER (PARTITION BY n.c) AS BIGINT) AS cluster_inertia,
+            CAST(sum(n.d) OVER () AS BIGINT) AS inertia, sha256(array_to_string(m.m, ',')) AS centroid_sha256
+        FROM near{rounds} n JOIN mid{rounds} m ON n.c = m.c
+    """
+
+
 ORACLE: dict[str, str] = {
     "op5_url_filter": r"""
         WITH cut AS (
@@ -141,4 +208,32 @@ ORACLE: dict[str, str] = {
         FROM pairs WINDOW w AS (PARTITION BY query_id ORDER BY score DESC, vec_id)
         QUALIFY row_number() OVER w <= 5
     """,
+    "op11_ranked_search": r"""
+        WITH found AS (
+            SELECT row_number() OVER () AS place, doc_id,
+                regexp_extract_all(text, '[0-9A-Za-z\x{80}-\x{10FFFF}]+') AS terms FROM documents),
+        terms AS (
+            SELECT place, doc_id, len(terms) AS n,
+                translate(unnest(terms), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS term
+            FROM found WHERE len(terms) > 0),
+        totals AS (SELECT count(DISTINCT place) AS docs, count(*) AS length FROM terms),
+        occurring AS (SELECT place, doc_id, n, term, count(*) AS tf FROM terms GROUP BY ALL),
+        weights AS (
+            SELECT term, CAST(floor(1000 * ln((2 * docs + 2) / (2 * count(*) + 1))) AS BIGINT) AS w
+            FROM occurring, totals GROUP BY term, docs),
+        asked AS (
+            SELECT DISTINCT item_id, term FROM (
+                SELECT item_id, translate(unnest(regexp_extract_all(text, '[0-9A-Za-z\x{80}-\x{10FFFF}]+')),
+                    'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS term
+                FROM benchmark)),
+        scored AS (
+            SELECT a.item_id, o.place, o.doc_id,
+                CAST(sum(w * ((1000000000 * tf) // (1000 * tf + 8 * (10 + (90 * n * docs) // length)))) AS BIGINT) AS score
+            FROM asked a JOIN occurring o ON a.term = o.term JOIN weights w ON a.term = w.term, totals
+            GROUP BY a.item_id, o.place, o.doc_id)
+        SELECT item_id, CAST(row_number() OVER w AS INTEGER) AS rank, doc_id, score FROM scored WHERE score > 0
+        WINDOW w AS (PARTITION BY item_id ORDER BY score DESC, doc_id)
+        QUALIFY row_number() OVER w <= 10
+    """,
+    "op13_centroids": _centroids_sql(),
 }
