@@ -138,7 +138,7 @@ def _started(vectors: DataFrame, clusters: int, start: str) -> np.ndarray:
     """Vectors of the smallest hashes, in that order; rows without an id only where others run out."""
     order = F.sha2(F.concat(F.lit(start), F.col("vec_id").cast("string")), 256)
     found = vectors.orderBy(order.asc_nulls_last(), "v").limit(clusters).select("v").toArrow().column("v").to_pylist()
-    return np.array(found, np.int64).reshape(len(found), -1)
+    return np.array(found, np.int64).reshape(len(found), -1 if found else 0)
 
 
 def _first_blocks(vectors: DataFrame, centroids: np.ndarray, dimensions: int) -> DataFrame:
