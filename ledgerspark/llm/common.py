@@ -12,6 +12,7 @@ from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ledgerspark.functions.names import named
 from ledgerspark.session import lookup_side
 
 # A word of every contract: a run of anything but the six ASCII white-space characters.
@@ -27,7 +28,7 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 def text_or_empty(column: str) -> Column:
     """The text, NULL counting as empty."""
-    return F.coalesce(F.col(column), F.lit(""))
+    return F.coalesce(named(column), F.lit(""))
 
 
 def text_key(text: str) -> Column:
@@ -48,14 +49,15 @@ def only_staying(docs: DataFrame, decisions: DataFrame, doc_id: str, text: str)
             F.col("doc_id").alias("_doc_id"), F.col("text_key").alias("_text_key"), "_any"
         )
     )
-    key = text_key(text)
-    joined = docs.withColumn("_own_key", key).join(
-        special, (F.col("_own_key") == F.col("_text_key")) & F.col(doc_id).eqNullSafe(F.col("_doc_id")), "left"
+    # The row travels as one struct, so that no column of it can meet a name used here.
+    rows = docs.select(
+        F.struct(*[named(c) for c in docs.columns]).alias("row"), named(doc_id).alias("own_id"), text_key(text).alias("own_key")
     )
-    plain = joined.where(F.col("_any").isNull()).select(*[F.col(c) for c in docs.columns])
+    joined = rows.join(special, (F.col("own_key") == F.col("_text_key")) & F.col("own_id").eqNullSafe(F.col("_doc_id")), "left")
+    plain = joined.where(F.col("_any").isNull()).select("row.*")
     if special.where("_any").isEmpty():
         return plain
-    once = joined.where("_any").dropDuplicates([doc_id, "_own_key"]).select(*[F.col(c) for c in docs.columns])
+    once = joined.where("_any").dropDuplicates(["own_id", "own_key"]).select("row.*")
     return plain.unionByName(once)
 
 
@@ -78,18 +80,18 @@ def over_texts(
     ``make`` runs once per task and returns a function from the UTF-8 bytes of a batch's texts to
     the added columns, so that tables and caches are built once and end with the task.
     """
-    with_batches(docs.sparkSession)
     rows = docs.select(
-        F.col(doc_id).alias("doc_id"), text_key(text).alias("text_key"), text_or_empty(text).alias("text")
+        named(doc_id).alias("doc_id"), text_key(text).alias("text_key"), text_or_empty(text).alias("text")
     )
     kind = rows.schema["doc_id"].dataType.simpleString()
     names = ["doc_id", "text_key", *[part.split()[0] for part in schema.split(",")]]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         added = make()
-        for batch in batches:
-            texts = batch.column(2).cast(pa.binary()).to_pylist()
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *added(texts)], names=names)
+        for whole in batches:
+            for batch in slices(whole, 2):
+                texts = batch.column(2).cast(pa.binary()).to_pylist()
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *added(texts)], names=names)
 
     return rows.mapInArrow(run, f"doc_id {kind}, text_key long, {schema}")
 
