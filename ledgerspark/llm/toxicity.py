@@ -12,7 +12,8 @@ have the word. Scoring is one pass over the texts; weights have a bounded size.
 
 from __future__ import annotations
 
-import re
+from collections import Counter
+from itertools import chain as chained
 
 import numpy as np
 import pandas as pd
@@ -21,8 +22,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerspark.llm.common import sent, text_or_empty, with_batches
-from ledgerspark.session import lookup_side, settle, store
+from ledgerspark.llm.common import sent, slices, text_or_empty
+from ledgerspark.session import discard, lookup_side, settle, store
 
 # Category and the label that it stands for, in the order of the chain.
 CATEGORIES = (("low_quality", "quality = 0"), ("toxic", "toxic = 1"))
@@ -41,18 +42,30 @@ BATCH = 256
 RATE = 0.3
 THRESHOLD = 0.3
 REMEMBERED = 500_000
-_NOISE = re.compile(rb"[^a-z0-9\x80-\xff]+")
+# A task's counts are passed on at this many features.
+FLUSH = 400_000
+# A-Z in lower case, white space as it is; ASCII characters that are neither letter nor digit go.
+_LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
+_NOISE = bytes(b for b in range(128) if not chr(b).isalnum() and b not in b" \t\n\v\f\r")
 
 
-def word_keys(word: bytes) -> list[int]:
-    """Features of a word, as 64-bit hashes: what is left without punctuation, and its beginnings."""
-    bare = _NOISE.sub(b"", word)
-    parts = [bare, *(b"^" + bare[:n] for n in BEGINNINGS if len(bare) > n)]
-    return [xxhash.xxh64_intdigest(x) - (1 << 63) for x in parts]
+def word_set(text: bytes) -> set[bytes]:
+    """The different words of a text, without punctuation."""
+    return set(text.translate(_LOWER, _NOISE).split())
 
 
-def word_set(text: bytes) -> set[bytes]:
-    return set(text.lower().split())
+def features(words: set[bytes]) -> set[bytes]:
+    """Words, and their beginnings."""
+    return words.union(*({b"^" + w[:n] for w in words if len(w) > n} for n in BEGINNINGS))
+
+
+def key(feature: bytes) -> int:
+    return xxhash.xxh64_intdigest(feature) - (1 << 63)
+
+
+def word_keys(word: bytes) -> list[int]:
+    """Features of a word as 64-bit hashes."""
+    return [key(x) for x in (word, *(b"^" + word[:n] for n in BEGINNINGS if len(word) > n))]
 
 
 def _share(raw: np.ndarray) -> np.ndarray:
@@ -110,26 +123,57 @@ def places(vocabulary: np.ndarray, keys: np.ndarray) -> np.ndarray:
     return np.where(vocabulary[at] == keys, at, len(vocabulary))
 
 
-def _lists(column: pd.Series) -> list[np.ndarray]:
-    return [np.frombuffer(x, np.int32) for x in column]
+class Places:
+    """Indices of the vocabulary that a word has; words met are remembered up to a bound."""
+
+    def __init__(self, vocabulary: np.ndarray):
+        self.vocabulary, self.known = vocabulary, {}
+
+    def of(self, words: list[set[bytes]]) -> list[list[int]]:
+        """For each text the indices of its words' features, one for every word that has them."""
+        if len(self.known) > REMEMBERED:
+            self.known.clear()
+        new = list(set().union(*words).difference(self.known))
+        keys = list(map(word_keys, new))
+        at = places(self.vocabulary, np.fromiter(chained.from_iterable(keys), np.int64))
+        ends = np.cumsum(list(map(len, keys))).tolist()
+        inside = np.append(np.cumsum(at < len(self.vocabulary)), 0)
+        begin = 0
+        for word, end in zip(new, ends, strict=True):
+            # Most words have no feature of the vocabulary.
+            if inside[end - 1] > (inside[begin - 1] if begin else 0):
+                self.known[word] = [x for x in at[begin:end].tolist() if x < len(self.vocabulary)]
+            else:
+                self.known[word] = ()
+            begin = end
+        get = self.known.__getitem__
+        return [list(chained.from_iterable(map(get, own))) for own in words]
 
 
-def _before(rows: pd.DataFrame) -> np.ndarray:
-    return np.array(rows["before"].tolist(), np.float64).reshape(len(rows), -1)
+def _lists(column: pd.Series) -> list[np.ndarray]:
+    return [np.frombuffer(x, np.int32) for x in column]
 
 
-def _trainer(place: int, size: int):
+def _trainer(place: int, size: int, earlier):
     """A function that fits one model of the category at ``place`` to the rows of one shard.
 
-    It gives a weight per word that the shard has, and how many rows have it; the bias is word -1, the
-    probabilities of earlier categories are words -2, -3 and so on.
+    ``earlier()`` gives the models of the categories before it, by fold: what they say of a row comes
+    from models that have not seen it. The result has a weight per word that the shard has, and how many
+    rows have it; the bias is word -1, the probabilities of earlier categories are words -2, -3 and so on.
     """
 
     def train(part: pd.DataFrame) -> pd.DataFrame:
         part = part.sort_values(["key", "words"])
         label = np.array([x[place] for x in part["labels"]])
-        before = _before(part)
-        lists = _lists(part["words"])
+        lists, fold = _lists(part["words"]), part["fold"].to_numpy()
+        before = np.empty((len(part), 0))
+        for number, models in enumerate(earlier()):
+            p = np.empty(len(part))
+            for f in np.unique(fold).tolist():
+                mine = np.flatnonzero(fold == f)
+                model = models.get(f, Linear(size, number))
+                p[mine] = model.probability([lists[i] for i in mine], before[mine])
+            before = np.column_stack((before, p))
         model = Linear(size, before.shape[1]).fit(lists, before, label)
         n = np.bincount(np.concatenate(lists), minlength=size)
         own = np.flatnonzero(n)
@@ -172,7 +216,6 @@ def fit_chain(
     probability is one half.
     """
     spark = docs.sparkSession
-    with_batches(spark)
     clean = (
         labels.where("doc_id is not null and quality is not null and toxic is not null")
         .groupBy("doc_id")
@@ -186,81 +229,73 @@ def fit_chain(
         )
     )
     own = docs.select(F.col(doc_id).alias("id"), text_or_empty(text).alias("text"))
-    labelled = store(
-        own.join(known, F.col("id") == F.col("label_id")).select(F.xxhash64("id", "text").alias("key"), "labels", "text"),
-        "texts",
-    )
+    labelled = own.join(known, F.col("id") == F.col("label_id")).select(F.xxhash64("id", "text").alias("key"), "labels", "text")
     vocabulary = _vocabulary(labelled)
     size = len(vocabulary) + 1
     sorted_keys = sent(spark, vocabulary)
 
     def numbered(batches):
-        keys = sorted_keys()
-        for batch in batches:
-            found = [places(keys, x) for x in _features(batch.column("text"))]
-            short = pa.array([np.sort(x[x < len(keys)]).astype(np.int32).tobytes() for x in found], pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column("key"), batch.column("labels"), short], names=["key", "labels", "words"])
-
+        found = Places(sorted_keys())
+        for whole in batches:
+            for batch in slices(whole, 2):
+                at = found.of([word_set(t) for t in batch.column(2).cast(pa.binary()).to_pylist()])
+                short = pa.array([np.sort(np.array(x, np.int32)).tobytes() for x in at], pa.binary())
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), short], names=["key", "labels", "words"])
+
+    # Written once: all models are trained on these rows, and none of them is rewritten.
     rows = store(
         labelled.mapInArrow(numbered, "key long, labels array<double>, words binary").select(
             "key", F.pmod(F.xxhash64("key"), F.lit(folds)).cast("int").alias("fold"),
             F.pmod(F.xxhash64("key", F.lit(8)), F.lit(shards)).cast("int").alias("shard"), "labels", "words",
-            F.array().cast("array<double>").alias("before"),
         ),
         "labelled",
     )
-    chain = []
+    chain, earlier = [], []
     for place, (name, _) in enumerate(CATEGORIES):
         last = place + 1 == len(CATEGORIES)
-
         # Model -1 learns from all rows, model f from the folds other than f.
         models = F.lit(-1) if last else F.explode(
             F.array_union(F.array(F.lit(-1)), F.array_except(F.sequence(F.lit(0), F.lit(folds - 1)), F.array("fold")))
         )
         trained = rows.withColumn("model", models).repartition((folds + 1) * shards, "model", "shard").groupBy(
             "model", "shard"
-        ).applyInPandas(_trainer(place, size), "model int, at int, weight double, n long")
+        ).applyInPandas(_trainer(place, size, sent(spark, list(earlier))), "model int, at int, weight double, n long")
         fitted = _fitted(trained, size, place)
         chain.append((name, fitted.get(-1, Linear(size, place))))
-        if last:
-            break
-        shared = sent(spark, fitted)
-
-        def predicted(parts, place=place, shared=shared):
-            models = shared()
-            for part in parts:
-                p = np.empty(len(part))
-                for fold in part["fold"].unique():
-                    mine = (part["fold"] == fold).to_numpy()
-                    model = models.get(fold, Linear(size, place))
-                    p[mine] = model.probability(_lists(part["words"][mine]), _before(part[mine]))
-                part["before"] = [[*b, x] for b, x in zip(part["before"], p.tolist(), strict=True)]
-                yield part
-
-        rows = store(rows.mapInPandas(predicted, rows.schema), "labelled")
+        earlier.append(fitted)
+    discard(rows)
     return vocabulary, chain
 
 
-def _features(texts: pa.Array) -> list[np.ndarray]:
-    """Features of each text, unsorted; words of one beginning count it as often as there are words."""
-    sets = [word_set(t) for t in texts.cast(pa.binary()).to_pylist()]
-    keys = {w: word_keys(w) for w in set().union(*sets)}
-    return [np.array([k for w in own for k in keys[w]], np.int64) for own in sets]
-
-
 def _vocabulary(labelled: DataFrame) -> np.ndarray:
     """Keys that depend on a label, sorted; counted over all labelled rows where the rows are."""
     width = len(CATEGORIES)
     names = [f"p{i}" for i in range(width)]
 
     def counted(batches):
-        for batch in batches:
-            own = [np.unique(x) for x in _features(batch.column("text"))]
-            label = np.array(batch.column("labels").to_pylist(), np.float64).reshape(len(own), width)
-            row = np.repeat(np.arange(len(own)), list(map(len, own)))
-            found, where = np.unique(np.concatenate([np.empty(0, np.int64), *own]), return_inverse=True)
-            counts = [np.bincount(where, minlength=len(found)), *[np.bincount(where, weights=c[row], minlength=len(found)) for c in label.T]]
-            yield pa.RecordBatch.from_arrays([pa.array(found), *[pa.array(c.astype(np.int64)) for c in counts]], names=["word", "n", *names])
+        # One count for each combination of labels; a task passes on sums.
+        counts: dict[tuple, Counter[bytes]] = {}
+
+        def sums():
+            found, n, own = [], [], []
+            for labels, counter in counts.items():
+                found += map(key, counter)
+                n += counter.values()
+                own += [labels] * len(counter)
+            counts.clear()
+            n, own = np.array(n, np.int64), np.array(own, np.int64).reshape(-1, width)
+            columns = [pa.array(found, pa.int64()), pa.array(n), *(pa.array(n * c) for c in own.T)]
+            return pa.RecordBatch.from_arrays(columns, names=["word", "n", *names])
+
+        for whole in batches:
+            for batch in slices(whole, 1):
+                texts = batch.column(1).cast(pa.binary()).to_pylist()
+                for labels, text in zip(batch.column(0).to_pylist(), texts, strict=True):
+                    counts.setdefault(tuple(map(int, labels)), Counter()).update(features(word_set(text)))
+                    if sum(map(len, counts.values())) > FLUSH:
+                        yield sums()
+        if counts:
+            yield sums()
 
     sums = labelled.select("labels", "text").mapInArrow(counted, "word long, n long, " + ", ".join(f"{c} long" for c in names))
     sums = sums.groupBy("word").agg(*[F.sum(c).alias(c) for c in ("n", *names)])
@@ -297,40 +332,25 @@ def toxicity(
     names = docs.columns if keep is None else keep
     vocabulary, chain = fit_chain(docs, labels, doc_id, text, shard)
     shared = sent(docs.sparkSession, (vocabulary, [(m.words, m.extra, m.bias) for _, m in chain]))
-    with_batches(docs.sparkSession)
     rows = docs.select(*[F.col(c) for c in names], text_or_empty(text).alias("_tox"))
     scores = pa.struct([(name, pa.float64()) for name, _ in chain])
     schema = ", ".join(f"{name} double" for name, _ in chain)
 
     def run(batches):
-        known: dict[bytes, int] = {}
         vocabulary, tables = shared()
-        # Per category, what each word that was met adds up to.
-        added = [np.empty(0) for _ in tables]
-        for batch in batches:
-            if len(known) > REMEMBERED:
-                known.clear()
-                added = [np.empty(0) for _ in tables]
-            sets = [word_set(t) for t in batch.column(len(names)).cast(pa.binary()).to_pylist()]
-            new = list(set().union(*sets).difference(known))
-            keys = list(map(word_keys, new))
-            owner = np.repeat(np.arange(len(new)), list(map(len, keys))).astype(np.int64)
-            at = places(vocabulary, np.array([k for own in keys for k in own], np.int64))
-            added = [
-                np.append(sums, np.bincount(owner, weights=weights[at], minlength=len(new)))
-                for sums, (weights, _, _) in zip(added, tables, strict=True)
-            ]
-            known.update(zip(new, range(len(known), len(known) + len(new)), strict=True))
-            lists = [list(map(known.__getitem__, s)) for s in sets]
-            sizes = np.fromiter(map(len, lists), np.int64, len(lists))
-            row = np.repeat(np.arange(len(lists)), sizes)
-            at = np.fromiter((i for x in lists for i in x), np.int64, int(sizes.sum()))
-            before = np.empty((len(lists), 0))
-            for sums, (_, extra, bias) in zip(added, tables, strict=True):
-                raw = np.bincount(row, weights=sums[at], minlength=len(lists)) + before @ extra + bias
-                before = np.column_stack((before, _share(raw)))
-            struct = pa.StructArray.from_arrays([pa.array(c) for c in before.T], fields=list(scores))
-            yield pa.RecordBatch.from_arrays([*batch.columns[: len(names)], struct], names=[*names, "_tox"])
+        found = Places(vocabulary)
+        for whole in batches:
+            for batch in slices(whole, len(names)):
+                lists = found.of([word_set(t) for t in batch.column(len(names)).cast(pa.binary()).to_pylist()])
+                sizes = np.fromiter(map(len, lists), np.int64, len(lists))
+                row = np.repeat(np.arange(len(lists)), sizes)
+                at = np.fromiter(chained.from_iterable(lists), np.int64, int(sizes.sum()))
+                before = np.empty((len(lists), 0))
+                for weights, extra, bias in tables:
+                    raw = np.bincount(row, weights=weights[at], minlength=len(lists)) + before @ extra + bias
+                    before = np.column_stack((before, _share(raw)))
+                struct = pa.StructArray.from_arrays([pa.array(c) for c in before.T], fields=list(scores))
+                yield pa.RecordBatch.from_arrays([*batch.columns[: len(names)], struct], names=[*names, "_tox"])
 
     kept = docs.select(*[F.col(c) for c in names]).schema
     out = kept.add("_tox", docs.sparkSession.createDataFrame([], schema).schema)
