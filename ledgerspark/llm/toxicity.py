@@ -5,9 +5,9 @@ categories before it. While a model is trained those come from models that have
 document: the labelled rows are dealt into folds, and each fold is predicted by a model of the other
 folds. For scoring, one model per category is trained on all labelled rows.
 
-All labelled rows are counted and learned from: they are dealt into shards of bounded size, every model
-is trained on each shard in a task of its own, and weights are averaged by how many rows of a shard
-have the word. Scoring is one pass over the texts; weights have a bounded size.
+All labelled rows are counted and learned from: they are dealt into shards of bounded size, the chain is
+trained on each shard in a task of its own, and weights are averaged by how many rows of a shard have the
+word. Scoring is one pass over the texts; weights have a bounded size.
 """
 
 from __future__ import annotations
@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerspark.llm.common import sent, slices, text_or_empty
-from ledgerspark.session import discard, lookup_side, settle, store
+from ledgerspark.session import lookup_side, settle
 
 # Category and the label that it stands for, in the order of the chain.
 CATEGORIES = (("low_quality", "quality = 0"), ("toxic", "toxic = 1"))
@@ -98,10 +98,9 @@ class Linear:
                 at = np.concatenate([lists[r] for r in rows])
                 row = np.repeat(np.arange(len(rows)), sizes[rows])
                 miss = _share(self.raw(at, row, len(rows), before[rows])) - label[rows]
-                words, where = np.unique(at, return_inverse=True)
-                slope = np.bincount(where, weights=miss[row], minlength=len(words)) / len(rows)
-                seen_words[words] += slope**2
-                self.words[words] -= RATE * slope / np.sqrt(seen_words[words])
+                slope = np.bincount(at, weights=miss[row], minlength=len(self.words)) / len(rows)
+                seen_words += slope**2
+                self.words -= RATE * slope / np.sqrt(seen_words)
                 rest = np.append(before[rows].T @ miss, miss.sum()) / len(rows)
                 seen_rest += rest**2
                 step = RATE * rest / np.sqrt(seen_rest)
@@ -154,54 +153,60 @@ def _lists(column: pd.Series) -> list[np.ndarray]:
     return [np.frombuffer(x, np.int32) for x in column]
 
 
-def _trainer(place: int, size: int, earlier):
-    """A function that fits one model of the category at ``place`` to the rows of one shard.
+def _chain_trainer(size: int, folds: int):
+    """A function that fits the chain to the rows of one shard, one model per category.
 
-    ``earlier()`` gives the models of the categories before it, by fold: what they say of a row comes
-    from models that have not seen it. The result has a weight per word that the shard has, and how many
-    rows have it; the bias is word -1, the probabilities of earlier categories are words -2, -3 and so on.
+    What a model sees of the categories before it comes from models of the other folds of the shard, which
+    have not seen the row. The result has a weight per word that the shard has, and how many rows have it;
+    the bias is word -1, the probabilities of earlier categories are words -2, -3 and so on.
     """
 
     def train(part: pd.DataFrame) -> pd.DataFrame:
         part = part.sort_values(["key", "words"])
-        label = np.array([x[place] for x in part["labels"]])
+        labels = np.array(part["labels"].tolist(), np.float64)
         lists, fold = _lists(part["words"]), part["fold"].to_numpy()
-        before = np.empty((len(part), 0))
-        for number, models in enumerate(earlier()):
-            p = np.empty(len(part))
-            for f in np.unique(fold).tolist():
-                mine = np.flatnonzero(fold == f)
-                model = models.get(f, Linear(size, number))
-                p[mine] = model.probability([lists[i] for i in mine], before[mine])
-            before = np.column_stack((before, p))
-        model = Linear(size, before.shape[1]).fit(lists, before, label)
         n = np.bincount(np.concatenate(lists), minlength=size)
         own = np.flatnonzero(n)
-        rest = -1 - np.arange(len(model.extra) + 1)
-        return pd.DataFrame(
-            {
-                "model": part["model"].iloc[0],
-                "at": np.concatenate((rest, own)).astype(np.int32),
-                "weight": np.concatenate(([model.bias], model.extra, model.words[own])),
-                "n": np.concatenate((np.full(len(rest), len(part)), n[own])).astype(np.int64),
-            }
-        )
+        before, out = np.empty((len(part), 0)), []
+        for place, label in enumerate(labels.T):
+            model = Linear(size, place).fit(lists, before, label)
+            rest = -1 - np.arange(place + 1)
+            out.append(
+                pd.DataFrame(
+                    {
+                        "model": place,
+                        "at": np.concatenate((rest, own)).astype(np.int32),
+                        "weight": np.concatenate(([model.bias], model.extra, model.words[own])),
+                        "n": np.concatenate((np.full(len(rest), len(part)), n[own])).astype(np.int64),
+                    }
+                )
+            )
+            if place + 1 == labels.shape[1]:
+                break
+            p = np.empty(len(part))
+            for f in range(folds):
+                mine, others = np.flatnonzero(fold == f), np.flatnonzero(fold != f)
+                seen = Linear(size, place).fit([lists[i] for i in others], before[others], label[others])
+                p[mine] = seen.probability([lists[i] for i in mine], before[mine])
+            before = np.column_stack((before, p))
+        return pd.concat(out)
 
     return train
 
 
-def _fitted(trained: DataFrame, size: int, extra: int) -> dict[int, Linear]:
-    """Models by number, averaged over the shards."""
+def _fitted(trained: DataFrame, size: int) -> list[Linear]:
+    """One model per category, averaged over the shards."""
     mean = F.sum(F.col("weight") * F.col("n")) / F.sum("n")
     found = trained.groupBy("model", "at").agg(mean.alias("weight")).toArrow()
     number, at, weight = (found.column(c).to_numpy() for c in ("model", "at", "weight"))
-    models = {}
-    for k in np.unique(number).tolist():
-        model = models[k] = Linear(size, extra)
+    models = []
+    for k in range(len(CATEGORIES)):
+        model = Linear(size, k)
         own, values = at[number == k], weight[number == k]
         model.words[own[own >= 0]] = values[own >= 0]
         model.extra[-2 - own[own < -1]] = values[own < -1]
-        model.bias = float(values[own == -1][0])
+        model.bias = float(values[own == -1].sum())
+        models.append(model)
     return models
 
 
@@ -242,29 +247,15 @@ def fit_chain(
                 short = pa.array([np.sort(np.array(x, np.int32)).tobytes() for x in at], pa.binary())
                 yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), short], names=["key", "labels", "words"])
 
-    # Written once: all models are trained on these rows, and none of them is rewritten.
-    rows = store(
-        labelled.mapInArrow(numbered, "key long, labels array<double>, words binary").select(
-            "key", F.pmod(F.xxhash64("key"), F.lit(folds)).cast("int").alias("fold"),
-            F.pmod(F.xxhash64("key", F.lit(8)), F.lit(shards)).cast("int").alias("shard"), "labels", "words",
-        ),
-        "labelled",
+    # Every row goes to its shard once; nothing of it is written.
+    rows = labelled.mapInArrow(numbered, "key long, labels array<double>, words binary").select(
+        "key", F.pmod(F.xxhash64("key"), F.lit(folds)).cast("int").alias("fold"),
+        F.pmod(F.xxhash64("key", F.lit(8)), F.lit(shards)).cast("int").alias("shard"), "labels", "words",
     )
-    chain, earlier = [], []
-    for place, (name, _) in enumerate(CATEGORIES):
-        last = place + 1 == len(CATEGORIES)
-        # Model -1 learns from all rows, model f from the folds other than f.
-        models = F.lit(-1) if last else F.explode(
-            F.array_union(F.array(F.lit(-1)), F.array_except(F.sequence(F.lit(0), F.lit(folds - 1)), F.array("fold")))
-        )
-        trained = rows.withColumn("model", models).repartition((folds + 1) * shards, "model", "shard").groupBy(
-            "model", "shard"
-        ).applyInPandas(_trainer(place, size, sent(spark, list(earlier))), "model int, at int, weight double, n long")
-        fitted = _fitted(trained, size, place)
-        chain.append((name, fitted.get(-1, Linear(size, place))))
-        earlier.append(fitted)
-    discard(rows)
-    return vocabulary, chain
+    trained = rows.groupBy("shard").applyInPandas(
+        _chain_trainer(size, folds), "model int, at int, weight double, n long"
+    )
+    return vocabulary, list(zip([name for name, _ in CATEGORIES], _fitted(trained, size), strict=True))
 
 
 def _vocabulary(labelled: DataFrame) -> np.ndarray:
