@@ -24,6 +24,7 @@ from ledgerspark.llm import (
     urls,
 )
 from ledgerspark.llm.common import read
+from ledgerspark.session import configure
 
 COUNTER = "byte_bpe_50k.json"
 PIECES = "piece_bpe_32k.model"
@@ -103,8 +104,16 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
 
 
+def _configured(make: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return make(configure(spark), sf_dir)
+
+    run.__name__ = make.__name__
+    return run
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f
+    f.__name__: _configured(f)
     for f in (
         op1_mix_sources,
         op2_token_counts,
