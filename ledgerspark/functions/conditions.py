@@ -3,54 +3,44 @@
 Two ways to write a condition:
 
 * a function of a ``Fields`` object, in Python:  ``lambda f: f("kind") == "claim"``
-* Spark SQL text, where fields stand in back-ticks:  "`kind` <=> 'claim'"
+* text, as rule tables hold it:  ``F("kind") == "claim"``, or in SQL spelling  "`kind` = 'claim'"
 
-The Python form keeps the value and the failure of every term side by side, so a row whose
-condition cannot be decided is reported and never counted as false. The text form is resolved by
-Spark itself; there a NULL outcome is the failure. It may hold fields in back-ticks, the period,
-the helpers, literals and plain operators, nothing else.
+All give the same terms (``expressions`` reads text). A term keeps its value, its type and its failure
+side by side, so a row whose condition cannot be decided is reported and never counted as false.
 
-A text and a number are never equal, and comparing them by order or calculating with them is a
-failure of the row, as in Python.
+Values compare as in Python: NULL equals NULL and nothing else, a text and a number are never equal, and
+ordering them, or calculating with a text, is a failure of the row. Any value can stand for a truth value:
+NULL, zero and the empty text do not hold.
 """
 
 from __future__ import annotations
 
-import re
 from collections.abc import Callable
 from dataclasses import dataclass
 from decimal import Decimal
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.errors import AnalysisException, ParseException
 
 from ledgerspark.errors import ConditionError
-from ledgerspark.functions import values
+from ledgerspark.functions import expressions, values
+from ledgerspark.functions.expressions import (  # noqa: F401
+    CODE_FIELD_CALL,
+    CODE_FUNCTION,
+    CODE_PARSE,
+    CODE_PLACEHOLDER,
+    CODE_RUNTIME,
+    CODE_SYNTAX,
+    CODE_UNRESOLVED,
+)
 
-# Placeholder text of an unfinished rule and the codes of the condition report.
+# Fixed value: placeholder text of an unfinished rule.
 PLACEHOLDERS = {"CONDITION"}
-CODE_PLACEHOLDER = "condition_placeholder_detected"
-CODE_PARSE = "condition_parse_failed"
-CODE_FUNCTION = "condition_function_not_allowed"
-CODE_FIELD_CALL = "condition_invalid_f_call"
-CODE_UNRESOLVED = "condition_identifier_unresolved"
-CODE_RUNTIME = "condition_runtime_error"
-CODE_SYNTAX = "condition_ast_not_allowed"
-
-FIELD_IN_TEXT = r"`([^`]*)`"
-PERIOD_NAME = "current_period"
-
-# Words that may stand bare in a condition text.
-PLAIN_WORDS = {"and", "or", "not", "in", "is", "null", "true", "false", PERIOD_NAME}
-# Pieces of a condition text. Comments come before signs, so none can hide a quote.
-_PIECE = re.compile(
-    r"""(?P<literal>'(?:\\.|[^'\\])*'|"(?:\\.|[^"\\])*"|(?:\d+\.?\d*|\.\d+)(?:[eE][+-]?\d+)?)
-    |(?P<field>`[^`]*`)|(?P<comment>--|/\*)|(?P<word>[^\W\d]\w*)(?P<call>\s*\()?
-    |(?P<sign>[=<>!+\-*/%(),]|\s)|(?P<other>.)""",
-    re.DOTALL | re.VERBOSE,
-)
+PERIOD_NAME = expressions.PERIOD_NAME
+
+# Classes of values that compare with each other.
+TEXT, NUMBER, TIME, NOTHING = "text", "number", "time", "nothing"
 
 
 @dataclass(frozen=True, eq=False)
@@ -61,45 +51,89 @@ class Term:
     bad: Column | None = None
     kind: T.DataType | None = None
 
-    def _pair(
-        self, other: object, make: Callable[[Column, Column], Column], strict: bool, unlike: bool = False, kind: str = "double"
-    ) -> Term:
-        that = as_term(other)
-        bad = either(self.bad, that.bad)
-        if mixed(self.kind, that.kind):
-            if strict:
-                return Term(F.lit(None).cast(kind), F.lit(True))
-            return Term(F.lit(unlike), bad)
-        if strict:
-            bad = either(bad, self.value.isNull() | that.value.isNull())
-        return Term(make(self.value, that.value), bad)
+    @property
+    def type_class(self) -> str | None:
+        """What the value compares with; None where its type is not known."""
+        if isinstance(self.kind, (T.StringType, T.CharType, T.VarcharType)):
+            return TEXT
+        if isinstance(self.kind, (T.NumericType, T.BooleanType)):
+            return NUMBER
+        if isinstance(self.kind, (T.DateType, T.TimestampType, T.TimestampNTZType)):
+            return TIME
+        return NOTHING if isinstance(self.kind, T.NullType) else None
+
+    @property
+    def number(self) -> Column:
+        """A truth value counts as 1 or 0 where numbers are wanted."""
+        return self.value.cast("int") if isinstance(self.kind, T.BooleanType) else self.value
+
+    def truth(self) -> Column:
+        """Whether the value stands for true; never NULL."""
+        if isinstance(self.kind, T.BooleanType):
+            return F.coalesce(self.value, F.lit(False))
+        if self.type_class == NUMBER:
+            return F.coalesce(self.value != 0, F.lit(False))
+        if self.type_class == TEXT:
+            return F.coalesce(self.value != "", F.lit(False))
+        return self.value.isNotNull()
+
+    def _alike(self, that: Term) -> bool:
+        """Whether values of both types can be compared; those of unknown type are taken to be."""
+        mine, other = self.type_class, that.type_class
+        return mine is None or other is None or mine == other or NOTHING in (mine, other)
 
     def __eq__(self, other: object) -> Term:  # type: ignore[override]
-        return self._pair(other, lambda a, b: a.eqNullSafe(b), strict=False)
+        that = as_term(other)
+        if NOTHING in (self.type_class, that.type_class) or not self._alike(that):
+            same = self.value.isNull() & that.value.isNull()
+        else:
+            same = self.number.eqNullSafe(that.number)
+        return Term(same, either(self.bad, that.bad), BOOLEAN)
 
     def __ne__(self, other: object) -> Term:  # type: ignore[override]
-        return self._pair(other, lambda a, b: ~a.eqNullSafe(b), strict=False, unlike=True)
+        same = self == other
+        return Term(~same.value, same.bad, BOOLEAN)
+
+    def _ordered(self, other: object, make: Callable[[Column, Column], Column]) -> Term:
+        that = as_term(other)
+        if NOTHING in (self.type_class, that.type_class) or not self._alike(that):
+            return failed()
+        bad = either(either(self.bad, that.bad), self.value.isNull() | that.value.isNull())
+        return Term(make(self.number, that.number), bad, BOOLEAN)
 
     def __lt__(self, other: object) -> Term:
-        return self._pair(other, lambda a, b: a < b, strict=True, kind="boolean")
+        return self._ordered(other, lambda a, b: a < b)
 
     def __le__(self, other: object) -> Term:
-        return self._pair(other, lambda a, b: a <= b, strict=True, kind="boolean")
+        return self._ordered(other, lambda a, b: a <= b)
 
     def __gt__(self, other: object) -> Term:
-        return self._pair(other, lambda a, b: a > b, strict=True, kind="boolean")
+        return self._ordered(other, lambda a, b: a > b)
 
     def __ge__(self, other: object) -> Term:
-        return self._pair(other, lambda a, b: a >= b, strict=True, kind="boolean")
+        return self._ordered(other, lambda a, b: a >= b)
+
+    def _calculated(self, other: object, make: Callable[[Column, Column], Column]) -> Term:
+        that = as_term(other)
+        if not {self.type_class, that.type_class} <= {NUMBER, None}:
+            return failed()
+        bad = either(either(self.bad, that.bad), self.value.isNull() | that.value.isNull())
+        made = make(self.number, that.number)
+        # What overflows the type of the result is a failure, not a NULL that compares as one.
+        return Term(made, either(bad, made.isNull()), T.DoubleType())
 
     def __add__(self, other: object) -> Term:
-        return self._pair(other, F.try_add, strict=True)
+        that = as_term(other)
+        if self.type_class == that.type_class == TEXT:
+            bad = either(either(self.bad, that.bad), self.value.isNull() | that.value.isNull())
+            return Term(F.concat(self.value, that.value), bad, T.StringType())
+        return self._calculated(that, F.try_add)
 
     def __sub__(self, other: object) -> Term:
-        return self._pair(other, F.try_subtract, strict=True)
+        return self._calculated(other, F.try_subtract)
 
     def __mul__(self, other: object) -> Term:
-        return self._pair(other, F.try_multiply, strict=True)
+        return self._calculated(other, F.try_multiply)
 
     def __truediv__(self, other: object) -> Term:
         return self._divided(other, F.try_divide)
@@ -112,36 +146,46 @@ class Term:
 
     def _divided(self, other: object, make: Callable[[Column, Column], Column]) -> Term:
         that = as_term(other)
-        made = self._pair(that, make, strict=True)
-        return Term(made.value, either(made.bad, that.value == 0))
+        made = self._calculated(that, make)
+        if not {self.type_class, that.type_class} <= {NUMBER, None}:
+            return made
+        return Term(made.value, either(made.bad, that.number == 0), made.kind)
 
     def __neg__(self) -> Term:
-        return Term(-self.value, either(self.bad, self.value.isNull()))
+        return as_term(0) - self
 
     def __pos__(self) -> Term:
-        return Term(self.value, either(self.bad, self.value.isNull()))
+        return self._calculated(0, lambda a, b: a)
 
     def isin(self, *options: object) -> Term:
         listed = options[0] if len(options) == 1 and isinstance(options[0], (list, tuple, set)) else options
-        known = [item for item in listed if item is not None and not mixed(self.kind, as_term(item).kind)]
-        hit = F.coalesce(self.value.isin(known), F.lit(False)) if known else F.lit(False)
-        if None in listed:
-            hit = hit | self.value.isNull()
-        return Term(hit, self.bad)
+        found = Term(F.lit(False), self.bad, BOOLEAN)
+        for item in listed:
+            found = found | (self == item)
+        return found
+
+    def within(self, text: Term) -> Term:
+        """Whether the value is a part of a text."""
+        if text.type_class not in (TEXT, None) or self.type_class not in (TEXT, None):
+            return failed()
+        bad = either(either(self.bad, text.bad), self.value.isNull() | text.value.isNull())
+        return Term(F.contains(text.value, self.value), bad, BOOLEAN)
 
     def __and__(self, other: object) -> Term:
         # The right side can only fail where the left side holds.
         that = as_term(other)
-        bad = either(self.bad, None if that.bad is None else self.value & that.bad)
-        return Term(self.value & that.value, bad)
+        mine = self.truth()
+        bad = either(self.bad, None if that.bad is None else mine & that.bad)
+        return Term(mine & that.truth(), bad, BOOLEAN)
 
     def __or__(self, other: object) -> Term:
         that = as_term(other)
-        bad = either(self.bad, None if that.bad is None else ~self.value & that.bad)
-        return Term(self.value | that.value, bad)
+        mine = self.truth()
+        bad = either(self.bad, None if that.bad is None else ~mine & that.bad)
+        return Term(mine | that.truth(), bad, BOOLEAN)
 
     def __invert__(self) -> Term:
-        return Term(~self.value, self.bad)
+        return Term(~self.truth(), self.bad, BOOLEAN)
 
     def __bool__(self) -> bool:
         raise ConditionError(CODE_PARSE, "use & | ~ and isin() instead of and, or, not and in")
@@ -149,22 +193,26 @@ class Term:
     __hash__ = None  # type: ignore[assignment]
 
 
+BOOLEAN = T.BooleanType()
+
+
+def failed() -> Term:
+    """What has no outcome in any row."""
+    return Term(F.lit(None).cast("boolean"), F.lit(True), BOOLEAN)
+
+
 def as_term(item: object) -> Term:
     if isinstance(item, Term):
         return item
     if isinstance(item, Column):
         return Term(item)
+    if item is None:
+        return Term(F.lit(None), kind=T.NullType())
     if isinstance(item, str):
         return Term(F.lit(item), kind=T.StringType())
-    is_number = isinstance(item, (int, float, Decimal)) and not isinstance(item, bool)
-    return Term(F.lit(item), kind=T.DoubleType() if is_number else None)
-
-
-def mixed(left: T.DataType | None, right: T.DataType | None) -> bool:
-    """Whether one side is known to be a text and the other a number."""
-    return any(
-        isinstance(a, T.StringType) and isinstance(b, T.NumericType) for a, b in ((left, right), (right, left))
-    )
+    if isinstance(item, bool):
+        return Term(F.lit(item), kind=BOOLEAN)
+    return Term(F.lit(item), kind=T.DoubleType() if isinstance(item, (int, float, Decimal)) else None)
 
 
 def either(left: Column | None, right: Column | None) -> Column | None:
@@ -187,31 +235,32 @@ class Fields:
 
     def is_blank(self, term: object) -> Term:
         item = as_term(term)
-        return Term(values.is_blank(item.value), item.bad)
+        return Term(values.is_blank(item.value), item.bad, BOOLEAN)
 
     def has_value(self, term: object) -> Term:
         item = as_term(term)
-        return Term(values.has_value(item.value), item.bad)
+        return Term(values.has_value(item.value), item.bad, BOOLEAN)
 
     def as_number(self, term: object) -> Term:
         item = as_term(term)
+        kind = T.DecimalType(28, 6)
         if isinstance(item.kind, T.NumericType):
             number = item.value.try_cast(values.NUMBER)
-            return Term(number, either(item.bad, item.value.isNotNull() & number.isNull()))
-        return Term(
-            values.as_number(item.value), either(item.bad, values.as_number_invalid(item.value))
-        )
+            return Term(number, either(item.bad, item.value.isNotNull() & number.isNull()), kind)
+        text = item.value.cast("string")
+        return Term(values.as_number(text), either(item.bad, values.as_number_invalid(text)), kind)
 
     def period_of(self, term: object) -> Term:
         item = as_term(term)
-        if isinstance(item.kind, (T.DateType, T.TimestampType, T.TimestampNTZType)):
-            return Term(values.period_of_date(item.value), item.bad)
-        return Term(values.period_of(item.value), item.bad)
+        found = values.period_of_date(item.value) if item.type_class == TIME else values.period_of(item.value)
+        return Term(found, item.bad, T.StringType())
 
-    def add_months(self, period: object, months: int) -> Term:
-        item = as_term(period)
-        moved = values.shift_period(item.value, months)
-        return Term(moved, either(item.bad, moved.isNull()))
+    def add_months(self, period: object, months: object) -> Term:
+        item, count = as_term(period), as_term(months)
+        if item.type_class not in (TEXT, None) or count.type_class not in (NUMBER, None):
+            return failed()
+        moved = values.shift_period(item.value, count.number.cast("int"))
+        return Term(moved, either(either(item.bad, count.bad), moved.isNull()), T.StringType())
 
 
 class _Names(Fields):
@@ -224,6 +273,7 @@ class _Names(Fields):
     def _note(self, name: str) -> Term:
         if name not in self.seen:
             self.seen.append(name)
+        # The type is not known, so no term is refused for it.
         return Term(F.lit(None).cast("string"))
 
 
@@ -231,73 +281,33 @@ Condition = str | Callable[[Fields], Term]
 
 
 def referenced_names(condition: Condition | None) -> list[str]:
-    """Field names a condition reads."""
-    if condition is None or condition == "":
-        return []
-    if isinstance(condition, str):
-        _refuse_placeholder(condition)
-        names = [name.strip() for name in re.findall(FIELD_IN_TEXT, condition)]
-        if "" in names:
-            raise ConditionError(CODE_FIELD_CALL, "a field is named by one non-empty text")
-        return list(dict.fromkeys(names))
+    """Field names a condition reads; raises if the condition can be read in no way."""
     probe = _Names()
-    condition(probe)
+    _made(condition, probe)
     return probe.seen
 
 
 def build(condition: Condition | None, lookup: Callable[[str], Term], period: str) -> Term | None:
-    """The condition as a term, or None for an empty one, which always holds."""
-    if condition is None or condition == "":
+    """The condition as a truth value, or None for an empty one, which always holds."""
+    made = _made(condition, Fields(lookup, period))
+    if made is None:
         return None
-    if not isinstance(condition, str):
-        made = condition(Fields(lookup, period))
-        if not isinstance(made, Term):
-            raise ConditionError(CODE_PARSE, "a condition must give a truth value")
-        return made
-    _refuse_placeholder(condition)
-    for name in referenced_names(condition):
-        lookup(name)
-    refuse_unlisted(condition)
-    outcome = F.expr(condition)
-    return Term(outcome, outcome.isNull())
-
-
-def check_text(frame: DataFrame, condition: str) -> None:
-    """Let Spark analyse a text condition against ``frame``; raises with the report code."""
-    try:
-        field = frame.select(F.expr(condition).alias("outcome")).schema["outcome"]
-    except ParseException as error:
-        raise ConditionError(CODE_PARSE, "the condition is not a valid expression") from error
-    except AnalysisException as error:
-        kind = error.getCondition() or ""
-        if kind.startswith("UNRESOLVED_ROUTINE"):
-            raise ConditionError(CODE_FUNCTION, "the condition calls an unknown function") from error
-        if kind.startswith("UNRESOLVED_COLUMN"):
-            raise ConditionError(CODE_UNRESOLVED, "the condition names an unknown field") from error
-        raise ConditionError(CODE_RUNTIME, "the condition cannot be evaluated") from error
-    if field.dataType.typeName() not in {"boolean", "void"}:
-        raise ConditionError(CODE_RUNTIME, "the condition does not give a truth value")
-
-
-def refuse_unlisted(condition: str) -> None:
-    """Refuse what a condition text may not hold: other functions, bare names, queries, comments.
-
-    Rule tables are data from outside, and Spark SQL can call any method of the JVM.
-    """
-    for piece in _PIECE.finditer(condition):
-        if piece["comment"] or piece["other"]:
-            raise ConditionError(CODE_SYNTAX, f"the condition may not hold {piece[0]!r}")
-        word = (piece["word"] or "").lower()
-        if not word or word in PLAIN_WORDS or (piece["call"] and word in HELPER_NAMES):
-            continue
-        if piece["call"]:
-            raise ConditionError(CODE_FUNCTION, f"the condition calls {word}, which is no helper")
-        raise ConditionError(CODE_SYNTAX, f"the condition may not hold {word}; fields stand in back-ticks")
-
-
-def _refuse_placeholder(condition: str) -> None:
-    if condition.strip().upper() in PLACEHOLDERS:
-        raise ConditionError(CODE_PLACEHOLDER, "the condition is still a placeholder")
+    # Where a condition has no outcome it does not hold.
+    value = made.truth() if made.bad is None else F.coalesce(made.truth() & ~made.bad, F.lit(False))
+    return Term(value, made.bad if made.bad is None else F.coalesce(made.bad, F.lit(True)), BOOLEAN)
+
+
+def _made(condition: Condition | None, fields: Fields) -> Term | None:
+    if condition is None or (isinstance(condition, str) and not condition):
+        return None
+    if isinstance(condition, str):
+        if condition.strip().upper() in PLACEHOLDERS:
+            raise ConditionError(CODE_PLACEHOLDER, "the condition is still a placeholder")
+        return expressions.read(condition, fields)
+    made = condition(fields)
+    if not isinstance(made, Term):
+        raise ConditionError(CODE_PARSE, "a condition must give a truth value")
+    return made
 
 
 # Helper calls inside condition text, as SQL functions. Spark inlines them, so they cost nothing

@@ -282,18 +282,12 @@ class _Binding:
         self._notes: list[tuple[str, str]] = []
 
     def prepared(self) -> DataFrame:
-        """The sheet with the period, all conditions and all split numbers as columns."""
-        frame = self._with_period()
+        """The sheet with all conditions and all split numbers as columns."""
+        frame = self.given.frame
         for layer in (self._first, self._second):
             frame = frame.withColumns(layer) if layer else frame
         return frame
 
-    def _with_period(self) -> DataFrame:
-        frame = self.given.frame
-        if conditions.PERIOD_NAME in frame.columns:
-            return frame
-        return frame.withColumn(conditions.PERIOD_NAME, F.lit(self.period))
-
     def group(self, rule: Rule) -> Column | None:
         source = self._one(rule)
         return None if source is None else group_text(source)
@@ -306,17 +300,13 @@ class _Binding:
         applies = source.present
         try:
             term = conditions.build(rule.condition, self._lookup, self.period)
-            if term is not None and isinstance(rule.condition, str):
-                conditions.check_text(self._with_period(), rule.condition)
         except ConditionError as error:
             self._notes.append((error.field or rule.field, str(error)))
             return nothing
         if term is not None:
             holds = self._keep(term.value)
             if term.bad is not None:
-                is_text = isinstance(rule.condition, str)
-                bad = holds.isNull() if is_text else self._keep(term.bad)
-                self._fail(both(applies, bad), None, FAILED_CONDITION)
+                self._fail(both(applies, self._keep(term.bad)), None, FAILED_CONDITION)
             applies = both(applies, holds)
         made = self._number(rule, source)
         if made.empty is not None:

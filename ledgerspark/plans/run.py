@@ -7,7 +7,6 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerspark.functions.conditions import install_sql_helpers
 from ledgerspark.operators import load
 from ledgerspark.plans.rollup import PERIOD, plan_rollup
 from ledgerspark.plans.rules import PatchBook, RuleBundle, load_bundle, refuse_shared_sums
@@ -42,23 +41,23 @@ class Setup:
         return require_target(list_projects(self.projects, tables), project)
 
 
-def validate(setup: Setup, project: str, grid: DataFrame) -> DataFrame:
+def validate(setup: Setup, project: str, grid: DataFrame, inventory: DataFrame | None = None) -> DataFrame:
     """Report of all source and target checks, or ``ValidationFailed``."""
-    install_sql_helpers(grid.sparkSession)
     setup.target_table(project)
     bundle = setup.bundle(project)
     mine = F.col("project") == project
     rules = _rules_frame(grid.sparkSession, bundle)
     expected = expected_target_fields(setup.projects.where(mine), rules)
     targets = target_checks(expected, setup.target_fields).drop("project")
-    return require_all_passed(source_checks(grid, bundle).unionByName(targets))
+    return require_all_passed(source_checks(grid, bundle, inventory).unionByName(targets))
 
 
-def preview(setup: Setup, project: str, grid: DataFrame, period: str) -> DataFrame:
+def preview(
+    setup: Setup, project: str, grid: DataFrame, period: str, inventory: DataFrame | None = None
+) -> DataFrame:
     """The released rollup of all files of ``grid``, or ``RollupIssues``."""
-    install_sql_helpers(grid.sparkSession)
     bundle = setup.bundle(project)
-    inputs = {spec.sheet: sheet_input(grid, spec, bundle.rules) for spec in bundle.sheets}
+    inputs = {spec.sheet: sheet_input(grid, spec, bundle.rules, inventory) for spec in bundle.sheets}
     return plan_rollup(inputs, bundle, period).release()
 
 
@@ -88,10 +87,11 @@ def run_full(
     folder: str,
     target_path: str,
     strategy: str = DEFAULT,
+    inventory: DataFrame | None = None,
 ) -> DataFrame:
     """Validate, roll up and load; the first stage that refuses ends the job."""
-    validate(setup, project, grid)
-    result = preview(setup, project, grid, period)
+    validate(setup, project, grid, inventory)
+    result = preview(setup, project, grid, period, inventory)
     groups = setup.bundle(project).group_fields
     artifact = load.write_artifact(result, folder, project, period, groups)
     return upload(setup, project, artifact, target_path, strategy)

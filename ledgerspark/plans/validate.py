@@ -10,20 +10,26 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ledgerspark.errors import ConditionError, ValidationFailed
 from ledgerspark.functions import conditions
-from ledgerspark.functions.names import quoted
-from ledgerspark.plans.rollup import PERIOD
+from ledgerspark.functions.values import VALIDATION_PERIOD
+from ledgerspark.plans.rollup import FAILED_CONDITION, PERIOD
 from ledgerspark.plans.rules import GROUP, SUM, Rule, RuleBundle, SheetSpec
 from ledgerspark.schemas import CHECKS
+from ledgerspark.session import lookup_side
 from ledgerspark.sources.grid import (
     CSV_NEEDS_DEFAULT,
     DEFAULT_NEEDS_ONE,
+    FILE_KEY,
     MISSING_SHEET,
     bind_header,
     called,
+    cell_at,
+    data_rows,
     matches,
+    not_blank,
     pick_sheet,
     resolve_header,
     sheet_bounds,
@@ -62,9 +68,9 @@ def check(name: str, scope: Column, passed: Column, message: Column, **details:
     )
 
 
-def sheet_checks(grid: DataFrame, spec: SheetSpec) -> DataFrame:
-    """``sheet_exists`` and ``data_range`` of one logical sheet for every file."""
-    bounds = sheet_bounds(grid, spec)
+def sheet_checks(grid: DataFrame, spec: SheetSpec, inventory: DataFrame | None = None) -> DataFrame:
+    """``sheet_exists`` and ``data_range`` of one logical sheet for every file, those without rows included."""
+    bounds = sheet_bounds(grid, spec, inventory)
     scope = F.lit(f"sheet:{spec.sheet}")
     message, source = F.col("message"), F.col("source_file")
     missing = F.coalesce(message == MISSING_SHEET, F.lit(False))
@@ -99,7 +105,9 @@ def sheet_checks(grid: DataFrame, spec: SheetSpec) -> DataFrame:
 def field_checks(grid: DataFrame, spec: SheetSpec, rules: Sequence[Rule]) -> DataFrame:
     """``field_exists`` and ``condition_valid`` per file for the rules of one logical sheet.
 
-    Header columns are matched against all rules in one aggregate over the header rows.
+    Header columns are matched against all rules in one aggregate over the header rows. Conditions are
+    then tried on the first data row of every file, all of them in one pass; a file without data rows has
+    nothing to try them on.
     """
     mine = [rule for rule in rules if rule.applies_to(spec.sheet)]
     readable = sheet_bounds(grid, spec).where(F.col("message").isNull()).select("source_file")
@@ -113,14 +121,14 @@ def field_checks(grid: DataFrame, spec: SheetSpec, rules: Sequence[Rule]) -> Dat
             continue
         try:
             names += [n for n in conditions.referenced_names(rule.condition) if n not in names]
-            if isinstance(rule.condition, str):
-                _check_syntax(grid, rule.condition)
         except ConditionError as error:
             failed[i] = error
     wanted = [matches(r.category, r.field) for r in mine] + [called(n) for n in names]
     bound = bind_header(header, wanted)
     offset = len(mine)
     place = {name: offset + i for i, name in enumerate(names)}
+    if names:
+        bound = bound.join(_sample_rows(grid, spec, bound), FILE_KEY, "left")
 
     reports: list[Column] = []
     for i, rule in enumerate(mine):
@@ -179,34 +187,52 @@ def _condition_report(
             )
         )
         first = F.try_element_at(unknown, F.lit(1))
+        fails = _fails_on_sample(rule, place)
         report = check(
             "condition_valid",
             scope,
-            first.isNull(),
-            F.when(first.isNull(), F.lit(CONDITION_GOOD)).otherwise(
-                F.concat(F.lit("the condition names an unknown field: "), first)
-            ),
+            first.isNull() & ~fails,
+            F.when(first.isNotNull(), F.concat(F.lit("the condition names an unknown field: "), first))
+            .when(fails, F.lit(FAILED_CONDITION))
+            .otherwise(F.lit(CONDITION_GOOD)),
             source_file=source,
             condition=text,
-            code=F.when(first.isNotNull(), F.lit(conditions.CODE_UNRESOLVED)),
+            code=F.when(first.isNotNull(), F.lit(conditions.CODE_UNRESOLVED)).when(
+                fails, F.lit(conditions.CODE_RUNTIME)
+            ),
         )
     # A condition is only looked at where its rule has a column.
     return F.when(F.col(f"n{i}") == 1, report)
 
 
-def _check_syntax(grid: DataFrame, condition: str) -> None:
-    names = conditions.referenced_names(condition)
-    columns = ", ".join(
-        f"{quoted(name)} string" for name in [*names, conditions.PERIOD_NAME]
-    )
-    conditions.check_text(grid.sparkSession.createDataFrame([], columns), condition)
-    conditions.refuse_unlisted(condition)
+def _sample_rows(grid: DataFrame, spec: SheetSpec, bound: DataFrame) -> DataFrame:
+    """The first row of every file that holds anything in a named column: ``sample``."""
+    named_idx = lookup_side(bound.select(*FILE_KEY, "named_idx"))
+    rows = data_rows(pick_sheet(grid, spec), spec).join(named_idx, FILE_KEY)
+    filled = rows.where(not_blank(F.col("cells"), F.col("named_idx")))
+    return filled.groupBy(*FILE_KEY).agg(F.min_by("cells", "row_no").alias("sample"))
+
+
+def _fails_on_sample(rule: Rule, place: Mapping[str, int]) -> Column:
+    """Whether the condition has no outcome on the sample row of a file."""
+
+    def value(name: str) -> conditions.Term:
+        i = place[name]
+        cell = cell_at(F.when(F.col(f"n{i}") == 1, F.col(f"x{i}")), F.col("sample"), F.col("stem"))
+        return conditions.Term(cell, kind=T.StringType())
+
+    term = conditions.build(rule.condition, value, VALIDATION_PERIOD)
+    if term is None or term.bad is None:
+        return F.lit(False)
+    # Conditions that name no field have the same outcome in every file.
+    return term.bad & F.col("sample").isNotNull() if place else term.bad
 
 
-def source_checks(grid: DataFrame, bundle: RuleBundle) -> DataFrame:
+def source_checks(grid: DataFrame, bundle: RuleBundle, inventory: DataFrame | None = None) -> DataFrame:
+    """All checks of the files of ``grid``; with an ``inventory`` also of files that have no rows."""
     parts = []
     for spec in bundle.sheets:
-        parts.append(sheet_checks(grid, spec))
+        parts.append(sheet_checks(grid, spec, inventory))
         parts.append(field_checks(grid, spec, bundle.rules))
     report = parts[0]
     for part in parts[1:]:

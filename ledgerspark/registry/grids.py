@@ -9,7 +9,7 @@ from ledgerspark.plans.rollup import plan_rollup
 from ledgerspark.plans.rules import Rule, RuleBundle, SheetSpec
 from ledgerspark.plans.validate import field_checks, sheet_checks
 from ledgerspark.registry.base import as_double, money_text, query, table
-from ledgerspark.session import scratch_path, settle, store
+from ledgerspark.session import scratch_path, settings, settle, store
 from ledgerspark.sources import files, grid as G
 
 PERIOD = "199904"
@@ -563,7 +563,7 @@ def csv_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     path = scratch_path(spark, "bills")
     lines.unionByName(blanks).write.option("escape", '"').csv(path)
-    grid = files.read_grid(spark, path, columns=3)
+    grid = files.read_grid(spark, path)
     return grid.select(
         F.col("cells")[0].alias("order_key"),
         F.col("cells")[1].alias("amount"),
@@ -581,7 +581,7 @@ def csv_row_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders.repartition(8, "o_orderkey").sortWithinPartitions("o_orderkey").select(
         "o_orderkey", "o_orderstatus", place
     ).write.csv(path)
-    grid = files.read_grid(spark, path, columns=3, multi_line=False)
+    grid = files.read_grid(spark, path)
     return grid.agg(
         F.countDistinct("source_file").alias("files"),
         F.count("*").alias("rows"),
@@ -589,6 +589,55 @@ def csv_row_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query(
+    """
+    SELECT CAST(o_orderkey AS VARCHAR) AS order_key, 1 + o_orderkey % 6 AS width,
+        CASE WHEN o_orderkey % 6 = 0 THEN NULL ELSE o_orderstatus END AS last_cell, CAST(greatest(o_orderkey % 6 - 1, 0) AS BIGINT) AS gaps
+    FROM orders"""
+)
+def csv_unequal_widths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows of one to six cells, empty ones before the last: every row has the cells of its record."""
+    key = F.col("o_orderkey")
+    gap = F.repeat(F.lit(","), (key % 6).cast("int"))
+    last = F.when(key % 6 == 0, F.lit("")).otherwise(F.col("o_orderstatus"))
+    path = scratch_path(spark, "bills")
+    lines = table(spark, sf_dir, "orders").select(F.concat(key.cast("string"), gap, last), (key % 3).alias("part"))
+    # Written as one column with another separator, so widths are what the lines say.
+    lines.write.partitionBy("part").option("sep", "\u0001").csv(path)
+    grid = files.read_grid(spark, path)
+    cells = F.col("cells")
+    return grid.select(
+        cells[0].alias("order_key"), F.size(cells).cast("long").alias("width"),
+        F.when(F.size(cells) > 1, F.element_at(cells, -1)).alias("last_cell"),
+        F.size(F.filter(cells, lambda c: c == "")).cast("long").alias("gaps"),
+    )
+
+
+@query(
+    """
+    SELECT CAST(o_orderkey AS VARCHAR) AS order_key, row_number() OVER (ORDER BY o_orderkey) AS row_no,
+        CASE o_orderkey % 4 WHEN 0 THEN 'two' || chr(10) || 'lines, ' || o_orderstatus WHEN 1 THEN '"' || o_orderstatus || '"' || chr(10)
+            WHEN 2 THEN 'in"side' ELSE repeat('long' || chr(10), 40) END AS note
+    FROM orders"""
+)
+def csv_quoted_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One file of records with line breaks, read in many blocks that cut them anywhere."""
+    key = F.col("o_orderkey")
+    note = (
+        F.when(key % 4 == 0, F.concat(F.lit("two\nlines, "), "o_orderstatus"))
+        .when(key % 4 == 1, F.concat(F.lit('"'), "o_orderstatus", F.lit('"\n')))
+        .when(key % 4 == 2, F.lit('in"side'))
+        .otherwise(F.repeat(F.lit("long\n"), 40))
+    )
+    path = scratch_path(spark, "bills")
+    ordered = table(spark, sf_dir, "orders").select(key.alias("key"), note.alias("note")).orderBy("key")
+    options = {"escape": '"', "ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false"}
+    ordered.coalesce(1).write.options(**options).csv(path)
+    with settings(spark, {"spark.sql.files.maxPartitionBytes": "16384", "spark.sql.files.openCostInBytes": "0"}):
+        grid = store(files.read_grid(spark, path), "grid")
+    return grid.select(F.col("cells")[0].alias("order_key"), "row_no", F.col("cells")[1].alias("note"))
+
+
 @query(
     """
     SELECT CAST(o_orderkey AS VARCHAR) AS order_key, '门店单据 ' || o_orderkey AS note,
@@ -606,7 +655,7 @@ def csv_encodings(spark: SparkSession, sf_dir: str) -> DataFrame:
         part = lines.where(F.col("even") == even).drop("even")
         part.write.option("encoding", encoding).csv(f"{path}/{folder}")
     judged = files.file_encodings(spark, path).select(F.col("path").alias("source_file"), "encoding")
-    grid = files.read_grid(spark, path, columns=2, multi_line=False, numbered=False)
+    grid = files.read_grid(spark, path, numbered=False)
     return grid.join(judged, "source_file").select(
         F.col("cells")[0].alias("order_key"), F.col("cells")[1].alias("note"), "encoding"
     )

@@ -24,6 +24,8 @@ RECOMMENDED = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
+    # What one Arrow batch brings into a Python worker, whatever the width of its rows.
+    "spark.sql.execution.arrow.maxBytesPerBatch": "8m",
     # Beyond this method size the JVM stops compiling; Spark then uses smaller methods instead.
     "spark.sql.codegen.hugeMethodLimit": "8000",
     # A JSON object that repeats a key is valid; the last value counts.
@@ -113,12 +115,21 @@ def discard(stored: DataFrame) -> None:
 
 
 @contextmanager
-def batches_of(spark: SparkSession, rows: int) -> Iterator[None]:
-    """Bound the rows of an Arrow batch for jobs that run inside; afterwards the setting is as before."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before = spark.conf.get(key)
-    spark.conf.set(key, str(rows))
+def settings(spark: SparkSession, values: dict[str, str]) -> Iterator[None]:
+    """Runtime settings for jobs that run inside; afterwards all are as before."""
+    before = {key: spark.conf.get(key, None) for key in values}
+    for key, value in values.items():
+        spark.conf.set(key, value)
     try:
         yield
     finally:
-        spark.conf.set(key, before)
+        for key, value in before.items():
+            if value is None:
+                spark.conf.unset(key)
+            else:
+                spark.conf.set(key, value)
+
+
+def batches_of(spark: SparkSession, rows: int):
+    """Bound the rows of an Arrow batch for jobs that run inside."""
+    return settings(spark, {"spark.sql.execution.arrow.maxRecordsPerBatch": str(rows)})

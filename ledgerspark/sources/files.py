@@ -2,32 +2,63 @@
 
 from __future__ import annotations
 
+from datetime import UTC, datetime
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerspark.errors import SourceError
-from ledgerspark.functions.values import WHITESPACE
 from ledgerspark.plans.rules import DEFAULT_SHEET
-from ledgerspark.session import lookup_side, store
+from ledgerspark.session import lookup_side, scratch_path
+from ledgerspark.sources import records
+from ledgerspark.sources.records import GB18030, UTF8  # noqa: F401
 
-# File types that are read, the prefix of temporary files, the encodings in order.
+# File types that are read, the prefix of temporary files.
 SUFFIXES = [".csv", ".xlsx", ".xlsm"]
 TEMPORARY_PREFIX = "~$"
-UTF8, GB18030 = "UTF-8", "GB18030"
-
-# What a decoder leaves where bytes fit no character.
-REPLACEMENT = "\ufffd"
 
 
 def file_inventory(spark: SparkSession, path: str) -> DataFrame:
-    """Supported files below ``path``. Only file metadata is read."""
-    listed = (
-        spark.read.format("binaryFile")
-        .option("recursiveFileLookup", "true")
-        .load(path)
-        .select("path", "length", "modificationTime")
-    )
-    return supported_files(listed)
+    """Supported files below ``path``, empty and hidden ones included: ``path, length, modificationTime, suffix``.
+
+    Only file metadata is read, from the file system itself: Spark's own listing leaves out names that
+    begin with ``_`` or ``.``.
+    """
+    context = spark.sparkContext
+    at = context._jvm.org.apache.hadoop.fs.Path(path)
+    system = at.getFileSystem(context._jsc.hadoopConfiguration())
+    rows = []
+    if system.exists(at):
+        # As in any Spark scan the names are driver-side; contents never are.
+        found = system.listFiles(at, True)
+        while found.hasNext():
+            one = found.next()
+            when = datetime.fromtimestamp(one.getModificationTime() / 1000, UTC).replace(tzinfo=None)
+            rows.append((_three_slashes(one.getPath().toString()), one.getLen(), when))
+    return supported_files(spark.createDataFrame(rows, "path string, length long, modificationTime timestamp_ntz"))
+
+
+def _three_slashes(path: str) -> str:
+    """A local path as Spark spells it in the metadata of rows."""
+    return "file://" + path[len("file:") :] if path.startswith("file:/") and not path.startswith("file://") else path
+
+
+def visible_copies(spark: SparkSession, hidden: list[str]) -> tuple[str | None, list[tuple[str, str]]]:
+    """A folder with copies of hidden files under plain names, and ``(copy, original)`` of each.
+
+    Such files are rare and Spark cannot be told to open them, so they are copied as a stream.
+    """
+    if not hidden:
+        return None, []
+    context = spark.sparkContext
+    conf, fs = context._jsc.hadoopConfiguration(), context._jvm.org.apache.hadoop.fs
+    folder = scratch_path(spark, "visible")
+    pairs = []
+    for i, original in enumerate(hidden):
+        source, target = fs.Path(original), fs.Path(f"{folder}/{i}.csv")
+        fs.FileUtil.copy(source.getFileSystem(conf), source, target.getFileSystem(conf), target, False, conf)
+        pairs.append((_three_slashes(target.getFileSystem(conf).makeQualified(target).toString()), original))
+    return folder, pairs
 
 
 def supported_files(listed: DataFrame, path: str = "path") -> DataFrame:
@@ -59,117 +90,69 @@ def plain_path() -> Column:
     return F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B")))
 
 
-def file_encodings(spark: SparkSession, path: str) -> DataFrame:
-    """Encoding per file, judged on its raw lines: UTF-8 if every line is, else GB18030."""
-    lines = (
-        spark.read.option("recursiveFileLookup", "true")
-        .option("pathGlobFilter", "*.[cC][sS][vV]")
-        .text(path)
-        .select(plain_path().alias("path"), F.is_valid_utf8("value").alias("good"))
-    )
-    verdict = lines.groupBy("path").agg(F.bool_and("good").alias("good"))
-    encoding = F.when(F.col("good"), F.lit(UTF8)).otherwise(F.lit(GB18030))
-    return supported_files(verdict.select("path", encoding.alias("encoding")))
-
-
-def read_grid(
-    spark: SparkSession,
-    path: str,
-    columns: int,
-    multi_line: bool = True,
-    numbered: bool = True,
-    encoding: str | None = None,
-) -> DataFrame:
-    """CSV files below ``path`` as a grid with ``columns`` cells per row.
-
-    A row with more cells than ``columns`` and a file that fits no encoding stop the read by name;
-    nothing is dropped without a word. Rows whose cells are all white space are dropped before rows
-    are numbered. ``multi_line``
-    allows line breaks inside quotes, at the price of one task per file; turn it off for files that
-    are large and free of them. ``numbered=False`` skips the numbering (``row_no`` is NULL).
-    Without ``encoding`` every file is judged by its own bytes, which reads the files once more.
-    """
+def csv_lines(spark: SparkSession, path: str) -> DataFrame:
+    """Lines of all CSV files below ``path``, hidden ones included."""
     inventory = file_inventory(spark, path)
     require_one_type(inventory, path)
-    if encoding is None:
-        judged = file_encodings(spark, path)
-    else:
-        judged = inventory.select("path", F.lit(encoding).alias("encoding"))
-    by_encoding: dict[str, list[str]] = {}
-    # The file list is driver-side in every Spark scan; contents never are.
-    for row in judged.toLocalIterator():
-        by_encoding.setdefault(row["encoding"], []).append(row["path"])
-    if not by_encoding:
+    csv = inventory.where(F.col("suffix") == ".csv")
+    if csv.isEmpty():
         raise SourceError(f"no CSV files were found: {path}")
-    parts = [
-        _read_csv(spark, paths, kind, columns, multi_line)
-        for kind, paths in sorted(by_encoding.items())
-    ]
-    grid = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
-    if not numbered:
-        return grid.select(*_key(), F.lit(None).cast("bigint").alias("row_no"), "cells")
-    return number_rows(grid)
+    # Names below the path decide; above it Spark follows any name.
+    root = path.split("://", 1)[-1].removeprefix("file:").rstrip("/")
+    below = F.when(F.col("path").endswith(root), F.element_at(F.split("path", "/"), -1)).otherwise(
+        F.split_part("path", F.lit(root + "/"), F.lit(-1))
+    )
+    hidden = [r[0] for r in csv.where(below.rlike(r"(^|/)[_.]")).select("path").toLocalIterator()]
+    folder, copies = visible_copies(spark, hidden)
+    name = F.element_at(F.split("source_file", "/"), -1)
+    lines = records.raw_lines(spark, [path], plain_path()).where(~name.startswith(TEMPORARY_PREFIX))
+    if folder is None:
+        return lines
+    originals = spark.createDataFrame(copies, "copy string, original string")
+    more = records.raw_lines(spark, [folder], plain_path()).join(F.broadcast(originals), F.col("source_file") == F.col("copy"))
+    return lines.unionByName(more.select(F.col("original").alias("source_file"), "block", "seq", "value"))
 
 
-def undecodable_files(grid: DataFrame) -> DataFrame:
-    """Files that fit none of the encodings."""
-    broken = F.exists("cells", lambda cell: F.coalesce(cell.contains(REPLACEMENT), F.lit(False)))
-    return grid.where(broken).select("source_file").distinct()
+def file_encodings(spark: SparkSession, path: str) -> DataFrame:
+    """``path, encoding``: judged on a file's raw lines, UTF-8 if every line is, else GB18030."""
+    facts = records.block_facts(csv_lines(spark, path))
+    return facts.select(F.col("source_file").alias("path"), "encoding").distinct()
+
 
+def read_grid(spark: SparkSession, path: str, numbered: bool = True, encoding: str | None = None) -> DataFrame:
+    """CSV files below ``path`` as a grid; a row has as many cells as its record.
+
+    Files are cut into blocks however they are quoted. A file that fits no encoding stops the read by
+    name; nothing is dropped without a word. Rows whose cells are all white space are dropped before rows
+    are numbered. Line breaks in quotes stay as they are. ``numbered=False`` skips the numbering (``row_no``
+    is NULL). Without ``encoding`` every file is judged by its own bytes. Files are read twice, once for
+    quotes and encoding and once for the records.
+    """
+    lines = csv_lines(spark, path)
+    found = records.csv_records(lines, records.block_facts(lines, encoding))
+    if not numbered:
+        return found.select(*_key(), F.lit(None).cast("bigint").alias("row_no"), "cells")
+    return number_rows(found)
 
-def number_rows(grid: DataFrame) -> DataFrame:
+
+def number_rows(found: DataFrame) -> DataFrame:
     """Row numbers per file without sorting a file in one task.
 
-    Rows of one file block are read in order by one task, so the generated id counts them. Blocks
-    are then put in order by a window over one row per block.
+    Records of a block are numbered where they are read; a record that reaches into later blocks is the
+    last of its own. Blocks are put in order by a window over one row per block.
     """
-    placed = store(grid.withColumn("seq", F.monotonically_increasing_id()), "numbered")
-    blocks = placed.groupBy("source_file", "block").agg(
-        F.min("seq").alias("start"), F.count("*").alias("size")
+    sizes = found.groupBy("source_file", "block").agg(
+        F.count_if(F.col("place") < records.LAST).alias("whole"), F.count("*").alias("size")
     )
     order = F.expr(
         "coalesce(sum(size) over (partition by source_file order by block"
         " rows between unbounded preceding and 1 preceding), 0)"
     )
-    offsets = lookup_side(blocks.select("source_file", "block", "start", order.alias("before")))
-    row_no = F.col("seq") - F.col("start") + F.col("before") + 1
-    return placed.join(offsets, ["source_file", "block"]).select(
-        *_key(), row_no.alias("row_no"), "cells"
-    )
+    offsets = lookup_side(sizes.select("source_file", "block", "whole", order.alias("before")))
+    cut = F.col("place") - records.LAST
+    row_no = F.col("before") + F.when(cut < 0, F.col("place")).otherwise(F.col("whole") + cut) + 1
+    return found.join(offsets, ["source_file", "block"]).select(*_key(), row_no.alias("row_no"), "cells")
 
 
 def _key() -> list[Column]:
     return [F.col("source_file"), F.lit(DEFAULT_SHEET).alias("sheet")]
-
-
-def _read_csv(
-    spark: SparkSession, paths: list[str], encoding: str, columns: int, multi_line: bool
-) -> DataFrame:
-    names = [f"c{i}" for i in range(columns + 1)]
-    file = F.col("_metadata.file_path")
-    # The one column more than asked for shows rows that are wider.
-    too_wide = F.raise_error(F.concat(F.lit(f"a row has more than {columns} cells: "), file))
-    cells = F.when(F.col(names[-1]).isNotNull(), too_wide.cast("array<string>")).otherwise(F.array(*names[:-1]))
-    if encoding == GB18030:
-        # The last encoding that is tried leaves replacement characters where it does not fit.
-        broken = F.exists(F.array(*names), lambda cell: F.coalesce(cell.contains(REPLACEMENT), F.lit(False)))
-        unknown = F.raise_error(F.concat(F.lit("the file fits no encoding: "), file))
-        cells = F.when(broken, unknown.cast("array<string>")).otherwise(cells)
-    filled = F.exists(
-        cells, lambda cell: F.coalesce(F.btrim(cell, F.lit(WHITESPACE)) != "", F.lit(False))
-    )
-    return (
-        spark.read.schema(", ".join(f"{name} string" for name in names))
-        .option("encoding", encoding)
-        .option("multiLine", str(multi_line).lower())
-        .option("escape", '"')
-        .option("emptyValue", "")
-        .option("maxColumns", str(max(columns, 20480)))
-        .csv(paths)
-        .select(
-            plain_path().alias("source_file"),
-            F.col("_metadata.file_block_start").alias("block"),
-            cells.alias("cells"),
-        )
-        .where(filled)
-    )

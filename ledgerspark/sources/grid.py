@@ -29,6 +29,7 @@ MISSING_SHEET = "Required sheet is missing."
 DEFAULT_NEEDS_ONE = (
     "DEFAULT logical sheet can only be used when the workbook has exactly one sheet."
 )
+NO_ROWS = "No rows were found in "
 CSV_NEEDS_DEFAULT = "CSV files must use the DEFAULT logical sheet."
 RANGE_MESSAGES = {
     "zero": "last_row cannot be zero.",
@@ -116,10 +117,11 @@ def pick_sheet(grid: DataFrame, spec: SheetSpec) -> DataFrame:
     return grid.join(lookup_side(single_sheet_files(grid)), "source_file", "left_semi")
 
 
-def sheet_bounds(grid: DataFrame, spec: SheetSpec) -> DataFrame:
+def sheet_bounds(grid: DataFrame, spec: SheetSpec, inventory: DataFrame | None = None) -> DataFrame:
     """Per file: total rows, the resolved last row and the reason why the range is not usable.
 
-    One aggregate over the grid answers for every file whether the sheet exists, too.
+    One aggregate over the grid answers for every file whether the sheet exists, too. A file of the
+    ``inventory`` that has no rows is not in the grid; it is reported as well.
     """
     is_default = spec.sheet == DEFAULT_SHEET
     chosen = F.lit(True) if is_default else F.col("sheet") == spec.sheet
@@ -128,6 +130,12 @@ def sheet_bounds(grid: DataFrame, spec: SheetSpec) -> DataFrame:
         F.min(F.when(chosen, F.col("sheet"))).alias("sheet"),
         F.max(F.when(chosen, F.col("sheet"))).alias("high"),
     )
+    no_rows = F.lit(False)
+    if inventory is not None:
+        listed = inventory.select(F.col("path").alias("source_file")).distinct()
+        per_file = listed.join(per_file.withColumn("has_rows", F.lit(True)), "source_file", "left")
+        no_rows = F.col("has_rows").isNull()
+        per_file = per_file.withColumn("total_rows", F.coalesce("total_rows", F.lit(0)).cast("bigint"))
     total = F.col("total_rows")
     last = total + spec.last_row + 1 if spec.last_row < 0 else F.lit(spec.last_row).cast("bigint")
     is_csv = F.lower("source_file").endswith(".csv")
@@ -137,12 +145,13 @@ def sheet_bounds(grid: DataFrame, spec: SheetSpec) -> DataFrame:
         .withColumn(
             "message",
             F.when(is_csv & not_default, F.lit(CSV_NEEDS_DEFAULT))
+            .when(no_rows, F.concat(F.lit(NO_ROWS), F.col("source_file"), F.lit(".")))
             .when(total == 0, F.lit(MISSING_SHEET))
             .when(F.lit(is_default) & (F.col("sheet") != F.col("high")), F.lit(DEFAULT_NEEDS_ONE))
             .otherwise(range_message(total, spec)),
         )
         .withColumn("exists", (total > 0) & ~(is_csv & not_default))
-        .drop("high")
+        .drop("high", "has_rows")
     )
 
 
@@ -318,11 +327,13 @@ def not_blank(cells: Column, positions: Column) -> Column:
     return F.exists(positions, full)
 
 
-def sheet_input(grid: DataFrame, spec: SheetSpec, rules: Sequence[Rule]) -> SheetInput:
+def sheet_input(
+    grid: DataFrame, spec: SheetSpec, rules: Sequence[Rule], inventory: DataFrame | None = None
+) -> SheetInput:
     """A logical sheet of every file of ``grid`` as named columns for the rollup.
 
     Files where a required column is missing or ambiguous become problems of the input; their rows
-    add nothing.
+    add nothing. Files of the ``inventory`` without rows are problems as well.
     """
     rows = named_sheet(grid, spec)
     header = resolve_header(rows, spec)
@@ -374,7 +385,7 @@ def sheet_input(grid: DataFrame, spec: SheetSpec, rules: Sequence[Rule]) -> Shee
         by_name=by_name,
         source_file=F.col("__file"),
         row_no=F.col("__row"),
-        problems=_problems(grid, bound, spec, mine, place_of, names),
+        problems=_problems(grid, bound, spec, mine, place_of, names, inventory),
     )
 
 
@@ -392,10 +403,11 @@ def _problems(
     rules: Sequence[Rule],
     place_of: dict[tuple[str | None, str], int],
     names: dict[str, list[Rule]],
+    inventory: DataFrame | None,
 ) -> DataFrame:
     sheet = F.lit(spec.sheet)
     none = F.lit(None)
-    ranges = sheet_bounds(grid, spec).where(F.col("message").isNotNull())
+    ranges = sheet_bounds(grid, spec, inventory).where(F.col("message").isNotNull())
     if spec.optional:
         ranges = ranges.where(F.col("message") != MISSING_SHEET)
     found = ranges.select(

@@ -131,7 +131,7 @@ def test_white_space_rows_are_data(spark):
 
 def test_csv_back_ticks_and_file_name(spark, tmp_path):
     write(tmp_path, "wechat-demo.csv", "id,shop,v\n`1001,`蔡林记中南店,`12.50\n", "utf-8-sig")
-    grid = files.read_grid(spark, str(tmp_path), columns=3)
+    grid = files.read_grid(spark, str(tmp_path))
     spec = SheetSpec("DEFAULT")
     header = G.resolve_header(grid, spec)
     cells = G.long_cells(G.data_rows(grid, spec), header).orderBy("col_idx").collect()
@@ -146,14 +146,14 @@ def test_csv_back_ticks_and_file_name(spark, tmp_path):
 def test_blank_csv_lines_do_not_count(spark, tmp_path):
     text = "one\n\ntwo\n , \nthree\n\nfour\nshop,v\nA,1\n"
     write(tmp_path, "a.csv", text)
-    rows = cells_of(files.read_grid(spark, str(tmp_path), columns=2))
+    rows = cells_of(files.read_grid(spark, str(tmp_path)))
     assert [n for n, _ in rows] == [1, 2, 3, 4, 5, 6]
     assert rows[4] == (5, ["shop", "v"])
 
 
 def test_quotes_and_line_breaks(spark, tmp_path):
     write(tmp_path, "a.csv", 'a,"say ""x"", y"\nb,"two\nlines"\n')
-    rows = cells_of(files.read_grid(spark, str(tmp_path), columns=2))
+    rows = cells_of(files.read_grid(spark, str(tmp_path)))
     assert rows == [(1, ["a", 'say "x", y']), (2, ["b", "two\nlines"])]
 
 
@@ -166,14 +166,13 @@ def test_encodings(spark, tmp_path):
         for r in files.file_encodings(spark, str(tmp_path)).collect()
     }
     assert found == {"a.csv": "GB18030", "b.CSV": "UTF-8"}
-    grid = files.read_grid(spark, str(tmp_path), columns=2)
+    grid = files.read_grid(spark, str(tmp_path))
     assert [cells for _, cells in cells_of(grid)] == [
         ["日期", "门店"],
         ["2026-05-01", "蔡林记"],
         ["日期", "门店"],
         ["2026-05-02", "蔡林记"],
     ]
-    assert files.undecodable_files(grid).isEmpty()
 
 
 def test_file_types(spark, tmp_path):
@@ -198,7 +197,7 @@ def test_row_numbers_across_blocks(spark, tmp_path):
     write(tmp_path, "a.csv", lines)
     spark.conf.set("spark.sql.files.maxPartitionBytes", "4096")
     try:
-        grid = files.read_grid(spark, str(tmp_path), columns=2, multi_line=False)
+        grid = files.read_grid(spark, str(tmp_path))
         blocks = grid.rdd.getNumPartitions()
         rows = [(r["row_no"], r["cells"][0]) for r in grid.orderBy("row_no").collect()]
     finally:
@@ -230,16 +229,15 @@ def test_wide_rows_broken_files_and_odd_names(spark, tmp_path):
         return str(tmp_path / name)
 
     named = folder("named", {"门店 1+2.csv": b"a,b\n1,2\n"})
-    found = files.read_grid(spark, named, columns=2).select("source_file").distinct().collect()
+    found = files.read_grid(spark, named).select("source_file").distinct().collect()
     assert len(found) == 1 and found[0][0].endswith("/门店 1+2.csv")
-    wide = folder("wide", {"a.csv": b"1,2,3,9\n"})
-    with pytest.raises(Exception, match="more than 2 cells"):
-        files.read_grid(spark, wide, columns=2).collect()
+    wide = folder("wide", {"a.csv": b"1,2,,9\n1\n,,,,5\n"})
+    assert [c for _, c in cells_of(files.read_grid(spark, wide))] == [["1", "2", "", "9"], ["1"], ["", "", "", "", "5"]]
     broken = folder("broken", {"a.csv": b"\xff\xff\xfe,2\n"})
     with pytest.raises(Exception, match="fits no encoding"):
-        files.read_grid(spark, broken, columns=2).collect()
+        files.read_grid(spark, broken).collect()
     with pytest.raises(SourceError):
-        files.read_grid(spark, folder("books", {"a.xlsx": b"x"}), columns=2)
+        files.read_grid(spark, folder("books", {"a.xlsx": b"x"}))
 
 
 def test_repeated_keys_are_valid_json(spark):
@@ -247,3 +245,72 @@ def test_repeated_keys_are_valid_json(spark):
 
     lines = spark.createDataFrame([('{"type":"a","type":"b"}',), ("{bad",)], "raw string")
     assert [r["raw"] for r in jsonl.good_lines(lines).collect()] == ['{"type":"a","type":"b"}']
+
+
+TRICKY = [
+    'a,"b,""c"" d",e',
+    '5" pipe,"x"',
+    '"open\nline, two\r\nthree","after"',
+    '"closed"tail,"",""""',
+    '""',
+    ' "not quoted",y"z"',
+    '"a""\n""b"',
+    "plain,row,,,",
+    '"",,"\n\n\n"',
+    "  ,\t",
+    '"ends with comma,\n",1',
+    '"蔡林记,\n中南店",2',
+    '"' + "long line\n" * 60 + '",end',
+]
+
+
+def read_like_csv(data, encoding):
+    import csv
+    import io
+
+    rows = csv.reader(io.StringIO(data.decode(encoding), newline=""))
+    return [row for row in rows if any(c.strip() for c in row)]
+
+
+@pytest.mark.parametrize("encoding, block", [("utf-8", 90), ("gb18030", 300), ("utf-8-sig", 500), ("utf-8", 1 << 20)])
+def test_records_in_many_blocks_equal_one_reading(spark, tmp_path, encoding, block):
+    """A quote that is never closed takes in the rest of the file, all but its last line feed."""
+    import numpy as np
+
+    from ledgerspark.session import settings
+
+    rng = np.random.default_rng(block)
+    data = {}
+    for name in ("a", "b"):
+        lines = [TRICKY[i] for i in rng.integers(0, len(TRICKY), 25)]
+        text = "".join(x + ("\r\n" if i % 3 == 0 else "\n") for i, x in enumerate(lines))
+        data[name] = (text + ('"never closed,\nat all' if name == "b" else "last,row")).encode(encoding)
+        (tmp_path / f"{name}.csv").write_bytes(data[name])
+    with settings(spark, {"spark.sql.files.maxPartitionBytes": str(block), "spark.sql.files.openCostInBytes": "0"}):
+        grid = files.read_grid(spark, str(tmp_path))
+        found = cells_of(grid.where(F.col("source_file").endswith("/a.csv")))
+        other = cells_of(grid.where(F.col("source_file").endswith("/b.csv")))
+    kind = "utf-8-sig" if encoding.startswith("utf") else encoding
+    assert found == list(enumerate(read_like_csv(data["a"], kind), 1))
+    assert other == list(enumerate(read_like_csv(data["b"], kind), 1))
+
+
+def test_hidden_and_empty_files(spark, tmp_path):
+    (tmp_path / "_deep").mkdir()
+    for name, content in (
+        ("a.csv", b"shop,v\nA,1\n"), ("_b.csv", b"shop,v\nB,2\n"), (".c.csv", b"shop,v\nC,3\n"), ("_deep/d.csv", b"shop,v\nD,4\n"),
+        ("e.csv", b""), ("f.csv", b" , \n\n"), ("~$g.csv", b"x\n"),
+    ):
+        (tmp_path / name).write_bytes(content)
+    inventory = files.file_inventory(spark, str(tmp_path))
+    names = lambda df: sorted(r[0].rsplit("/", 1)[-1] for r in df.collect())
+    assert names(inventory.select("path")) == [".c.csv", "_b.csv", "a.csv", "d.csv", "e.csv", "f.csv"]
+    grid = files.read_grid(spark, str(tmp_path))
+    assert names(grid.select("source_file").distinct()) == [".c.csv", "_b.csv", "a.csv", "d.csv"]
+    assert grid.select("source_file").distinct().join(inventory, F.col("path") == F.col("source_file")).count() == 4
+    bounds = G.sheet_bounds(grid, SheetSpec("DEFAULT"), inventory)
+    found = {r["source_file"].rsplit("/", 1)[-1]: (r["total_rows"], r["message"]) for r in bounds.collect()}
+    empty = {n: (0, f"No rows were found in {p}.") for n, p in ((n, r[0]) for r in inventory.select("path").collect() for n in [r[0].rsplit("/", 1)[-1]]) if n in ("e.csv", "f.csv")}
+    assert found == {n: (2, None) for n in (".c.csv", "_b.csv", "a.csv", "d.csv")} | empty
+    one = files.read_grid(spark, str(tmp_path / "_b.csv"))
+    assert [c for _, c in cells_of(one)] == [["shop", "v"], ["B", "2"]]
