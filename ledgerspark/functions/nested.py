@@ -1,4 +1,4 @@
-"""Values that arrive wrapped in JSON: one-element lists, ``{text}``, ``{type, value}``."""
+"""Values that arrive wrapped in JSON: lists, ``{text}``, ``{type, value}``."""
 
 from __future__ import annotations
 
@@ -29,63 +29,98 @@ def once(value: Column, use: Callable[[Column], Column]) -> Column:
 
 
 def unwrap(raw: Column) -> Column:
-    """Scalar text inside a wrapped JSON value; text that is no JSON stays as it is.
+    """What a wrapped JSON value holds; text that is no JSON stays as it is.
 
-    A list of one element stands for the element, ``text`` wins over ``value``, an empty list is
-    NULL. Lists of several elements and objects without these keys stay JSON text.
+    A list of one element stands for the element, an object with ``text`` for that text, one with
+    ``value`` for what is in there; an empty list is NULL. In longer lists and other objects every part is
+    unwrapped at its place. A scalar comes out as plain text, all else as JSON text: its own where nothing
+    in it was wrapped, else with the keys of objects in order. Works to any depth; a value is parsed once.
     """
-    # A NULL may turn up on the way, so the state has to be nullable from the start.
     text = F.when(raw.isNotNull(), raw.cast("string"))
-    start = F.struct(text.alias("text"), F.lit(False).alias("done"))
-    return F.aggregate(_layers(raw), start, lambda state, _: _peel(state))["text"]
+    wrapped = text.rlike(r'(?s)^[\[{"]') | (text == "null")
+    parsed = F.try_parse_json(F.when(wrapped, text))
+    return F.when(parsed.isNull(), text).otherwise(once(F.struct(text.alias("text"), parsed.alias("v")), _unwrapped))
 
 
-def _layers(raw: Column) -> Column:
-    """One item per opening bracket, one at least: no value is nested deeper than that."""
-    return F.sequence(F.lit(1), F.greatest(F.regexp_count(raw, F.lit(r"[\[{]")), F.lit(1)))
+def _unwrapped(given: Column) -> Column:
+    # The state is the JSON text so far, in pieces: fixed ones, and values that are still closed.
+    start = F.array(_closed(given["v"]))
+
+    def opened(pieces: Column, _: Column) -> Column:
+        final = F.forall(pieces, lambda piece: piece["open"].isNull())
+        return F.when(final, pieces).otherwise(F.flatten(F.transform(pieces, _opened)))
+
+    # One round for each bracket and one for scalars.
+    rounds = F.sequence(F.lit(0), F.regexp_count(given["text"], F.lit(r"[\[{]")))
+    pieces = F.aggregate(rounds, start, opened)
+    made = F.array_join(F.transform(pieces, lambda piece: piece["text"]), "")
+
+    def plain(made: Column) -> Column:
+        return (
+            F.when(made == "null", F.lit(None).cast("string"))
+            .when(made.startswith('"'), F.variant_get(F.parse_json(made), "$", "string"))
+            .when(made == F.to_json(given["v"]), given["text"])
+            .otherwise(made)
+        )
+
+    return once(made, plain)
+
 
+def _fixed(text: Column | str) -> Column:
+    column = F.lit(text) if isinstance(text, str) else text
+    return F.struct(column.alias("text"), F.lit(None).cast("variant").alias("open"))
 
-def _peel(state: Column) -> Column:
-    """Take one list or object off; ``done`` marks a text that is final."""
 
-    def settled(text: Column) -> Column:
-        return F.struct(text.alias("text"), F.lit(True).alias("done"))
+def _closed(value: Column) -> Column:
+    return F.struct(F.lit(None).cast("string").alias("text"), value.alias("open"))
 
-    def open_(text: Column) -> Column:
-        return F.struct(text.alias("text"), F.lit(False).alias("done"))
 
-    text = state["text"]
-    nothing = settled(F.lit(None).cast("string"))
+def _opened(piece: Column) -> Column:
+    """A piece with its outermost list or object taken off."""
+    value = piece["open"]
+
+    def parted(parts: Column) -> Column:
+        """Parts behind each other, with commas between them."""
+        return F.flatten(F.transform(parts, lambda part, i: F.when(i == 0, part).otherwise(F.concat(F.array(_fixed(",")), part))))
 
     def from_list(items: Column) -> Column:
+        each = parted(F.transform(items, lambda item: F.array(_closed(item))))
         return (
-            F.when(items.isNull() | (F.size(items) > 1), settled(text))
-            .when(F.size(items) == 0, nothing)
-            .otherwise(open_(F.element_at(items, 1)))
+            F.when(F.size(items) == 0, F.array(_fixed("null")))
+            .when(F.size(items) == 1, F.array(_closed(F.try_element_at(items, F.lit(1)))))
+            .otherwise(F.concat(F.array(_fixed("[")), each, F.array(_fixed("]"))))
         )
 
     def from_object(parts: Column) -> Column:
-        holds_value = F.coalesce(F.array_contains(F.json_object_keys(text), "value"), F.lit(False))
+        def entry(pair: Column) -> Column:
+            name = F.regexp_replace(F.to_json(F.array(pair["key"])), r"^\[|\]$", "")
+            return F.array(_fixed(F.concat(name, F.lit(":"))), _closed(pair["value"]))
+
+        each = parted(F.transform(F.map_entries(parts), entry))
         return (
-            F.when(parts["text"].isNotNull(), settled(parts["text"]))
-            .when(parts["value"].isNotNull(), open_(parts["value"]))
-            .when(holds_value, nothing)
-            .otherwise(settled(text))
+            F.when(F.map_contains_key(parts, "text"), F.array(_fixed(F.to_json(F.try_element_at(parts, F.lit("text"))))))
+            .when(F.map_contains_key(parts, "value"), F.array(_closed(F.try_element_at(parts, F.lit("value")))))
+            .otherwise(F.concat(F.array(_fixed("{")), each, F.array(_fixed("}"))))
         )
 
-    as_list = F.from_json(text, "array<string>")
-    quoted = F.from_json(F.concat(F.lit("["), text, F.lit("]")), "array<string>")
-    as_object = F.from_json(text, "struct<text: string, value: string>")
-    return (
-        F.when(state["done"], state)
-        .when(text.startswith("["), once(as_list, from_list))
-        .when(text.startswith("{"), once(as_object, from_object))
-        .when(text.startswith('"'), settled(F.coalesce(F.try_element_at(quoted, F.lit(1)), text)))
-        .when(text == "null", nothing)
-        .otherwise(settled(text))
+    items = F.try_variant_get(value, "$", "array<variant>")
+    parts = F.try_variant_get(value, "$", "map<string,variant>")
+    kinds = F.struct(items.alias("items"), parts.alias("parts"))
+    return F.when(value.isNull(), F.array(piece)).otherwise(
+        once(
+            kinds,
+            lambda k: F.when(k["items"].isNotNull(), from_list(k["items"]))
+            .when(k["parts"].isNotNull(), from_object(k["parts"]))
+            .otherwise(F.array(_fixed(F.to_json(value)))),
+        )
     )
 
 
+def _layers(raw: Column) -> Column:
+    """One item per opening bracket, one at least: no value is nested deeper than that."""
+    return F.sequence(F.lit(1), F.greatest(F.regexp_count(raw, F.lit(r"[\[{]")), F.lit(1)))
+
+
 def first_text(raw: Column) -> Column:
     """First non-empty text of a configuration value: plain, in a list, or under a text key.
 

@@ -103,35 +103,50 @@ def _nothing_to_add(value: Column) -> Column:
     return F.coalesce(numeric_text(value) == "", F.lit(True))
 
 
-# Below this size a double holds millionths exactly enough to round them to the intended digit.
-PLAIN_DOUBLE = 1e9
+# Doubles from here on add up as decimals. Below it a group may hold billions of rows before a sum of
+# whole units leaves a bigint.
+WIDE = float(1 << 30)
+# How near to a half a rest in millionths may lie before its digits decide. A double below ``WIDE`` and the
+# shortest text of it lie at most 0.06 millionths apart.
+NEAR_HALF = 0.125
 
 
 def large_number(value: Column) -> Column:
-    """A large double as a decimal, digit by digit; NULL for others, which need no such care."""
-    return F.when(F.abs(value) >= PLAIN_DOUBLE, value.try_cast(NUMBER))
+    """A double as a decimal, digit by digit, where only that rounds it surely; NULL for others."""
+    size = F.abs(value)
+    rest = (size - F.floor(F.least(size, F.lit(WIDE)))) * 1e6
+    unsure = F.abs(rest - F.floor(F.least(rest, F.lit(2e6))) - 0.5) <= NEAR_HALF
+    return F.when((size >= WIDE) | unsure, value.try_cast(NUMBER))
 
 
-def split_number(value: Column, large: Column) -> tuple[Column, Column]:
-    """Whole units and millionths of a double as two bigints, NULL where it is no number.
+def split_number(value: Column, large: Column) -> tuple[Column, Column, Column]:
+    """Whole units and millionths of a double as two bigints, NULL where it is no number; a wide one instead
+    as a decimal, beside two zeros.
 
-    Two bigint sums are exact and stay on primitive values; a decimal sum costs several times as
-    much per row. ``large`` is ``large_number(value)``, best kept as a column.
+    One rule for all sizes: the shortest digits of the double, rounded half up to millionths, as a cast to
+    a decimal rounds them. Bigint sums are exact and stay on primitive values; a decimal sum costs several
+    times as much per row, but for almost all rows it has nothing to add. ``large`` is
+    ``large_number(value)``, best kept as a column.
     """
-    whole = value.try_cast("bigint")
-    units = F.when(large.isNull(), whole).otherwise(large.try_cast("bigint"))
-    rest = F.when(large.isNull(), F.rint((value - whole) * 1e6).cast("bigint")).otherwise(
-        ((large - large.try_cast("bigint")) * 1_000_000).cast("bigint")
+    is_wide = F.abs(value) >= WIDE
+    whole = F.when(is_wide, F.when(large.isNotNull(), F.lit(0).cast("bigint"))).otherwise(value.try_cast("bigint"))
+    rest = (
+        F.when(is_wide, F.when(large.isNotNull(), F.lit(0).cast("bigint")))
+        .when(large.isNull(), F.rint((value - whole) * 1e6).cast("bigint"))
+        .otherwise(((large - whole.cast(NUMBER)) * 1_000_000).cast("bigint"))
     )
-    return units, rest
+    return whole, rest, F.when(is_wide, large)
 
 
-def joined_number(units: Column, millionths: Column) -> Column:
-    """The exact number behind two sums of ``split_number``."""
-    return (
+def joined_number(units: Column, millionths: Column, wide: Column | None = None) -> Column:
+    """The exact number behind sums of what ``split_number`` gives."""
+    small = (
         units.cast("decimal(38,6)")
         + (millionths.cast("decimal(20,0)") * F.lit(Decimal("0.000001"))).cast("decimal(38,6)")
     ).cast(WIDE_NUMBER)
+    if wide is None:
+        return small
+    return (small + F.coalesce(wide, F.lit(0).cast(NUMBER)).cast(WIDE_NUMBER)).cast(WIDE_NUMBER)
 
 
 def period_of(value: Column) -> Column:

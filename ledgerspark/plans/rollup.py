@@ -176,6 +176,7 @@ def plan_rollup(
         summed.append({slot[r.output]: bound.sum(r) for r in mine if r.kind == SUM})
     # A sum runs on bigint parts when no sheet feeds it with text or decimals.
     is_split = {i: all(part[i].is_split for part in summed if i in part) for i in sum_ids}
+    is_wide = {i: is_split[i] and any(part[i].wide is not None for part in summed if i in part) for i in sum_ids}
 
     parts: list[DataFrame] = []
     problems: list[DataFrame] = []
@@ -183,7 +184,7 @@ def plan_rollup(
     for place, (bound, keys, sums) in enumerate(zip(bindings, keyed, summed)):
         amounts: list[Column] = []
         for i in sum_ids:
-            for name, kind in _parts_of(i, is_split[i]):
+            for name, kind in _parts_of(i, is_split[i], is_wide[i]):
                 column = sums[i].part(name, is_split[i]) if i in sums else none
                 amounts.append(column.cast(kind).alias(name))
         parts.append(
@@ -203,14 +204,18 @@ def plan_rollup(
     for part in parts[1:]:
         rows = rows.unionByName(part)
     measures = [
-        F.sum(name).alias(name) for i in sum_ids for name, _ in _parts_of(i, is_split[i])
+        F.sum(name).alias(name) for i in sum_ids for name, _ in _parts_of(i, is_split[i], is_wide[i])
     ]
     measures.append(F.count_if(F.col("__issue").isNotNull()).alias("__failed"))
     if ordered:
         first = F.min(F.struct("source_file", "__place", "row_no"))
         measures.append(first.alias("__first"))
     totals = [
-        (values.joined_number(F.col(f"{i}u"), F.col(f"{i}m")) if is_split[i] else F.col(i)).alias(i)
+        (
+            values.joined_number(F.col(f"{i}u"), F.col(f"{i}m"), F.col(f"{i}w") if is_wide[i] else None)
+            if is_split[i]
+            else F.col(i)
+        ).alias(i)
         for i in sum_ids
     ]
     extra = ["__failed", "__first"] if ordered else ["__failed"]
@@ -229,9 +234,10 @@ def plan_rollup(
     )
 
 
-def _parts_of(sum_id: str, is_split: bool) -> list[tuple[str, str]]:
+def _parts_of(sum_id: str, is_split: bool, is_wide: bool) -> list[tuple[str, str]]:
     if is_split:
-        return [(f"{sum_id}u", "bigint"), (f"{sum_id}m", "bigint")]
+        parts = [(f"{sum_id}u", "bigint"), (f"{sum_id}m", "bigint")]
+        return [*parts, (f"{sum_id}w", values.NUMBER)] if is_wide else parts
     return [(sum_id, values.NUMBER)]
 
 
@@ -245,12 +251,16 @@ def normal_period(period: str | int | None) -> str:
 
 @dataclass(frozen=True)
 class _Summand:
-    """What a SUM rule adds per row: a decimal, and for native numbers its two bigint parts."""
+    """What a SUM rule adds per row: a decimal, and for native numbers its two bigint parts.
+
+    ``wide`` is what doubles too wide for those add instead.
+    """
 
     number: Column
     applies: Column | None = None
     units: Column | None = None
     millionths: Column | None = None
+    wide: Column | None = None
 
     @property
     def is_split(self) -> bool:
@@ -259,7 +269,8 @@ class _Summand:
     def part(self, name: str, split: bool) -> Column:
         column = self.number
         if split:
-            column = self.units if name.endswith("u") else self.millionths
+            parts = {"u": self.units, "m": self.millionths, "w": F.lit(None) if self.wide is None else self.wide}
+            column = parts[name[-1]]
         return column if self.applies is None else F.when(self.applies, column)
 
 
@@ -314,7 +325,7 @@ class _Binding:
         if made.unreadable is not None:
             message = f"SUM field '{rule.field}' is not a number."
             self._fail(both(applies, made.unreadable), rule.field, message)
-        return _Summand(made.number, applies, made.units, made.millionths)
+        return _Summand(made.number, applies, made.units, made.millionths, made.wide)
 
     def issue(self) -> Column:
         """First failure of the row, NULL for a good row."""
@@ -345,11 +356,11 @@ class _Binding:
             large = self._keep(values.large_number(value))
             parts = values.split_number(value, large)
             self._numbers[place] = tuple(self._keep(p, self._second) for p in parts)
-        units, millionths = self._numbers[place]
+        units, millionths, wide = self._numbers[place]
         column = source.column
         empty = None if rule.optional else column.isNull()
         unreadable = column.isNotNull() & units.isNull()
-        return _Number(column.try_cast(values.NUMBER), empty, unreadable, units, millionths)
+        return _Number(column.try_cast(values.NUMBER), empty, unreadable, units, millionths, wide)
 
     def _keep(self, column: Column, layer: dict[str, Column] | None = None) -> Column:
         name = f"__c{len(self._first) + len(self._second)}"
@@ -392,6 +403,7 @@ class _Number:
     unreadable: Column | None
     units: Column | None = None
     millionths: Column | None = None
+    wide: Column | None = None
 
 
 def text_number(text: Column, number: Column, optional: bool) -> _Number:

@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerspark.functions.values import strip
-from ledgerspark.sources.files import number_rows
+from ledgerspark.session import lookup_side, store
+from ledgerspark.sources.files import plain_path
 
 # Reasons a line is reported.
 NOT_AN_OBJECT = "not a JSON object"
@@ -16,19 +17,30 @@ BYTE_ORDER_MARK = "\ufeff"
 
 
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
-    """Session logs below ``path`` as lines with their number."""
+    """Session logs below ``path`` as lines with their number: ``session_file, line_no, raw``.
+
+    Blank lines are numbered too. File names are as they are spelled on disk.
+    """
     text = spark.read.option("recursiveFileLookup", "true").text(path)
     placed = text.select(
-        F.col("_metadata.file_path").alias("source_file"),
+        plain_path().alias("source_file"),
         F.col("_metadata.file_block_start").alias("block"),
-        F.array("value").alias("cells"),
+        F.monotonically_increasing_id().alias("seq"),
+        F.col("value").alias("raw"),
     )
-    numbered = number_rows(placed)
-    return numbered.select(
-        F.col("source_file").alias("session_file"),
-        F.col("row_no").alias("line_no"),
-        F.col("cells")[0].alias("raw"),
+    return number_lines(store(placed, "lines")).select(F.col("source_file").alias("session_file"), "line_no", "raw")
+
+
+def number_lines(lines: DataFrame) -> DataFrame:
+    """Adds ``line_no``. Ids of a file block follow each other, so its lines are numbered without a sort."""
+    blocks = lines.groupBy("source_file", "block").agg(F.min("seq").alias("start"), F.count("*").alias("size"))
+    order = F.expr(
+        "coalesce(sum(size) over (partition by source_file order by block"
+        " rows between unbounded preceding and 1 preceding), 0)"
     )
+    offsets = lookup_side(blocks.select("source_file", "block", "start", order.alias("before")))
+    line_no = F.col("seq") - F.col("start") + F.col("before") + 1
+    return lines.join(offsets, ["source_file", "block"]).withColumn("line_no", line_no)
 
 
 def bare_line(raw: Column) -> Column:

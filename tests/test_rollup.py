@@ -400,6 +400,42 @@ def test_large_integers_add_up(spark):
     assert int(roll(rows, group("k"), total("v")).release().first()["v"]) == 27 * 10**18
 
 
+def test_doubles_of_any_size_add_up_as_decimals_do(spark):
+    """One rounding rule, whether a sum is of doubles alone or another sheet feeds it text."""
+    from decimal import ROUND_HALF_UP, Decimal
+
+    import numpy as np
+
+    rng = np.random.default_rng(1)
+    values = [999999999.0000005, 1000000000.0000005, 0.0000005, -0.0000005, 1.0000015, 9.3e18, -9.3e18, 1e19, 9.9e21, 2.0**63, 1.5, -2.5e-7]
+    values += [float(2**30), 2**30 - 0.0000005, 1073741823.9999995, 0.1 + 0.2, 123456789.1234565, 5e-324, 1e-300]
+    values += (rng.normal(size=300) * 10.0 ** rng.integers(-7, 21, 300)).tolist()
+    values += (rng.integers(-(10**9), 10**9, 300) / 1e6 + 5e-7).tolist()
+    frame = spark.createDataFrame([(f"k{i}", v) for i, v in enumerate(values)] + [("all", v) for v in values], "k string, v double")
+    # From 2**53 on doubles are whole numbers, and which of the equal digits a cast shows is up to the JVM.
+    cast = {r[0]: r[1] for r in frame.where("k <> 'all'").selectExpr("k", "cast(v as decimal(28,6))").collect()}
+    exact = [
+        Decimal(repr(v)).quantize(Decimal("0.000001"), ROUND_HALF_UP) if abs(v) < 2**53 else cast[f"k{i}"] for i, v in enumerate(values)
+    ]
+    two = lambda d: d.quantize(Decimal("0.01"), ROUND_HALF_UP)
+    plan = roll(frame, group("k"), total("v"))
+    assert plan.issues().isEmpty()
+    unrounded = {r["g0"]: r["s0"] for r in plan.groups.collect()}
+    from decimal import localcontext
+
+    with localcontext() as context:
+        context.prec = 60
+        expected = {f"k{i}": d for i, d in enumerate(exact)} | {"all": sum(exact, Decimal(0))}
+        assert unrounded == expected
+        assert {r["k"]: r["v"] for r in plan.release().collect()} == {k: two(d) for k, d in expected.items()}
+
+
+def test_doubles_beyond_every_sum_are_issues(spark):
+    frame = spark.createDataFrame([("a", 1e23), ("b", float("nan")), ("c", float("-inf")), ("d", 1.0)], "k string, v double")
+    issues = roll(frame, group("k"), total("v")).issues().collect()
+    assert [r["message"] for r in issues] == ["SUM field 'v' is not a number."] * 3
+
+
 def test_one_aggregate_reads_the_source_once(spark):
     rows = spark.range(10).select(F.col("id").cast("string").alias("k"), F.col("id").alias("v"))
     rules = [group("k")] + [

@@ -101,6 +101,18 @@ def test_unwrap(spark):
         "[" * 40 + "7" + "]" * 40: "7",
         '{"a":1}': '{"a":1}',
         "[已结算]": "[已结算]",
+        '[{"text":"a"},{"text":"b"}]': '["a","b"]',
+        '{"a":{"text":"q"}}': '{"a":"q"}',
+        '[{"value":[1]}, [], ["x"], {"b":[{"text":"é"}], "a":{"value":[1,[2]]}}]': '[1,null,"x",{"a":[1,2],"b":"é"}]',
+        '{"text":{"value":1}}': '{"value":1}',
+        '{"text":null,"value":5}': None,
+        '{"text":["a"]}': '["a"]',
+        '{ "k": 69 }': '{ "k": 69 }',
+        "{}": "{}",
+        '"quoted"': "quoted",
+        '[true]': "true",
+        '{"value":{"a\\"b":[{"text":"x"},2]}}': '{"a\\"b":["x",2]}',
+        "[" * 30 + '[{"text":"a"},{"value":[[["b"]]]}]' + "]" * 30: '["a","b"]',
     }
     assert each(spark, list(cells), nested.unwrap) == list(cells.values())
 
