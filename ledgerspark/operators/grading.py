@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerspark.functions.nested import token_counters
+from ledgerspark.session import lookup_side, settle
+from ledgerspark.sources.files import plain_path
 
 # Output types that count as an artifact, and the words that mark a preview.
 ARTIFACT_SUFFIX = r"(?i)\.(xlsx|xls|csv|json)$"
@@ -15,6 +17,8 @@ PREVIEW_WORDS = ["preview", "预览"]
 PREVIEW_GRADER = "preview_file_exists"
 COMPLETED, FAILED = "completed", "failed"
 
+# Names of files that one read gets.
+FILES_AT_ONCE = 10_000
 
 
 def is_artifact(name: Column) -> Column:
@@ -45,23 +49,55 @@ def pick_artifacts(files: DataFrame, key: str = "case_id", keep: Sequence[str] =
 def grade_artifacts(cases: DataFrame, files: DataFrame, key: str = "case_id") -> DataFrame:
     """Score 1 for cases with an artifact, with size and SHA-256 of the file.
 
-    ``files`` holds ``path``, ``modificationTime``, ``length`` and ``content``. Contents are hashed
-    where they are read and never shuffled.
+    ``files`` holds ``path``, ``modificationTime``, ``length`` and ``content``; a path names one file. The
+    files that count are chosen by what is known about them, and only their contents are hashed, where they
+    are read.
     """
-    hashed = files.select(
-        key,
-        "path",
-        "modificationTime",
-        F.col("length").alias("size_bytes"),
-        F.sha2("content", 256).alias("sha256"),
+    picked = settle(pick_artifacts(files.drop("content"), key, keep=["length"]))
+    chosen = lookup_side(picked.select(F.col("path").alias("chosen")).distinct())
+    hashed = files.join(chosen, F.col("path") == F.col("chosen"), "left_semi").select(
+        F.col("path").alias("hashed"), F.sha2("content", 256).alias("sha256")
     )
-    picked = pick_artifacts(hashed, key, keep=["size_bytes", "sha256"])
-    return cases.join(picked, key, "left").select(
+    return _graded(cases, picked, hashed, key)
+
+
+def grade_files(cases: DataFrame, listing: DataFrame, key: str = "case_id") -> DataFrame:
+    """``grade_artifacts`` for files in a file system: no file is opened but those that count.
+
+    ``listing`` holds ``path``, ``modificationTime`` and ``length``, as an inventory has them. Paths are
+    given to the reader in parts, as any scan gets its files by name; contents stay in the tasks.
+    """
+    spark = listing.sparkSession
+    picked = settle(pick_artifacts(listing, key, keep=["length"]))
+    part: list[str] = []
+    hashed = None
+
+    def opened() -> DataFrame:
+        found = spark.read.format("binaryFile").load(part).select(
+            plain_path().alias("hashed"), F.sha2("content", 256).alias("sha256")
+        )
+        return settle(found if hashed is None else hashed.unionByName(found))
+
+    for row in picked.select("path").distinct().toLocalIterator():
+        part.append(row["path"])
+        if len(part) == FILES_AT_ONCE:
+            hashed = opened()
+            part = []
+    if part:
+        hashed = opened()
+    if hashed is None:
+        hashed = spark.createDataFrame([], "hashed string, sha256 string")
+    return _graded(cases, picked, hashed, key)
+
+
+def _graded(cases: DataFrame, picked: DataFrame, hashed: DataFrame, key: str) -> DataFrame:
+    best = picked.join(hashed, F.col("path") == F.col("hashed"), "left")
+    return cases.join(best, key, "left").select(
         *cases.columns,
         F.lit(PREVIEW_GRADER).alias("grader"),
         F.when(F.col("path").isNotNull(), 1).otherwise(0).alias("score"),
         F.col("path").alias("file"),
-        "size_bytes",
+        F.col("length").alias("size_bytes"),
         "sha256",
     )
 

@@ -13,6 +13,7 @@ from ledgerspark.plans.validate import error_count, expected_target_fields, targ
 from ledgerspark.registry.base import as_double, query, table
 from ledgerspark.registry.rollups import _RULES_SQL, bundle, group, rule_catalog, total
 from ledgerspark.session import scratch_path
+from ledgerspark.sources import config
 from ledgerspark.sources.config import list_projects, read_projects
 from ledgerspark.sources.target import baseline_rows, flatten, period_rows
 
@@ -489,3 +490,30 @@ def doubled_source_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     narrow = result.withColumn("customer", F.concat(F.lit("("), "customer", F.lit(")")))
     found = load.duplicate_source_keys(wide.unionByName(narrow), ["customer"])
     return found.select(named("__k0").alias("key_text"), "rows")
+
+
+@query(
+    """
+    WITH catalog AS (
+        SELECT p_brand AS project, CASE WHEN p_brand LIKE '%3' THEN NULL ELSE 'bills_' || min(p_type) END AS target_table
+        FROM part GROUP BY p_brand),
+    tables AS (SELECT DISTINCT 'bills_' || p_type AS target_table FROM part WHERE p_size <= 12),
+    requested AS (SELECT p_brand AS project FROM part UNION SELECT s_name FROM supplier)
+    SELECT r.project, CASE WHEN c.project IS NULL THEN 'project ' || r.project || ' is not registered'
+            WHEN t.target_table IS NULL THEN 'the target table of project ' || r.project || ' was not found' END AS stopped,
+        t.target_table
+    FROM requested r LEFT JOIN catalog c ON r.project = c.project LEFT JOIN tables t ON c.target_table = t.target_table"""
+)
+def project_gates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What stops a run before it reads anything: projects that are not registered, targets that are missing."""
+    part = table(spark, sf_dir, "part")
+    catalog = part.groupBy(F.col("p_brand").alias("project")).agg(
+        F.min("p_type").alias("kind"), F.lit("").alias("project_name")
+    ).select(
+        "project", "project_name",
+        F.when(~F.col("project").endswith("3"), F.concat(F.lit("bills_"), "kind")).alias("target_table"),
+    )
+    tables = part.where("p_size <= 12").select(F.concat(F.lit("bills_"), "p_type").alias("target_table"))
+    suppliers = table(spark, sf_dir, "supplier").select(F.col("s_name").alias("project"))
+    requested = part.select(F.col("p_brand").alias("project")).unionByName(suppliers)
+    return config.project_gates(requested, config.list_projects(catalog, tables))

@@ -702,3 +702,73 @@ def sample_files(spark: SparkSession, sf_dir: str) -> DataFrame:
         files.sample_file(listed, seed).select(F.lit(seed).alias("seed"), "path") for seed in ("preview", "check", "")
     ]
     return picks[0].unionByName(picks[1]).unionByName(picks[2])
+
+
+@query(
+    """
+    SELECT CASE o_orderkey % 3 WHEN 0 THEN '_first' WHEN 1 THEN '.second' ELSE 'third' END AS folder, count(*) AS total_rows,
+        CAST(NULL AS VARCHAR) AS message
+    FROM orders GROUP BY 1
+    UNION ALL SELECT 'empty', 0, 'No rows were found in this file.'"""
+)
+def files_without_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files whose folders Spark's readers leave out, and a file without rows: all are in the report."""
+    path = scratch_path(spark, "bills")
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice")
+    for rest, folder in enumerate(("_first", ".second", "third")):
+        orders.where(F.col("o_orderkey") % 3 == rest).coalesce(1).write.csv(f"{path}/{folder}")
+    orders.where(F.lit(False)).select("o_orderkey").coalesce(1).write.csv(f"{path}/empty")
+    inventory = files.file_inventory(spark, path)
+    bounds = G.sheet_bounds(files.read_grid(spark, path), SheetSpec("DEFAULT"), inventory)
+    place = F.col("source_file")
+    return bounds.select(
+        F.regexp_extract(place, "/([^/]*)/[^/]*$", 1).alias("folder"), "total_rows",
+        F.replace("message", place, F.lit("this file")).alias("message"),
+    )
+
+
+@query(
+    """
+    WITH cells AS (
+        SELECT p_brand, p_partkey, row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) AS n,
+            CASE WHEN p_partkey % 3 = 0 THEN 'n/a' ELSE CAST(p_size AS VARCHAR) END AS size FROM part),
+    firsts AS (SELECT * FROM cells WHERE n = 1),
+    rules(scope, kind) AS (VALUES ('rule:large', 'number'), ('rule:named', 'text'), ('rule:ordered', 'order'),
+        ('rule:lost', 'lost'), ('rule:open', 'placeholder'), ('rule:broken', 'broken'), ('rule:strange', 'call'), ('rule:short', 'skip'))
+    SELECT 'bills/' || p_brand || '.csv' AS source_file, scope,
+        CASE kind WHEN 'number' THEN CASE WHEN size = 'n/a' THEN 'condition_runtime_error' END
+            WHEN 'order' THEN 'condition_runtime_error' WHEN 'lost' THEN 'condition_identifier_unresolved'
+            WHEN 'placeholder' THEN 'condition_placeholder_detected' WHEN 'broken' THEN 'condition_parse_failed'
+            WHEN 'call' THEN 'condition_function_not_allowed' END AS code
+    FROM firsts, rules"""
+)
+def condition_trials(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every rule's condition tried on the first row of every file: the code of what is wrong, if anything."""
+    part = table(spark, sf_dir, "part")
+    source = F.concat(F.lit("bills/"), "p_brand", F.lit(".csv"))
+    size = F.when(F.col("p_partkey") % 3 == 0, F.lit("n/a")).otherwise(F.col("p_size").cast("string"))
+    rows = part.select(
+        source.alias("source_file"), F.lit("DEFAULT").alias("sheet"), (F.col("p_partkey") + 2).alias("row_no"),
+        F.array(F.col("p_name"), size).alias("cells"),
+    )
+    heads = part.select(source.alias("source_file")).distinct().select(
+        "source_file", F.lit("DEFAULT").alias("sheet"), F.lit(1).cast("bigint").alias("row_no"),
+        F.array(F.lit("name"), F.lit("size")).alias("cells"),
+    )
+    conditions = {
+        "large": 'as_number(F("size")) > 10',
+        "named": "`name` <> '' and `size` = 5",
+        "ordered": 'F("name") > 5',
+        "lost": 'F("colour") == "red"',
+        "open": "CONDITION",
+        "broken": 'F("name") == ',
+        "strange": 'open(F("name")) == "x"',
+        # The right side is never reached.
+        "short": 'F("name") == None and as_number(F("name")) > 1',
+    }
+    rules = [Rule(name, "SUM", "DEFAULT", "size", condition=text) for name, text in conditions.items()]
+    grid = settle(heads.unionByName(rows))
+    report = field_checks(grid, SheetSpec("DEFAULT"), rules).where("check_name = 'condition_valid'")
+    return report.select(
+        F.col("details.source_file").alias("source_file"), "scope", F.col("details.code").alias("code")
+    )

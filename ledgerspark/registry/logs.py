@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from ledgerspark.operators import grading, sessions
 from ledgerspark.registry.base import query, table
+from ledgerspark.session import scratch_path
+from ledgerspark.sources import files, jsonl
 from ledgerspark.sources.jsonl import line_problem, problem_lines
 
 # Every conversation is a session log: turns are its lines. Some turns are tool calls, results,
@@ -207,6 +209,54 @@ def log_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sessions.log_kinds(sessions.parse_events(session_lines(spark, sf_dir)))
 
 
+@query(
+    """
+    SELECT 'logs 1+2 单据' AS folder, role, row_number() OVER (PARTITION BY role ORDER BY conv_id, turn) AS line_no, conv_id, turn
+    FROM conversations"""
+)
+def log_lines_of_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of written log files: numbers as they stand in the file, names as they are on disk."""
+    path = scratch_path(spark, "session-logs")
+    line = F.to_json(F.struct("conv_id", "turn"))
+    turns = table(spark, sf_dir, "conversations").repartition(8, "role").sortWithinPartitions("role", "conv_id", "turn")
+    turns.select("role", line.alias("line")).write.partitionBy("role").text(f"{path}/logs 1+2 单据")
+    found = jsonl.read_lines(spark, path)
+    place = F.col("session_file")
+    return found.select(
+        F.regexp_extract(place, "/(logs[^/]*)/", 1).alias("folder"), F.regexp_extract(place, "/role=([^/]*)/", 1).alias("role"),
+        "line_no", F.get_json_object("raw", "$.conv_id").cast("bigint").alias("conv_id"),
+        F.get_json_object("raw", "$.turn").cast("bigint").alias("turn"),
+    )
+
+
+@query(
+    """
+    WITH sources AS (
+        SELECT DISTINCT source FROM documents WHERE source IS NOT NULL),
+    texts AS (
+        SELECT source, lang, string_agg(doc_id, chr(10) ORDER BY doc_id) || chr(10) AS text
+        FROM documents WHERE source IS NOT NULL GROUP BY source, lang),
+    best AS (SELECT source, max(lang) AS lang FROM texts GROUP BY source)
+    SELECT source AS case_id, 1 AS score, 'lang=' || lang AS folder, strlen(text) AS size_bytes, sha256(text) AS sha256
+    FROM best JOIN texts USING (source, lang)"""
+)
+def graded_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Grades of written files: the last of each case is opened, no other."""
+    path = scratch_path(spark, "outputs")
+    docs = table(spark, sf_dir, "documents").where("source is not null")
+    ordered = docs.repartition(8, "source", "lang").sortWithinPartitions("source", "lang", "doc_id")
+    ordered.select("source", "lang", F.col("doc_id").cast("string")).write.partitionBy("source", "lang").csv(path)
+    listed = files.file_inventory(spark, path).select(
+        F.regexp_extract("path", "/source=([^/]*)/", 1).alias("case_id"), "path", "length",
+        # Files of one job are written at no telling times; ties go to the last path.
+        F.lit(0).alias("modificationTime"),
+    )
+    graded = grading.grade_files(docs.select(F.col("source").alias("case_id")).distinct(), listed)
+    return graded.select(
+        "case_id", "score", F.regexp_extract("file", "/(lang=[^/]*)/", 1).alias("folder"), "size_bytes", "sha256"
+    )
+
+
 @query(
     """
     SELECT doc_id, regexp_matches(text, '(?i)permission')

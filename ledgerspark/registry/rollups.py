@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ledgerspark.functions import conditions
 from ledgerspark.functions.conditions import install_sql_helpers
 from ledgerspark.plans import rules as R
 from ledgerspark.plans.rollup import plan_rollup, table_input
@@ -472,3 +473,70 @@ def rollup_two_level_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     given = table_input(rows, categories=places)
     result = plan_rollup({"lines": given}, rules, PERIOD).release()
     return as_double(result, "by_category", "by_field")
+
+
+# Condition texts with what they are in SQL: where they hold, and where they have no outcome.
+_NOTE = "CASE WHEN o_orderkey % 5 = 0 THEN NULL WHEN o_orderkey % 5 = 1 THEN '' ELSE 'n' || o_orderkey % 10 END"
+_MONTH = "strftime(o_orderdate, '%Y%m')"
+OUTCOMES = {
+    'F("note") == "n2"': ("note IS NOT DISTINCT FROM 'n2'", "false"),
+    'F("note") != "n2"': ("note IS DISTINCT FROM 'n2'", "false"),
+    "`note` = 'n2' or `note` is null": ("note IS NULL OR note = 'n2'", "false"),
+    'F("note") == 5': ("false", "false"),
+    'F("note") > 5': ("false", "true"),
+    'F("note") > "n3"': ("note > 'n3'", "note IS NULL"),
+    'F("note") in ["n2", None, 7]': ("note IS NULL OR note = 'n2'", "false"),
+    "`note` not in ('n2', 'n4')": ("note IS NULL OR note NOT IN ('n2', 'n4')", "false"),
+    '"n" in F("note")': ("contains(note, 'n')", "note IS NULL"),
+    'F("note")': ("note <> ''", "false"),
+    'not F("note") and F("o_totalprice") >= 1000': ("coalesce(note, '') = '' AND o_totalprice >= 1000", "false"),
+    'F("note") + "x" == "n2x"': ("note = 'n2'", "note IS NULL"),
+    '-F("note") == 1': ("false", "true"),
+    'F("note") and F("note") > 5': ("false", "note <> ''"),
+    'F("o_orderkey") % 3 == 1 and F("o_totalprice") / F("zero") > 1': ("false", "o_orderkey % 3 = 1"),
+    'F("o_orderkey") % 3 == 1 or F("o_totalprice") / F("zero") > 1': ("o_orderkey % 3 = 1", "o_orderkey % 3 <> 1"),
+    'period_of(F("o_orderdate")) == 199905': ("false", "false"),
+    'period_of(F("o_orderdate")) == current_period': (f"{_MONTH} = '199905'", "false"),
+    "period_of(`o_orderdate`) = add_months(current_period, -1)": (f"{_MONTH} = '199904'", "false"),
+    'F("o_orderdate") == "1999-05-01"': ("false", "false"),
+    '1000 < F("o_totalprice") < 100000': ("o_totalprice > 1000 AND o_totalprice < 100000", "false"),
+    'as_number(F("note")) == "x"': ("false", "note <> ''"),
+    'is_blank(F("note")) == True': ("coalesce(note, '') = ''", "false"),
+}
+
+
+@query(
+    f"""
+    WITH o AS (SELECT *, {_NOTE} AS note FROM orders),
+    found AS ({" UNION ALL ".join(
+        f"SELECT '{text.replace(chr(39), chr(39) * 2)}' AS condition, coalesce({bad}, false) AS bad, coalesce({holds}, false) AS holds FROM o"
+        for text, (holds, bad) in OUTCOMES.items()
+    )})
+    SELECT condition, count(*) FILTER (NOT bad AND holds) AS holding, count(*) FILTER (NOT bad AND NOT holds) AS failing,
+        count(*) FILTER (bad) AS undecided FROM found GROUP BY condition"""
+)
+def condition_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How often conditions of both spellings hold, fail, and have no outcome; one pass for all."""
+    key = F.col("o_orderkey")
+    note = F.when(key % 5 == 0, None).when(key % 5 == 1, F.lit("")).otherwise(F.concat(F.lit("n"), (key % 10).cast("string")))
+    orders = table(spark, sf_dir, "orders").select(
+        "o_orderkey", "o_totalprice", "o_orderdate", note.alias("note"), F.lit(0).alias("zero")
+    )
+    given = table_input(orders)
+
+    def lookup(name: str) -> conditions.Term:
+        (source,) = given.by_name(name)
+        return conditions.Term(source.column, kind=source.kind)
+
+    terms = {text: conditions.build(text, lookup, "199905") for text in OUTCOMES}
+    never = F.lit(False)
+    counts = [
+        F.struct(
+            F.lit(text).alias("condition"),
+            F.count_if(term.value).alias("holding"),
+            F.count_if(~term.value & ~(never if term.bad is None else term.bad)).alias("failing"),
+            F.count_if(never if term.bad is None else term.bad).alias("undecided"),
+        )
+        for text, term in terms.items()
+    ]
+    return orders.agg(F.array(*counts).alias("found")).select(F.explode("found").alias("c")).select("c.*")

@@ -29,11 +29,35 @@ def list_projects(projects: DataFrame, available_tables: DataFrame) -> DataFrame
     )
 
 
+# What keeps a project from being run, in the order the gates are passed.
+NOT_REGISTERED = "is not registered"
+NO_TARGET = "was not found"
+
+
+def project_gates(requested: DataFrame, projects: DataFrame, must_exist: bool = True) -> DataFrame:
+    """Per requested ``project`` the gate that stops it (``stopped``, NULL if none) and its target table.
+
+    ``projects`` comes from ``list_projects``; of several entries of one project the first target counts.
+    """
+    known = projects.groupBy(F.col("project").alias("registered")).agg(
+        F.min_by(F.struct("target_table", "target_exists"), F.struct(F.col("target_table").isNull(), "target_table")).alias("entry")
+    )
+    missing = F.coalesce(F.col("entry.target_table"), F.lit("")) == ""
+    if must_exist:
+        missing = missing | ~F.col("entry.target_exists")
+    stopped = (
+        F.when(F.col("registered").isNull(), F.concat(F.lit("project "), F.col("project"), F.lit(f" {NOT_REGISTERED}")))
+        .when(missing, F.concat(F.lit("the target table of project "), F.col("project"), F.lit(f" {NO_TARGET}")))
+    )
+    return requested.select("project").distinct().join(known, F.col("project") == F.col("registered"), "left").select(
+        "project", stopped.alias("stopped"), F.when(stopped.isNull(), F.col("entry.target_table")).alias("target_table")
+    )
+
+
 def require_target(projects: DataFrame, project: str, must_exist: bool = True) -> str:
-    """Target table of a registered project. ``projects`` comes from ``list_projects``."""
-    found = projects.where(F.col("project") == project).take(1)
-    if not found:
-        raise GateError(f"project {project} is not registered")
-    if not found[0]["target_table"] or (must_exist and not found[0]["target_exists"]):
-        raise GateError(f"the target table of project {project} was not found")
-    return found[0]["target_table"]
+    """Target table of a registered project, or the gate that stops it. ``projects`` comes from ``list_projects``."""
+    asked = projects.sparkSession.createDataFrame([(project,)], "project string")
+    found = project_gates(asked, projects.where(F.col("project") == project), must_exist).first()
+    if found["stopped"]:
+        raise GateError(found["stopped"])
+    return found["target_table"]

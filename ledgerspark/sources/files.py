@@ -16,6 +16,8 @@ from ledgerspark.sources.records import GB18030, UTF8  # noqa: F401
 # File types that are read, the prefix of temporary files.
 SUFFIXES = [".csv", ".xlsx", ".xlsm"]
 TEMPORARY_PREFIX = "~$"
+# Names that Spark's readers leave out.
+HIDDEN = r"(^|/)(\.|_[^/=]*(/|$))"
 
 
 def file_inventory(spark: SparkSession, path: str) -> DataFrame:
@@ -87,7 +89,9 @@ def sample_file(inventory: DataFrame, seed: str, path: str = "path") -> DataFram
 
 def plain_path() -> Column:
     """Path of the file a row comes from, as it is spelled on disk; Spark's own is URI-escaped."""
-    return F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B")))
+    spelled = F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B")))
+    # Local paths come with one slash or three.
+    return F.regexp_replace(spelled, "^file:/(?!/)", "file:///")
 
 
 def csv_lines(spark: SparkSession, path: str) -> DataFrame:
@@ -102,7 +106,7 @@ def csv_lines(spark: SparkSession, path: str) -> DataFrame:
     below = F.when(F.col("path").endswith(root), F.element_at(F.split("path", "/"), -1)).otherwise(
         F.split_part("path", F.lit(root + "/"), F.lit(-1))
     )
-    hidden = [r[0] for r in csv.where(below.rlike(r"(^|/)[_.]")).select("path").toLocalIterator()]
+    hidden = [r[0] for r in csv.where(below.rlike(HIDDEN)).select("path").toLocalIterator()]
     folder, copies = visible_copies(spark, hidden)
     name = F.element_at(F.split("source_file", "/"), -1)
     lines = records.raw_lines(spark, [path], plain_path()).where(~name.startswith(TEMPORARY_PREFIX))
