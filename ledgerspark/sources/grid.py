@@ -19,10 +19,12 @@ from ledgerspark.functions.names import named
 from ledgerspark.functions.values import blank_to_null, clean_cell
 from ledgerspark.plans.rollup import MISSING_FIELD, SHARED_FIELD, SheetInput, Source
 from ledgerspark.plans.rules import DEFAULT_SHEET, FILE_NAME, Rule, SheetSpec
-from ledgerspark.session import lookup_side
+from ledgerspark.session import lookup_side, settle, store
 
 FILE_KEY = ["source_file", "sheet"]
 VIRTUAL = -1
+# Rows of a sheet that share the ranges they are compared with.
+ROWS_OF_BUCKET = 256
 
 # Messages of the range checks and the sheet checks.
 MISSING_SHEET = "Required sheet is missing."
@@ -64,33 +66,57 @@ def grid_from_cells(cells: DataFrame) -> DataFrame:
 
 
 def expand_merged(cells: DataFrame, ranges: DataFrame) -> DataFrame:
-    """Give every coordinate of a merged range the value of its top-left cell."""
+    """Give every coordinate of a merged range the value of its top-left cell.
+
+    Cells meet the ranges of their rows' bucket, so a range is a row per bucket and not one per coordinate.
+    Coordinates are only written out for ranges that do not hold a cell at each of them; there the rows
+    are part of the result.
+    """
+    bucket = lambda row: F.expr(f"{row} div {ROWS_OF_BUCKET}")
     corner = cells.select(
         *FILE_KEY,
         F.col("row_no").alias("min_row"),
         F.col("col_no").alias("min_col"),
         F.col("value").alias("corner_value"),
     )
-    covered = (
-        ranges.join(corner, [*FILE_KEY, "min_row", "min_col"], "left")
-        .select(
-            *FILE_KEY,
-            "corner_value",
-            "min_col",
-            "max_col",
-            F.explode(F.sequence("min_row", "max_row")).alias("row_no"),
-        )
-        .select(
-            *FILE_KEY,
-            "row_no",
-            F.explode(F.sequence("min_col", "max_col")).alias("col_no"),
-            F.struct("corner_value").alias("cover"),
+    known = settle(
+        ranges.dropDuplicates([*FILE_KEY, "min_row", "min_col"]).join(corner, [*FILE_KEY, "min_row", "min_col"], "left")
+    )
+    spread = lookup_side(
+        known.select(*[F.col(name).alias(f"of_{name}") for name in known.columns]).withColumn(
+            "of_bucket", F.explode(F.sequence(bucket("of_min_row"), bucket("of_max_row")))
         )
     )
-    value = F.when(F.col("cover").isNotNull(), F.col("cover.corner_value")).otherwise(F.col("value"))
-    return cells.join(covered, [*FILE_KEY, "row_no", "col_no"], "full").select(
-        *FILE_KEY, "row_no", "col_no", value.alias("value")
+    inside = F.col("row_no").between(F.col("of_min_row"), F.col("of_max_row")) & F.col("col_no").between(
+        F.col("of_min_col"), F.col("of_max_col")
+    )
+    same = (F.col("source_file") == F.col("of_source_file")) & (F.col("sheet") == F.col("of_sheet"))
+    met = store(cells.join(spread, same & (bucket("row_no") == F.col("of_bucket")) & inside, "left"), "merged")
+    covered = F.col("of_min_row").isNotNull()
+    shown = met.select(
+        *FILE_KEY, "row_no", "col_no", F.when(covered, F.col("of_corner_value")).otherwise(F.col("value")).alias("value")
+    )
+    # Ranges with coordinates that have no cell of their own.
+    held = met.where(covered).groupBy("of_source_file", "of_sheet", "of_min_row", "of_min_col").agg(
+        F.countDistinct("row_no", "col_no").alias("held")
+    )
+    size = (F.col("max_row") - F.col("min_row") + 1).cast("long") * (F.col("max_col") - F.col("min_col") + 1)
+    gaps = settle(
+        known.join(
+            lookup_side(held),
+            (F.col("source_file") == F.col("of_source_file")) & (F.col("sheet") == F.col("of_sheet"))
+            & (F.col("min_row") == F.col("of_min_row")) & (F.col("min_col") == F.col("of_min_col")),
+            "left",
+        ).where(size > F.coalesce("held", F.lit(0))).select(*known.columns)
+    )
+    if gaps.isEmpty():
+        return shown
+    missing = (
+        gaps.select(*FILE_KEY, "corner_value", "min_col", "max_col", F.explode(F.sequence("min_row", "max_row")).alias("row_no"))
+        .select(*FILE_KEY, "row_no", F.explode(F.sequence("min_col", "max_col")).alias("col_no"), "corner_value")
+        .join(cells, [*FILE_KEY, "row_no", "col_no"], "left_anti")
     )
+    return shown.unionByName(missing.select(*FILE_KEY, "row_no", "col_no", F.col("corner_value").alias("value")))
 
 
 def sheet_totals(grid: DataFrame) -> DataFrame:

@@ -107,6 +107,19 @@ def test_merged_ranges(spark):
     assert cells_of(grid) == [(1, ["A", "A"]), (2, ["x", "y"])]
 
 
+def test_long_and_holed_merged_ranges(spark):
+    """A long range with all its cells, one over cells that are missing, and a sheet without ranges."""
+    long = [("f", "S", r, c, f"{r}/{c}") for r in range(1, 1201) for c in (1, 2, 3)]
+    cells = spark.createDataFrame([*long, ("g", "S", 5, 2, "corner"), ("h", "S", 1, 1, "x")], CELLS)
+    ranges = [("f", "S", 200, 900, 2, 3), ("f", "S", 1, 1, 1, 3), ("g", "S", 5, 6, 2, 4), ("i", "S", 1, 2, 1, 1)]
+    found = {tuple(r)[:4]: r["value"] for r in G.expand_merged(cells, spark.createDataFrame(ranges, MERGE_RANGES)).collect()}
+    expected = {(f, s, r, c): v for f, s, r, c, v in long} | {("h", "S", 1, 1): "x"}
+    for f, s, r1, r2, c1, c2 in ranges:
+        corner = {("f", 200): "200/2", ("f", 1): "1/1", ("g", 5): "corner"}.get((f, r1))
+        expected |= {(f, s, r, c): corner for r in range(r1, r2 + 1) for c in range(c1, c2 + 1)}
+    assert found == expected
+
+
 def test_rollup_over_differing_files(spark):
     a = grid_of(spark, [["shop", "v"], ["A", "`1.5"], [None, None], ["", ""]], "x/one.xlsx")
     b = grid_of(spark, [["v", "shop"], ["2", "A"], ["4", "B"]], "x/two.xlsx")
