@@ -124,9 +124,9 @@ def test_language_model(docs, rows):
 
 def test_class_probabilities_sum_to_one():
     rng = np.random.default_rng(0)
-    weights = rng.normal(size=(maxent.FEATURES, 8)).astype(np.float32)
+    weights = rng.normal(size=(1 << 12, 8)).astype(np.float32)
     chunk = maxent.Chunk([b"a b c a", b"", b"b"])
-    raw = np.exp(maxent.class_scores(weights, np.zeros(8, np.float32), chunk.contexts()))
+    raw = np.exp(maxent.class_scores(weights, np.zeros(8, np.float32), chunk.contexts(1 << 12)))
     assert np.allclose((raw / raw.sum(axis=1, keepdims=True)).sum(axis=1), 1)
 
 
