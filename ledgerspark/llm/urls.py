@@ -102,11 +102,12 @@ def _level(keys: DataFrame, level: int, size: int) -> DataFrame:
         .groupBy(F.shiftright("bit", 6).cast("int").alias("at"))
         .agg(F.bit_or(F.expr("shiftleft(1L, cast(bit & 63 as int))")).alias("word"))
     )
-    filled = F.map_from_entries(F.collect_list(F.struct("at", "word")))
-    row = words.agg(filled.alias("m")).select(
-        F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda i: F.coalesce(F.col("m")[i], F.lit(0).cast("long"))).alias("bits")
+    # Words without a bit are filled in by a join, so that building takes time in proportion to the words.
+    every = keys.sparkSession.range(size).select(F.col("id").cast("int").alias("place"))
+    filled = every.join(words, F.col("place") == F.col("at"), "left").select(
+        F.struct("place", F.coalesce("word", F.lit(0).cast("long")).alias("word")).alias("w")
     )
-    return settle(row)
+    return settle(filled.agg(F.sort_array(F.collect_list("w")).alias("ws")).select(F.col("ws.word").alias("bits")))
 
 
 def _passes(key: Column, level: int, words: DataFrame, size: int) -> Column:
