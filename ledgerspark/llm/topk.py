@@ -1,18 +1,21 @@
 """Exact top-k by inner product with a KD-tree per shard.
 
-Each shard's vectors become a tree of median splits whose leaves carry tight bounding boxes. A query
-visits the leaves of a shard best bound first: no vector of a box can score more than the sum over
-dimensions of the larger of ``q * low`` and ``q * high``. It stops at the first leaf whose bound is
-below the k-th score known so far. That score travels: every shard first scores its most promising
-leaf, the k-th best over all shards becomes each query's starting bound, and only then are the trees
-searched in full.
+Each shard's vectors become a tree of median splits; every node, inner ones too, carries its tight bounding
+box. A query keeps the nodes it has not opened in a heap, best bound first: no vector of a box can score
+more than the sum over dimensions of the larger of ``q * low`` and ``q * high``. An inner node that is
+opened gives its two children, a leaf its scores, and the search of a shard ends at the first node whose
+bound is below the k-th score known so far, with whole subtrees unopened. That score travels: every shard
+first descends to its most promising leaf, the k-th best over all shards becomes each query's starting
+bound, and only then are the trees searched in full.
 
 Trees are stored rows; queries go to shards in blocks, so neither side is collected.
 """
 
 from __future__ import annotations
 
+import heapq
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -29,63 +32,72 @@ LEAF_ROWS = 64
 QUERY_ROWS = 512
 
 
-def build_tree(vectors: np.ndarray, leaf_rows: int = LEAF_ROWS) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Order of the rows by leaf, leaf offsets, and each leaf's lower and upper corner."""
-    leaves: list[np.ndarray] = []
-    open_ = [np.arange(len(vectors))]
+@dataclass
+class Tree:
+    """A KD-tree over rows in ``order``. Node ``i`` has the rows ``[begin, end)`` of it, its box, and its
+    first child (the other follows), or -1 for a leaf."""
+
+    order: np.ndarray
+    nodes: np.ndarray
+    low: np.ndarray
+    high: np.ndarray
+
+
+def build_tree(vectors: np.ndarray, leaf_rows: int = LEAF_ROWS) -> Tree:
+    order = np.arange(len(vectors))
+    nodes = [[0, len(vectors), -1]]
+    at = 0
+    while at < len(nodes):
+        begin, end, _ = nodes[at]
+        if end - begin > leaf_rows:
+            part = vectors[order[begin:end]]
+            dim = int(np.argmax(part.max(axis=0) - part.min(axis=0)))
+            # The median by rank halves the rows even where many share one value.
+            middle = (end - begin) // 2
+            order[begin:end] = order[begin:end][np.argpartition(part[:, dim], middle)]
+            nodes[at][2] = len(nodes)
+            nodes += [[begin, begin + middle, -1], [begin + middle, end, -1]]
+        at += 1
+    boxes = [(vectors[order[b:e]].min(axis=0), vectors[order[b:e]].max(axis=0)) for b, e, _ in nodes]
+    low, high = (np.array(x) for x in zip(*boxes, strict=True))
+    return Tree(order, np.array(nodes, np.int64), low, high)
+
+
+def search_one(
+    tree: Tree, vectors: np.ndarray, ids: np.ndarray, rows: np.ndarray, own: int, query: np.ndarray, k: int, least: float,
+    leaves: int | None = None,
+) -> tuple[list[tuple[float, int, int]], int]:
+    """Best ``k`` of one shard as ``(-score, id, row)``, and how many nodes were opened.
+
+    ``least`` is a score that the query's final k-th reaches; nodes bound below it are not opened, equal
+    ones are, since ties go to the smaller id. ``leaves`` stops after so many, for a first bound. The row
+    ``own`` is no candidate.
+    """
+    up, down = np.maximum(query, 0), np.minimum(query, 0)
+    nodes = tree.nodes
+    root = float(up @ tree.high[0] + down @ tree.low[0])
+    open_, found, kth, opened, left = [(-root, 0)], [], least, 0, leaves
     while open_:
-        rows = open_.pop()
-        if len(rows) <= leaf_rows:
-            leaves.append(rows)
+        bound, at = heapq.heappop(open_)
+        if -bound < kth or left == 0:
+            break
+        opened += 1
+        begin, end, child = nodes[at].tolist()
+        if child >= 0:
+            both = tree.high[child : child + 2] @ up + tree.low[child : child + 2] @ down
+            for i, limit in enumerate(both.tolist()):
+                if limit >= kth:
+                    heapq.heappush(open_, (-limit, child + i))
             continue
-        part = vectors[rows]
-        dim = int(np.argmax(part.max(axis=0) - part.min(axis=0)))
-        # The median by rank halves the rows even where many share one value.
-        order = np.argpartition(part[:, dim], len(rows) // 2)
-        open_ += [rows[order[len(rows) // 2 :]], rows[order[: len(rows) // 2]]]
-    offsets = np.concatenate(([0], np.cumsum([len(x) for x in leaves])))
-    low = np.array([vectors[x].min(axis=0) for x in leaves])
-    high = np.array([vectors[x].max(axis=0) for x in leaves])
-    return np.concatenate(leaves), offsets, low, high
-
-
-def bounds(queries: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
-    """Per query and leaf, what no vector of the leaf's box can exceed."""
-    return np.maximum(queries, 0) @ high.T + np.minimum(queries, 0) @ low.T
-
-
-def search(
-    tree: tuple, ids: np.ndarray, vectors: np.ndarray, query_ids: np.ndarray, queries: np.ndarray, k: int,
-    least: np.ndarray, leaves: int | None = None,
-) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Best ``k`` of one shard for each query, as (query index, vector id, score).
-
-    ``least`` is a score that the query's final k-th reaches; boxes below it are not opened, equal
-    ones are, since ties go to the smaller id. ``leaves`` stops after so many, for a first bound.
-    """
-    order, offsets, low, high = tree
-    limits = bounds(queries, low, high)
-    best_first = np.argsort(-limits, axis=1, kind="stable")
-    got_q, got_id, got_s = [], [], []
-    for q in range(len(queries)):
-        kth, found_s, found_i = least[q], np.empty(0), np.empty(0, np.int64)
-        for leaf in best_first[q][:leaves]:
-            if limits[q, leaf] < kth:
-                break
-            rows = order[offsets[leaf] : offsets[leaf + 1]]
-            scores = vectors[rows] @ queries[q]
-            keep = (scores >= kth) & (ids[rows] != query_ids[q])
-            if keep.any():
-                found_s = np.concatenate((found_s, scores[keep]))
-                found_i = np.concatenate((found_i, ids[rows][keep]))
-                if len(found_s) >= k:
-                    top = np.lexsort((found_i, -found_s))[:k]
-                    found_s, found_i = found_s[top], found_i[top]
-                    kth = max(kth, found_s[-1])
-        got_q.append(np.full(len(found_s), q))
-        got_id.append(found_i)
-        got_s.append(found_s)
-    return np.concatenate(got_q), np.concatenate(got_id), np.concatenate(got_s)
+        left = None if left is None else left - 1
+        scores = vectors[begin:end] @ query
+        keep = np.flatnonzero((scores >= kth) & (rows[begin:end] != own))
+        if len(keep):
+            found += zip((-scores[keep]).tolist(), ids[begin:end][keep].tolist(), rows[begin:end][keep].tolist(), strict=True)
+            if len(found) >= k:
+                found = heapq.nsmallest(k, found)
+                kth = max(kth, -found[-1][0])
+    return found, opened
 
 
 def integer_vectors(table: DataFrame, vec_id: str, embedding: str, scale: int) -> DataFrame:
@@ -114,91 +126,90 @@ def top_k(
 ) -> DataFrame:
     """``query_id, rank, vec_id, score``: best ``k`` rows by integer inner product, per query.
 
-    Queries are the rows whose id is divisible by ``every``; candidates are all rows with another
-    id. Components become ``floor(scale * x)``. Ties go to the smaller id; fewer rows than ``k``
-    give all of them. Vectors that are NULL or hold NULL, NaN or infinite components take no part,
-    nor do rows without an id; vectors score against those of their own length only. A repeated id
-    is a candidate, and where divisible a query, once per distinct vector. Scores are exact while
-    they stay below 2**53.
+    Queries are the rows whose id is divisible by ``every``; candidates are all rows but the query's own,
+    rows of the same id or vector included. Components become ``floor(scale * x)``. Ties go to the smaller
+    id; fewer rows than ``k`` give all of them. Vectors that are NULL or hold NULL, NaN or infinite
+    components take no part, nor do rows without an id; vectors score against those of their own length
+    only. A repeated id is a candidate, and where divisible a query, once per row. An empty table gives
+    none; other columns of ``table`` do not matter. Scores are exact while they stay below 2**53.
     """
-    spark = table.sparkSession
-    vectors = store(integer_vectors(table, vec_id, embedding, scale).distinct(), "vectors")
-    vectors = vectors.withColumn("dim", F.size("v"))
+    # The number of a row is fixed by being written.
+    numbered = integer_vectors(table, vec_id, embedding, scale).withColumn("row", F.monotonically_increasing_id())
+    vectors = store(numbered, "vectors").withColumn("dim", F.size("v"))
     count = vectors.count()
     shards = max(1, -(-count // shard_rows))
-    placed = vectors.withColumn("shard", F.pmod(F.xxhash64("vec_id", "v"), F.lit(shards)).cast("int"))
+    placed = vectors.withColumn("shard", F.pmod(F.xxhash64("row"), F.lit(shards)).cast("int"))
 
     def plant(rows: pd.DataFrame) -> pd.DataFrame:
         v = _matrix(rows["v"])
-        order, offsets, low, high = build_tree(v)
+        tree = build_tree(v)
         return pd.DataFrame(
             {
                 "tree_shard": [int(rows["shard"].iloc[0])],
                 "tree_dim": [v.shape[1]],
-                "ids": [rows["vec_id"].to_numpy(np.int64)[order].tobytes()],
-                "rows": [v[order].tobytes()],
-                "offsets": [offsets.astype(np.int64).tobytes()],
-                "low": [low.tobytes()],
-                "high": [high.tobytes()],
+                "ids": [rows["vec_id"].to_numpy(np.int64)[tree.order].tobytes()],
+                "numbers": [rows["row"].to_numpy(np.int64)[tree.order].tobytes()],
+                "rows": [v[tree.order].tobytes()],
+                "nodes": [tree.nodes.tobytes()],
+                "low": [tree.low.tobytes()],
+                "high": [tree.high.tobytes()],
             }
         )
 
     trees = store(
         placed.groupBy("shard", "dim").applyInPandas(
-            plant, "tree_shard int, tree_dim int, ids binary, rows binary, offsets binary, low binary, high binary"
+            plant,
+            "tree_shard int, tree_dim int, ids binary, numbers binary, rows binary, nodes binary, low binary, high binary",
         ),
         "trees",
     )
     blocks = max(1, -(-count // every // QUERY_ROWS))
     queries = store(
         vectors.where(F.col("vec_id") % every == 0)
-        .withColumn("block", F.pmod(F.xxhash64("vec_id", "v", F.lit(1)), F.lit(blocks)).cast("int"))
-        .select("block", "dim", F.col("vec_id").alias("query_id"), "v", F.xxhash64("vec_id", "v").alias("query")),
+        .withColumn("block", F.pmod(F.xxhash64("row", F.lit(1)), F.lit(blocks)).cast("int"))
+        .select("block", "dim", F.col("vec_id").alias("query_id"), "v", F.col("row").alias("query")),
         "queries",
     )
 
     def pairs(bounded: DataFrame) -> DataFrame:
-        """Query blocks next to every tree of their dimension; a tree is one row."""
+        """Query blocks next to every tree of their dimension; a tree is one row, and meets its blocks where it is."""
         packed = bounded.groupBy("block", "dim").agg(
             F.collect_list(F.struct("query", "query_id", "v", "least")).alias("asked")
         )
-        return packed.join(trees, F.col("dim") == F.col("tree_dim")).repartition("block", "tree_shard", "dim")
+        dealt = packed.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
+        met = dealt.join(trees, (F.col("shard") == F.col("tree_shard")) & (F.col("dim") == F.col("tree_dim")))
+        return met.repartition("block", "tree_shard", "dim")
 
     def run(leaves: int | None):
         def searched(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for part in parts:
                 for row in part.itertuples(index=False):
                     dim = row.tree_dim
-                    ids = np.frombuffer(row.ids, np.int64)
+                    ids, numbers = np.frombuffer(row.ids, np.int64), np.frombuffer(row.numbers, np.int64)
                     v = np.frombuffer(row.rows, np.float64).reshape(len(ids), dim)
-                    offsets = np.frombuffer(row.offsets, np.int64)
                     low = np.frombuffer(row.low, np.float64).reshape(-1, dim)
                     high = np.frombuffer(row.high, np.float64).reshape(-1, dim)
-                    asked = row.asked
-                    q = np.array([x["v"] for x in asked], np.float64).reshape(len(asked), dim)
-                    keys = np.array([x["query"] for x in asked], np.int64)
-                    qid = np.array([x["query_id"] for x in asked], np.int64)
-                    least = np.array([x["least"] for x in asked], np.float64)
-                    tree = (np.arange(len(ids)), offsets, low, high)
-                    at, found, scores = search(tree, ids, v, qid, q, k, least, leaves)
-                    yield pd.DataFrame(
-                        {"query": keys[at], "query_id": qid[at], "vec_id": found, "score": scores.astype(np.int64)}
-                    )
+                    tree = Tree(np.arange(len(ids)), np.frombuffer(row.nodes, np.int64).reshape(-1, 3), low, high)
+                    out = []
+                    for x in row.asked:
+                        query = np.array(x["v"], np.float64)
+                        found, _ = search_one(tree, v, ids, numbers, x["query"], query, k, x["least"], leaves)
+                        out += [(x["query"], x["query_id"], i, n, int(-s)) for s, i, n in found]
+                    yield pd.DataFrame(out, columns=["query", "query_id", "vec_id", "number", "score"])
 
         return searched
 
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "8")
-    schema = "query long, query_id long, vec_id long, score long"
-    best = Window.partitionBy("query", "query_id").orderBy(F.col("score").desc(), "vec_id")
+    schema = "query long, query_id long, vec_id long, number long, score long"
+    best = Window.partitionBy("query").orderBy(F.col("score").desc(), "vec_id", "number")
     open_ = queries.withColumn("least", F.lit(float("-inf")))
     first = pairs(open_).mapInPandas(run(1), schema)
     # The k-th best of what all shards found so far: a bound that the final k-th reaches.
     kth = (
         first.withColumn("place", F.row_number().over(best)).where(F.col("place") == k)
-        .select(F.col("query").alias("of"), F.col("query_id").alias("of_id"), F.col("score").cast("double").alias("least"))
+        .select(F.col("query").alias("of"), F.col("score").cast("double").alias("least"))
     )
     bounded = store(
-        queries.join(kth, (F.col("query") == F.col("of")) & (F.col("query_id") == F.col("of_id")), "left").select(
+        queries.join(kth, F.col("query") == F.col("of"), "left").select(
             *queries.columns, F.coalesce("least", F.lit(float("-inf"))).alias("least")
         ),
         "bounded",

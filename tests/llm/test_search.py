@@ -8,8 +8,9 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from ledgerspark.llm import centroids, langid, ranked
+from ledgerspark.llm import centroids, langid, ranked, topk, urls
 
 TERM = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
 UPPER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -290,3 +291,43 @@ def test_heaps_look_at_few_vectors_and_lose_none():
         assert (block.cluster == d.argmin(axis=1)).all()
         assert sorted(m for h in block.heaps for _, m in h) == list(range(3000))
     assert looked[-1] < 300
+
+
+def test_top_vectors_count_every_row(spark):
+    """Repeated rows and ids are rows of their own: candidates of each other, and queries of their own."""
+    rng = np.random.default_rng(12)
+    rows = [(i, rng.normal(size=6).round(2).tolist()) for i in range(120)]
+    rows += [(1, rows[1][1]), (1, rows[2][1]), (50, rows[50][1]), (50, rows[3][1]), (None, rows[0][1]), (7, [1.0] * 5)]
+    schema = "vec_id long, embedding array<float>, row long, dim int, shard int, score string"
+    df = spark.createDataFrame([(*r, 0, 9, 9, "x") for r in rows], schema).repartition(3)
+    whole = [(i, np.floor(256 * np.float32(v).astype(np.float64))) for i, v in rows if i is not None]
+    expected = []
+    for n, (q, v) in enumerate(whole):
+        if q % 50 == 0:
+            scored = sorted((-int(v @ w), i) for m, (i, w) in enumerate(whole) if m != n and len(w) == len(v))
+            expected += [(q, rank + 1, i, -s) for rank, (s, i) in enumerate(scored[:5])]
+    assert sorted(tuple(r) for r in topk.top_k(df, shard_rows=40).collect()) == sorted(expected)
+    assert spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000"
+
+
+def test_trees_leave_subtrees_unopened():
+    rng = np.random.default_rng(13)
+    middle = rng.normal(size=(40, 8)) * 50
+    v = np.floor(middle[rng.integers(0, 40, 4000)] + rng.normal(size=(4000, 8)))
+    tree = topk.build_tree(v, 32)
+    v, ids = v[tree.order], np.arange(4000)[tree.order]
+    for child in (x for x in tree.nodes[:, 2] if x >= 0):
+        assert tree.nodes[child, 1] == tree.nodes[child + 1, 0]
+    for n in range(0, 4000, 400):
+        found, opened = topk.search_one(tree, v, ids, ids, int(ids[n]), v[n], 5, float("-inf"))
+        scores = v @ v[n]
+        order = [i for i in np.lexsort((ids, -scores)) if i != n][:5]
+        assert [(x[1], -x[0]) for x in found] == [(ids[i], scores[i]) for i in order]
+        assert opened < len(tree.nodes) / 4
+
+
+def test_large_filters_are_built_in_linear_time(spark):
+    """150,000 listed keys: a look-up per word of the filter would take minutes."""
+    keys = spark.range(200_000).select(F.concat(F.lit("h"), F.col("id").cast("string")).alias("key"), (F.col("id") % 4 > 0).alias("listed"))
+    cascade = urls.build_cascade(keys)
+    assert keys.where(cascade.holds(F.col("key")) != F.col("listed")).count() == 0
