@@ -1,10 +1,12 @@
 """Personal data by seeds and by the contexts that seeds teach.
 
 Seeds are what four strict patterns find: emails, IPv4 addresses, card numbers that pass Luhn's test
-and international phone numbers. The words before a seed are a lexical pattern. Looser strings that
-could be personal data are candidates; together with the seeds they form a graph of patterns and
-instances, whose scores Spark refines in turn: a pattern is as good as the instances in its slot, an
-instance as good as the patterns around it. Candidates in the slot of a good pattern become spans.
+and international phone numbers. What stands around a find are its lexical patterns: the word before it,
+the two words before it, and the word behind it. Looser strings that could be personal data are
+candidates; together with the seeds they form a graph of patterns and instances, whose scores Spark refines
+in turn: a pattern is as good as the instances in its slot, an instance as good as the best pattern around
+it. Instances that are believed by then teach further patterns, so the graph is followed beyond the
+patterns of the seeds. Candidates in the slot of a good pattern become spans.
 
 Everything is DataFrame work. One scan of the texts leaves a thin table of finds; positions, scores
 and spans come from that table.
@@ -34,12 +36,19 @@ LOOSE = {
     "number": r"(?:(?<![0-9A-Za-z])|\G)[0-9]++(?:[\x20().\-]{1,2}+[0-9]++)++",
 }
 NEEDS = {"email": "@", "mail": "[@(\\[]", "phone": "\\+[0-9]", "ip": "[0-9]\\.[0-9]", "card": "[0-9][\\x20\\-]?[0-9]", "number": "[0-9]"}
-# Characters before a find that can hold its two words of context.
-NEAR = 48
-CONTEXT = r"(?s)([^\x20\x09-\x0D]+[\x20\x09-\x0D]+[^\x20\x09-\x0D]*)$"
-ROUNDS = 3
+_SPACE, _WORD = r"[\x20\x09-\x0D]", r"[^\x20\x09-\x0D]"
+# What stands before a find, read backwards: what is attached to it and two words. The same once more with
+# one word; and forwards what is attached behind it and the next word.
+TWO_BACK = rf"^{_WORD}*+(?:{_SPACE}++{_WORD}++){{2}}"
+ONE_BACK = rf"^{_WORD}*+{_SPACE}++{_WORD}++"
+ONE_AHEAD = ONE_BACK
+# Longer contexts are known by their hash.
+LONG_CONTEXT = 64
+ROUNDS = 5
+# A pattern is good from this share of believed slots on, after the last round.
 CONFIDENCE = 0.9
-SUPPORT = 3
+# Different instances that a pattern needs, and the score from which an instance counts as one.
+SUPPORT, BELIEVED = 3, 0.5
 
 
 def _digits(text: Column) -> Column:
@@ -84,6 +93,24 @@ def _could_be(kind: str, form: Column, text: Column) -> Column:
     }[kind]
 
 
+def _context(text: Column, mark: str) -> Column:
+    """A context as a pattern: its words in lower case; NULL where there is none."""
+    words = F.lower(F.trim(F.regexp_replace(text, rf"{_SPACE}+", " ")))
+    short = F.when(F.length(words) <= LONG_CONTEXT, words).otherwise(F.concat(F.lit("#"), F.sha2(words, 256)))
+    return F.when(text != "", F.concat(F.lit(mark), short))
+
+
+def _before(gap: Column) -> Column:
+    """Patterns of the words before a find. Read backwards, so that only the end of a gap is looked at."""
+    back = F.reverse(gap)
+    one, two = (F.reverse(F.regexp_extract(back, p, 0)) for p in (ONE_BACK, TWO_BACK))
+    return F.struct(_context(one, "1 ").alias("one"), _context(two, "2 ").alias("two"))
+
+
+def _behind(gap: Column) -> Column:
+    return _context(F.regexp_extract(gap, ONE_AHEAD, 0), "> ")
+
+
 def _finds(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     """One row per document: its id, a row number and, per pattern with matches, what it matched.
 
@@ -114,10 +141,10 @@ def _finds(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
                 F.zip_with(
                     F.slice(F.col(f"g_{k}"), 1, F.size(f"m_{k}")),
                     f"m_{k}",
-                    lambda g, m: F.struct(
-                        F.length(g).alias("gap"), F.lower(F.substr(g, F.greatest(F.length(g) - (NEAR - 1), F.lit(1)))).alias("near"), m.alias("text")
-                    ),
+                    lambda g, m: F.struct(F.length(g).alias("gap"), _before(g).alias("before"), m.alias("text")),
                 ).alias("matches"),
+                # What stands behind a match is the next gap.
+                F.transform(F.slice(F.col(f"g_{k}"), 2, F.size(f"m_{k}")), _behind).alias("behind"),
             ),
         )
         for k in patterns
@@ -126,56 +153,64 @@ def _finds(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
 
 
 def _placed(finds: DataFrame) -> DataFrame:
-    """Matches with their places: ``row, form, start, end, text, pattern``."""
+    """Matches with their places: ``row, form, start, end, text, one, two, behind``."""
     each = finds.select("row", F.explode("found").alias("f")).select(
-        "row", "f.form", F.posexplode("f.matches").alias("at", "m")
+        "row", "f.form", "f.behind", F.posexplode("f.matches").alias("at", "m")
     )
     size = F.length("m.text")
     so_far = F.sum(F.col("m.gap") + size).over(Window.partitionBy("row", "form").orderBy("at"))
-    # The gap must end where the find begins, so that the pattern is what really stands before it.
-    context = F.trim(F.regexp_replace(F.regexp_extract("m.near", CONTEXT, 1), r"[\x20\x09-\x0D]+", " "))
     return each.select(
         "row",
         "form",
         (so_far - size).cast("long").alias("start"),
         so_far.cast("long").alias("end"),
         F.col("m.text").alias("text"),
-        F.nullif(context, F.lit("")).alias("pattern"),
+        F.col("m.before.one").alias("one"),
+        F.col("m.before.two").alias("two"),
+        F.get("behind", F.col("at")).alias("behind"),
     )
 
 
-def _edges(seeds: DataFrame, candidates: DataFrame) -> DataFrame:
-    """``pattern, kind, instance, seed, n``: how often an instance stands in a pattern's slot."""
-    known = seeds.where(F.col("pattern").isNotNull()).select(
-        "pattern", "kind", F.col("text").alias("instance"), F.lit(True).alias("seed")
-    )
-    open_ = candidates.where(F.col("pattern").isNotNull()).select(
-        "pattern", "kind", F.col("text").alias("instance"), F.lit(False).alias("seed")
+def _in_slots(finds: DataFrame) -> DataFrame:
+    """Finds once for each pattern around them: ``pattern``, and ``wider``, the context that must vary."""
+    # One word alone tells something only where the words before it differ.
+    slots = F.array(
+        F.struct(F.col("one").alias("pattern"), F.coalesce("two", F.lit("")).alias("wider")),
+        F.struct(F.col("two").alias("pattern"), F.col("text").alias("wider")),
+        F.struct(F.col("behind").alias("pattern"), F.coalesce("two", F.lit("")).alias("wider")),
     )
-    return settle(known.unionByName(open_).groupBy("pattern", "kind", "instance", "seed").agg(F.count(F.lit(1)).alias("n")))
+    each = finds.withColumn("slot", F.explode(F.filter(slots, lambda s: s["pattern"].isNotNull())))
+    return each.select("*", "slot.pattern", "slot.wider").drop("slot", "one", "two", "behind")
+
+
+def _edges(seeds: DataFrame, candidates: DataFrame) -> DataFrame:
+    """``pattern, kind, instance, wider, seed, n``: how often an instance stands in a pattern's slot."""
+    names = ["pattern", "kind", "instance", "wider", "seed"]
+    known = seeds.withColumn("seed", F.lit(True)).withColumnRenamed("text", "instance").select(*names)
+    open_ = candidates.withColumn("seed", F.lit(False)).withColumnRenamed("text", "instance").select(*names)
+    return settle(known.unionByName(open_).groupBy(*names).agg(F.count(F.lit(1)).alias("n")))
 
 
 def score_patterns(edges: DataFrame, rounds: int = ROUNDS, support: int = SUPPORT) -> DataFrame:
     """``pattern, kind, confidence`` after ``rounds`` rounds over the graph.
 
-    A seed scores 1 throughout, another instance first 0, then by noisy-or of the patterns around
-    it. A pattern's confidence is the mean score of what stands in its slot, times ``s / (s + 1)``
-    for ``s`` distinct seeds; below ``support`` seeds it is 0. Both sums are combined before the
-    shuffle, so frequent patterns and instances gather nowhere.
+    A seed scores 1 throughout, another instance first 0, then the confidence of the best pattern around
+    it. A pattern's confidence is the mean score of what stands in its slot, if at least ``support``
+    different instances there are believed, in as many different wider contexts; else it is 0. Sums are
+    combined before the shuffle, so frequent patterns and instances gather nowhere.
     """
     scored = edges.withColumn("score", F.col("seed").cast("double"))
     for step in range(rounds):
+        believed = F.col("score") >= BELIEVED
         total = scored.groupBy("pattern", "kind").agg(
             F.sum(F.col("n") * F.col("score")).alias("good"),
             F.sum("n").alias("all"),
-            F.count_if("seed").alias("seeds"),
+            F.countDistinct(F.when(believed, F.col("instance"))).alias("instances"),
+            F.countDistinct(F.when(believed, F.col("wider"))).alias("contexts"),
         )
-        confidence = F.when(
-            F.col("seeds") >= support, F.col("good") / F.col("all") * F.col("seeds") / (F.col("seeds") + 1)
-        ).otherwise(0.0)
         patterns = lookup_side(
-            total.select(F.col("pattern").alias("p"), F.col("kind").alias("k"), confidence.alias("confidence")).where(
-                "confidence > 0"
+            total.where((F.col("instances") >= support) & (F.col("contexts") >= support)).select(
+                F.col("pattern").alias("p"), F.col("kind").alias("k"), (F.col("good") / F.col("all")).alias("confidence")
             )
         )
         if step + 1 == rounds:
@@ -184,9 +219,7 @@ def score_patterns(edges: DataFrame, rounds: int = ROUNDS, support: int = SUPPOR
             patterns, (F.col("pattern") == F.col("p")) & (F.col("kind") == F.col("k"))
         )
         instances = lookup_side(
-            around.groupBy(F.col("instance").alias("i"), F.col("kind").alias("ik")).agg(
-                (1 - F.exp(F.sum(F.log(1 - F.least(F.col("confidence"), F.lit(0.999)))))).alias("belief")
-            )
+            around.groupBy(F.col("instance").alias("i"), F.col("kind").alias("ik")).agg(F.max("confidence").alias("belief"))
         )
         scored = settle(
             edges.join(instances, (F.col("instance") == F.col("i")) & (F.col("kind") == F.col("ik")), "left").select(
@@ -213,7 +246,8 @@ def find_private(
     ``place`` is the index of the kind in ``KINDS``; positions count code points, the end is
     exclusive. ``base`` holds the finds of the strict patterns, ``added`` candidates that stand in
     the slot of a pattern of enough ``confidence`` and overlap no base find. NULL texts count as
-    empty and have no finds; equal rows stay as many rows; an empty table gives none.
+    empty and have no finds; NULL ids stay NULL; equal rows stay as many rows; an empty table gives none;
+    other columns of ``docs`` do not matter.
     """
     finds = _finds(docs, doc_id, text)
     placed = store(_placed(finds), "placed")
@@ -222,7 +256,7 @@ def find_private(
     place = (F.array_position(names, F.col("kind")) - 1).cast("int")
     base = seeds.groupBy("row").agg(F.collect_list(F.struct(place.alias("place"), "start", "end")).alias("base"))
     base = store(base, "base")
-    loose = placed.where(F.col("form").isin(*LOOSE) & F.col("pattern").isNotNull())
+    loose = placed.where(F.col("form").isin(*LOOSE))
     kinds = F.array_compact(F.array(*[F.when(_could_be(k, F.col("form"), F.col("text")), F.lit(k)) for k in KINDS]))
     own = base.select(F.col("row").alias("base_row"), "base")
     apart = ~F.exists(
@@ -233,18 +267,19 @@ def find_private(
         loose.withColumn("kind", F.explode(kinds))
         .join(own, F.col("row") == F.col("base_row"), "left")
         .where(apart)
-        .select("row", "kind", "start", "end", "text", "pattern"),
+        .select("row", "kind", "start", "end", "text", "one", "two", "behind"),
         "candidates",
     )
+    slots = store(_in_slots(candidates), "slots")
     patterns = lookup_side(
-        score_patterns(_edges(seeds, candidates), support=support)
-        .where(F.col("confidence") >= confidence * support / (support + 1))
+        score_patterns(_edges(_in_slots(seeds), slots), support=support)
+        .where(F.col("confidence") >= confidence)
         .select(F.col("pattern").alias("p"), F.col("kind").alias("k"), "confidence")
     )
     # A candidate that fits several kinds is of the most confident one.
     sure = Window.partitionBy("row", "start", "end").orderBy(F.col("confidence").desc(), "kind")
     added = (
-        candidates.join(patterns, (F.col("pattern") == F.col("p")) & (F.col("kind") == F.col("k")))
+        slots.join(patterns, (F.col("pattern") == F.col("p")) & (F.col("kind") == F.col("k")))
         .withColumn("first", F.row_number().over(sure))
         .where(F.col("first") == 1)
         .groupBy(F.col("row").alias("added_row"))

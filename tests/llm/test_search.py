@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from ledgerspark.llm import centroids, langid, ranked, topk, urls
+from ledgerspark.llm import centroids, langid, private, ranked, topk, urls
 
 TERM = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
 UPPER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -331,3 +331,55 @@ def test_large_filters_are_built_in_linear_time(spark):
     keys = spark.range(200_000).select(F.concat(F.lit("h"), F.col("id").cast("string")).alias("key"), (F.col("id") % 4 > 0).alias("listed"))
     cascade = urls.build_cascade(keys)
     assert keys.where(cascade.holds(F.col("key")) != F.col("listed")).count() == 0
+
+
+def believe(edges, rounds, support):
+    """Rounds over the graph, one after the other."""
+    score = {(i, k, s): float(s) for _, k, i, _, s, _ in edges}
+    for step in range(rounds):
+        total = {}
+        for p, k, i, w, s, n in edges:
+            t = total.setdefault((p, k), [0.0, 0, set(), set()])
+            t[0] += n * score[i, k, s]
+            t[1] += n
+            if score[i, k, s] >= private.BELIEVED:
+                t[2].add(i)
+                t[3].add(w)
+        found = {key: g / a for key, (g, a, i, w) in total.items() if len(i) >= support and len(w) >= support}
+        for _, k, i, _, s, _ in edges:
+            if not s:
+                score[i, k, s] = max((found.get((p, k), 0.0) for p, kk, ii, _, ss, _ in edges if (kk, ii, ss) == (k, i, s)), default=0.0)
+    return found
+
+
+def test_pattern_scores_equal_brute_force(spark):
+    rng = np.random.default_rng(14)
+    edges = {(f"p{rng.integers(12)}", f"k{rng.integers(2)}", f"i{rng.integers(30)}", f"w{rng.integers(6)}", bool(rng.integers(3) == 0)): int(rng.integers(1, 5)) for _ in range(160)}
+    rows = [(*key, n) for key, n in edges.items()]
+    df = spark.createDataFrame(rows, "pattern string, kind string, instance string, wider string, seed boolean, n long")
+    for rounds, support in ((1, 1), (3, 3)):
+        found = {(r["pattern"], r["kind"]): r["confidence"] for r in private.score_patterns(df, rounds, support).collect()}
+        assert found == pytest.approx(believe(rows, rounds, support))
+
+
+def test_contexts_teach_and_do_not_mislead(spark):
+    """A telling context finds unseen numbers and teaches a second one; a bare word it ends with does not."""
+    texts = [f"please call desk at +1 202 555 {1000 + i} today" for i in range(14)]
+    unseen = ["202 555 77 01", "202 555 77 02", "202 555 77 03"]
+    texts += [f"please call desk at {n} today" for n in unseen]
+    texts += [f"then kindly ring {n} again" for n in unseen]
+    second = len(texts)
+    texts += ["then kindly ring 303 444 88 09 again", "the room at 2000 33 11 was full", f"a {'x' * 90}desk at 404 555 66 08"]
+    texts += [None, "", "at " * 3000 + "2000 33 11"]
+    rows = [(i, t, "n", 1) for i, t in enumerate(texts)] + [(None, texts[0], "n", 1), (0, texts[0], "n", 1)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, pattern string, row int").repartition(3)
+    found = private.private_digests(df)
+    added = {r["doc_id"]: (r["spans"], r["n_added"]) for r in found.collect()}
+    for i in (14, 15, 16):
+        assert added[i] == ("phone:20:33", 1)
+    for i in (17, 18, 19):
+        assert added[i] == ("phone:17:30", 1)
+    assert added[second] == ("phone:17:30", 1)
+    assert [added[i] for i in range(second + 1, len(texts))] == [("", 0)] * 5
+    assert added[0] == added[None] and added[0][1] == 0 and found.count() == len(rows)
+    assert private.private_digests(df.limit(0)).count() == 0
