@@ -18,9 +18,6 @@ from ledgerspark.session import lookup_side
 # A word of every contract: a run of anything but the six ASCII white-space characters.
 WORD = r"[^\x20\x09-\x0D]+"
 
-# Records of one Arrow batch. Texts of a batch are in a worker's memory together.
-BATCH_ROWS = 1000
-
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{table}.parquet")
@@ -61,11 +58,6 @@ def only_staying(docs: DataFrame, decisions: DataFrame, doc_id: str, text: str)
     return plain.unionByName(once)
 
 
-def with_batches(spark: SparkSession) -> None:
-    """Bound what one Arrow batch brings into a Python worker."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
-
-
 def over_texts(
     docs: DataFrame,
     doc_id: str,

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerspark.llm.common import only_staying, over_texts, text_or_empty, with_batches
+from ledgerspark.llm.common import only_staying, over_texts, slices, text_or_empty
 from ledgerspark.session import lookup_side, store
 
 WHITE = b" \t\n\x0b\x0c\r"
@@ -102,13 +102,12 @@ def mixed_groups(docs: DataFrame, nominated: DataFrame, text: str, scheme: tuple
     Every text of a nominated group is cut into chunks, and equal chunks at one place collapse
     before the shuffle, so a group of any number of copies sends each chunk once per task.
     """
-    with_batches(docs.sparkSession)
     chunk = scheme[2]
     rows = docs.select(text_or_empty(text).alias("text"))
 
     def cut(batches):
         of = Fingerprint(*scheme).of
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole, 0)):
             bare = [t.translate(None, WHITE) for t in batch.column(0).cast(pa.binary()).to_pylist()]
             prints = [of(t) for t in bare]
             columns = [[p[0] for p in prints], [p[1] for p in prints], [len(t) for t in bare]]
@@ -136,13 +135,12 @@ def mixed_groups(docs: DataFrame, nominated: DataFrame, text: str, scheme: tuple
 def told_apart(docs: DataFrame, mixed: DataFrame, doc_id: str, text: str, scheme: tuple) -> DataFrame:
     """Rows of mixed fingerprints with the text itself as a further key."""
     spark = docs.sparkSession
-    with_batches(spark)
     kind = docs.select(F.col(doc_id)).schema[0].dataType.simpleString()
     rows = docs.select(F.col(doc_id).alias("doc_id"), text_or_empty(text).alias("text"))
 
     def bare(batches):
         of = Fingerprint(*scheme).of
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole, 1)):
             texts = batch.column(1).cast(pa.binary()).to_pylist()
             bare = [t.translate(None, WHITE) for t in texts]
             prints = [of(t) for t in bare]
@@ -203,7 +201,7 @@ def copies(
 
 
 def without_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of ``docs`` that ``copies`` keeps, all columns unchanged."""
+    """The rows of ``docs`` that ``copies`` keeps, all columns unchanged, whatever their names."""
     decided = copies(docs, doc_id, text).select("doc_id", "text_key", F.col("kept").alias("stays"))
     return only_staying(docs, decided, doc_id, text)
 

@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerspark.llm.common import only_staying, over_texts, with_batches
+from ledgerspark.llm.common import only_staying, over_texts
 from ledgerspark.llm.components import components
 from ledgerspark.session import lookup_side, store
 
@@ -182,7 +182,6 @@ def links(distinct: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
 
     ``distinct`` holds each fingerprint once, in the column ``fp``.
     """
-    with_batches(distinct.sparkSession)
     masks = tables(distinct.count(), max_bits)
     keys = F.array(
         *[

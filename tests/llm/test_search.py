@@ -383,3 +383,47 @@ def test_contexts_teach_and_do_not_mislead(spark):
     assert [added[i] for i in range(second + 1, len(texts))] == [("", 0)] * 5
     assert added[0] == added[None] and added[0][1] == 0 and found.count() == len(rows)
     assert private.private_digests(df.limit(0)).count() == 0
+
+
+CLASHING = ["_any", "_own_key", "_doc_id", "_text_key", "own_id", "row", "node", "key", "own_key", "n", "words", "text_key", "label", "shard", "batch"]
+
+
+def test_whole_chain_on_odd_rows(spark, tmp_path):
+    """NULLs, very long and empty texts, repeats and columns of every inner name go through all stages."""
+    import corpus_pipeline
+
+    rng = np.random.default_rng(15)
+    words = ["stone", "river", "night", "house", "garden", "window", "letter", "winter", "summer", "market"]
+    texts = [" ".join(rng.choice(words, 40)) for _ in range(30)]
+    texts += [texts[0], texts[1] + " ", None, None, "", "long " * 30_000, "x" * 40_000]
+    rows = [(i, t, "en", f"s{i % 2}", len(t or ""), *[f"{name}-{i}" for name in CLASHING]) for i, t in enumerate(texts)]
+    rows += [rows[2], (None, texts[3], None, None, None, *[None] * len(CLASHING))]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"`{n}` string" for n in CLASHING)
+    spark.createDataFrame(rows, schema).repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+    labels = [(i, 1, 0) for i in range(0, 30, 2)] + [(1, None, 1), (None, 0, 0)]
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    known = {(r[0], r[1]): r for r in rows}
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        kept = stage(spark, docs, str(tmp_path))
+        assert kept.columns == docs.columns, name
+        kept.write.parquet(f"{tmp_path}/{name.replace(' ', '-')}")
+        docs = spark.read.parquet(f"{tmp_path}/{name.replace(' ', '-')}")
+        for r in docs.collect():
+            assert tuple(r) == known[r["doc_id"], r["text"]], name
+        if name == "exact dedup":
+            bare = ["".join((t or "").split()) for t in texts]
+            assert docs.count() == len(set(bare))
+    last = corpus_pipeline.STAGES[-1][1](spark, docs, str(tmp_path)).collect()
+    assert len(last) == docs.count() and all(r["n_tokens"] == len(r["ids"]) > 0 for r in last)
+    by_id = {r[0]: r[1] for r in rows}
+    assert all(r["decoded"].strip() == (by_id[r["doc_id"]] or "").strip() for r in last if r["doc_id"] is not None and r["doc_id"] < 30)
+
+
+def test_whole_chain_without_rows(spark, tmp_path):
+    import corpus_pipeline
+
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    spark.createDataFrame([], schema).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
