@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import pickle
 from collections.abc import Callable, Iterator
 
@@ -84,6 +86,8 @@ def over_texts(
             for batch in slices(whole, 2):
                 texts = batch.column(2).cast(pa.binary()).to_pylist()
                 yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *added(texts)], names=names)
+        del added
+        give_back()
 
     return rows.mapInArrow(run, f"doc_id {kind}, text_key long, {schema}")
 
@@ -97,6 +101,18 @@ def sent(spark: SparkSession, value: object) -> Callable[[], object]:
     return lambda: pickle.loads(box.value)
 
 
+def give_back() -> None:
+    """Return what a task used to the system: workers stay for later tasks, which need the room.
+
+    To be called at the end of a pass that held much; it changes no result.
+    """
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 # Bytes of text that a function looks at together; a longer text is looked at alone.
 SLICE_BYTES = 4 << 20
 

@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerspark.llm.common import sent, slices, text_or_empty
+from ledgerspark.llm.common import give_back, sent, slices, text_or_empty
 from ledgerspark.session import lookup_side, settle
 
 # Category and the label that it stands for, in the order of the chain.
@@ -41,7 +41,7 @@ EPOCHS = 8
 BATCH = 256
 RATE = 0.3
 THRESHOLD = 0.3
-REMEMBERED = 500_000
+REMEMBERED = 150_000
 # A task's counts are passed on at this many features.
 FLUSH = 400_000
 # A-Z in lower case, white space as it is; ASCII characters that are neither letter nor digit go.
@@ -246,6 +246,8 @@ def fit_chain(
                 at = found.of([word_set(t) for t in batch.column(2).cast(pa.binary()).to_pylist()])
                 short = pa.array([np.sort(np.array(x, np.int32)).tobytes() for x in at], pa.binary())
                 yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), short], names=["key", "labels", "words"])
+        del found
+        give_back()
 
     # Every row goes to its shard once; nothing of it is written.
     rows = labelled.mapInArrow(numbered, "key long, labels array<double>, words binary").select(
@@ -287,6 +289,7 @@ def _vocabulary(labelled: DataFrame) -> np.ndarray:
                         yield sums()
         if counts:
             yield sums()
+        give_back()
 
     sums = labelled.select("labels", "text").mapInArrow(counted, "word long, n long, " + ", ".join(f"{c} long" for c in names))
     sums = sums.groupBy("word").agg(*[F.sum(c).alias(c) for c in ("n", *names)])
@@ -342,6 +345,8 @@ def toxicity(
                     before = np.column_stack((before, _share(raw)))
                 struct = pa.StructArray.from_arrays([pa.array(c) for c in before.T], fields=list(scores))
                 yield pa.RecordBatch.from_arrays([*batch.columns[: len(names)], struct], names=[*names, "_tox"])
+        del found
+        give_back()
 
     kept = docs.select(*[F.col(c) for c in names]).schema
     out = kept.add("_tox", docs.sparkSession.createDataFrame([], schema).schema)
