@@ -7,12 +7,13 @@ from pyspark.sql import functions as F
 
 from ledgerspark.functions.names import named
 from ledgerspark.operators import load
+from ledgerspark.operators.versions import VersionedTable
 from ledgerspark.operators.reconcile import Comparison, compare, confirmation_message
 from ledgerspark.plans.rollup import plan_rollup, table_input
 from ledgerspark.plans.validate import error_count, expected_target_fields, target_checks
 from ledgerspark.registry.base import as_double, query, table
 from ledgerspark.registry.rollups import _RULES_SQL, bundle, group, rule_catalog, total
-from ledgerspark.session import scratch_path
+from ledgerspark.session import scratch_path, settle
 from ledgerspark.sources import config
 from ledgerspark.sources.config import list_projects, read_projects
 from ledgerspark.sources.target import baseline_rows, flatten, period_rows
@@ -517,3 +518,28 @@ def project_gates(spark: SparkSession, sf_dir: str) -> DataFrame:
     suppliers = table(spark, sf_dir, "supplier").select(F.col("s_name").alias("project"))
     requested = part.select(F.col("p_brand").alias("project")).unionByName(suppliers)
     return config.project_gates(requested, config.list_projects(catalog, tables))
+
+
+@query(
+    f"""WITH {_ACTIONS_SQL}
+    SELECT coalesce(t.record_id, 'fresh') AS record_id, coalesce(t.period, 199904) AS period,
+           CASE WHEN a.action = 'update' THEN a.customer ELSE t.customer END AS customer,
+           CAST(CASE WHEN a.action = 'update' THEN a.amount ELSE t.amount END AS DOUBLE) AS amount,
+           CAST(CASE WHEN a.action = 'update' THEN a.finished ELSE t.finished END AS DOUBLE) AS finished
+    FROM t LEFT JOIN actions a ON a.record_id = t.record_id
+    UNION ALL
+    SELECT 'fresh', 199904, customer, CAST(amount AS DOUBLE), CAST(finished AS DOUBLE)
+    FROM actions WHERE action = 'insert'"""
+)
+def upsert_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same state from a table whose periods are swapped as a whole, after two loads and a staged one
+    that was never switched to."""
+    result = customer_rollup(spark, sf_dir)
+    before = settle(period_rows(customer_target(result), PERIOD).withColumn("period", F.col("period").cast("string")))
+    table = VersionedTable(spark, scratch_path(spark, "versions"), before._jdf.schema().toDDL())
+    table.replace(before, PERIOD)
+    for _ in range(2):
+        table.upsert(result, PERIOD, ["period", "customer"], new_id=F.lit("fresh"))
+    table.stage(before.limit(0), PERIOD)
+    found = table.read().withColumn("period", F.col("period").cast("bigint"))
+    return as_double(found, "amount", "finished")

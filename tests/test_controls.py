@@ -168,6 +168,42 @@ def test_stored_upsert_twice_is_once(spark, tmp_path):
     ]
 
 
+def test_a_load_that_breaks_leaves_the_old_state(spark, tmp_path, monkeypatch):
+    from ledgerspark.operators.versions import VersionedTable
+
+    table = VersionedTable(spark, str(tmp_path / "target"), target_of(spark).schema.simpleString()[7:-1].replace(":", " "))
+    assert table.read().isEmpty()
+    first = target_of(spark, ("r1", "202605", "1", "1"), ("r2", "202605", "2", "2"))
+    assert table.replace(first, "202605") == 1
+    assert table.replace(target_of(spark, ("old", "202604", "1", "1")), "202604") == 1
+
+    def state(**which):
+        return sorted((r["period"], r["id"], float(r["amount"])) for r in table.read(**which).collect())
+
+    before = state()
+    assert before == [("202604", "1", 1.0), ("202605", "1", 1.0), ("202605", "2", 2.0)]
+    source = source_of(spark, ("202605", "1", "10"), ("202605", "3", "3"))
+
+    def broken(self, period, folder):
+        raise OSError("no pointer could be written")
+
+    with monkeypatch.context() as patch:
+        patch.setattr(VersionedTable, "switch", broken)
+        with pytest.raises(OSError):
+            table.upsert(source, "202605", ["period", "id"])
+    assert state() == before
+    counts = {r["action"]: r["rows"] for r in table.upsert(source, "202605", ["period", "id"]).collect()}
+    assert counts == {"update": 1, "insert": 1}
+    after = [("202604", "1", 1.0), ("202605", "1", 10.0), ("202605", "2", 2.0), ("202605", "3", 3.0)]
+    assert state() == after
+    # Nothing changes, so nothing is written; earlier states stay readable until they are forgotten.
+    assert {r["action"] for r in table.upsert(source, "202605", ["period", "id"]).collect()} == {"noop"}
+    assert state(period="202605", number=1) == before[1:]
+    assert [r["number"] for r in table.current().orderBy("period").collect()] == [1, 2]
+    table.forget("202605")
+    assert state() == after
+
+
 def test_upsert_refuses_rows_with_one_key(spark, tmp_path):
     path = str(tmp_path / "target")
     target_of(spark, ("r1", "202605", "1", "1")).write.partitionBy("period").parquet(path)
