@@ -613,6 +613,15 @@ def csv_unequal_widths(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+# Small files are cut into many blocks too; large ones into a few hundred, as every block is a task.
+LEAST_BLOCK, BLOCKS = 16 << 10, 256
+
+
+def block_bytes(length: int) -> int:
+    """Bytes of the blocks in which a file of this length is read."""
+    return max(LEAST_BLOCK, -(-length // BLOCKS))
+
+
 @query(
     """
     SELECT CAST(o_orderkey AS VARCHAR) AS order_key, row_number() OVER (ORDER BY o_orderkey) AS row_no,
@@ -630,10 +639,12 @@ def csv_quoted_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
         .otherwise(F.repeat(F.lit("long\n"), 40))
     )
     path = scratch_path(spark, "bills")
-    ordered = table(spark, sf_dir, "orders").select(key.alias("key"), note.alias("note")).orderBy("key")
+    # Sorted by many tasks; one task only writes.
+    ordered = settle(table(spark, sf_dir, "orders").select(key.alias("key"), note.alias("note")).orderBy("key"))
     options = {"escape": '"', "ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false"}
     ordered.coalesce(1).write.options(**options).csv(path)
-    with settings(spark, {"spark.sql.files.maxPartitionBytes": "16384", "spark.sql.files.openCostInBytes": "0"}):
+    length = files.file_inventory(spark, path).agg(F.sum("length")).first()[0] or 0
+    with settings(spark, {"spark.sql.files.maxPartitionBytes": str(block_bytes(length)), "spark.sql.files.openCostInBytes": "0"}):
         grid = store(files.read_grid(spark, path), "grid")
     return grid.select(F.col("cells")[0].alias("order_key"), "row_no", F.col("cells")[1].alias("note"))
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from datetime import UTC, datetime
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -87,15 +88,15 @@ def sample_file(inventory: DataFrame, seed: str, path: str = "path") -> DataFram
     return inventory.agg(F.min_by(F.col(path), mixed).alias(path))
 
 
-def plain_path() -> Column:
+def plain_path(path: str = "_metadata.file_path") -> Column:
     """Path of the file a row comes from, as it is spelled on disk; Spark's own is URI-escaped."""
-    spelled = F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B")))
+    spelled = F.url_decode(F.replace(F.col(path), F.lit("+"), F.lit("%2B")))
     # Local paths come with one slash or three.
     return F.regexp_replace(spelled, "^file:/(?!/)", "file:///")
 
 
-def csv_lines(spark: SparkSession, path: str) -> DataFrame:
-    """Lines of all CSV files below ``path``, hidden ones included."""
+def csv_lines(spark: SparkSession, path: str) -> tuple[DataFrame, Callable[[DataFrame], DataFrame]]:
+    """Lines of all CSV files below ``path``, hidden ones included, and what tells their files' names."""
     inventory = file_inventory(spark, path)
     require_one_type(inventory, path)
     csv = inventory.where(F.col("suffix") == ".csv")
@@ -108,19 +109,23 @@ def csv_lines(spark: SparkSession, path: str) -> DataFrame:
     )
     hidden = [r[0] for r in csv.where(below.rlike(HIDDEN)).select("path").toLocalIterator()]
     folder, copies = visible_copies(spark, hidden)
-    name = F.element_at(F.split("source_file", "/"), -1)
-    lines = records.raw_lines(spark, [path], plain_path()).where(~name.startswith(TEMPORARY_PREFIX))
+    # No character of the prefix is ever escaped.
+    name = F.substring_index("source_file", "/", -1)
+    lines = records.raw_lines(spark, [path]).where(~name.startswith(TEMPORARY_PREFIX))
     if folder is None:
-        return lines
-    originals = spark.createDataFrame(copies, "copy string, original string")
-    more = records.raw_lines(spark, [folder], plain_path()).join(F.broadcast(originals), F.col("source_file") == F.col("copy"))
-    return lines.unionByName(more.select(F.col("original").alias("source_file"), "block", "seq", "value"))
+        return lines, lambda rows: rows.withColumn("path", plain_path("source_file"))
+    originals = F.broadcast(spark.createDataFrame(copies, "copy string, original string"))
+
+    def called(rows: DataFrame) -> DataFrame:
+        met = rows.withColumn("plain", plain_path("source_file")).join(originals, F.col("plain") == F.col("copy"), "left")
+        return met.withColumn("path", F.coalesce("original", "plain"))
+
+    return lines.unionByName(records.raw_lines(spark, [folder])), called
 
 
 def file_encodings(spark: SparkSession, path: str) -> DataFrame:
     """``path, encoding``: judged on a file's raw lines, UTF-8 if every line is, else GB18030."""
-    facts = records.block_facts(csv_lines(spark, path))
-    return facts.select(F.col("source_file").alias("path"), "encoding").distinct()
+    return records.block_facts(*csv_lines(spark, path)).select("path", "encoding").distinct()
 
 
 def read_grid(spark: SparkSession, path: str, numbered: bool = True, encoding: str | None = None) -> DataFrame:
@@ -132,8 +137,8 @@ def read_grid(spark: SparkSession, path: str, numbered: bool = True, encoding: s
     is NULL). Without ``encoding`` every file is judged by its own bytes. Files are read twice, once for
     quotes and encoding and once for the records.
     """
-    lines = csv_lines(spark, path)
-    found = records.csv_records(lines, records.block_facts(lines, encoding))
+    lines, called = csv_lines(spark, path)
+    found = records.csv_records(lines, records.block_facts(lines, called, encoding))
     if not numbered:
         return found.select(*_key(), F.lit(None).cast("bigint").alias("row_no"), "cells")
     return number_rows(found)

@@ -14,11 +14,11 @@ from __future__ import annotations
 import csv
 import io
 import sys
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ledgerspark.session import BROADCAST_BYTES, settle, store
@@ -63,13 +63,16 @@ def _decoded(data: bytes, encoding: str, source_file: str) -> str:
         raise ValueError(f"the file fits no encoding: {source_file}") from None
 
 
-def raw_lines(spark: SparkSession, paths: list[str], source_file: Column) -> DataFrame:
-    """``source_file, block, seq, value``: lines without their line feed, in order of ``seq`` in a block."""
+def raw_lines(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """``source_file, block, seq, value``: lines without their line feed, in order of ``seq`` in a block.
+
+    The file is spelled as Spark does; what it is called is found once per block.
+    """
     return (
         spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.[cC][sS][vV]").option("lineSep", "\n")
         .text(paths)
         .select(
-            source_file.alias("source_file"), F.col("_metadata.file_block_start").alias("block"),
+            F.col("_metadata.file_path").alias("source_file"), F.col("_metadata.file_block_start").alias("block"),
             F.monotonically_increasing_id().alias("seq"), F.col("value").cast("binary").alias("value"),
         )
     )
@@ -90,10 +93,11 @@ def _without_mark(line: bytes, block: int, first: bool) -> bytes:
     return line[len(BOM) :] if first and block == 0 and line.startswith(BOM) else line
 
 
-def block_facts(lines: DataFrame, encoding: str | None = None) -> DataFrame:
-    """``source_file, block, inside, encoding``: how each block begins, and what its file is written in.
+def block_facts(lines: DataFrame, called: Callable[[DataFrame], DataFrame], encoding: str | None = None) -> DataFrame:
+    """``source_file, block, path, inside, encoding``: how each block begins, and what its file is called and written in.
 
-    A file is UTF-8 if all its lines are, else GB18030, unless ``encoding`` says what it is.
+    A file is UTF-8 if all its lines are, else GB18030, unless ``encoding`` says what it is. ``called`` adds
+    the ``path`` to rows with a ``source_file``.
     """
 
     def run(batches):
@@ -111,15 +115,19 @@ def block_facts(lines: DataFrame, encoding: str | None = None) -> DataFrame:
                         yield row()
                     now, state = (file, block), [False, True, True]
                 state[2] = state[2] and bool(pc.all(part.column(3)).as_py())
-                quoted = pc.greater_equal(pc.find_substring(part.column(2), b'"'), 0)
-                for at in pc.indices_nonzero(quoted).to_pylist():
-                    line = _without_mark(part.column(2)[at].as_py(), block, first and at == 0)
+                at = pc.indices_nonzero(pc.is_valid(part.column(2)))
+                for k, line in zip(at.to_pylist(), part.column(2).take(at).to_pylist(), strict=True):
+                    line = _without_mark(line, block, first and k == 0)
                     after = ends_inside(line, False), ends_inside(line, True)
                     state[0], state[1] = after[state[0]], after[state[1]]
         if now is not None:
             yield row()
 
-    checked = lines.select("source_file", "block", "value", F.is_valid_utf8(F.col("value").cast("string")).alias("good"))
+    # Only lines with quotes tell how a block ends.
+    checked = lines.select(
+        "source_file", "block", F.when(F.contains("value", F.lit(b'"')), F.col("value")).alias("value"),
+        F.is_valid_utf8(F.col("value").cast("string")).alias("good"),
+    )
     ends = settle(checked.mapInArrow(run, "source_file string, block long, from_outside boolean, from_inside boolean, good boolean"))
     # A block ends the same way however it begins, or as it begins, or the other way round. What counts
     # before a block is the last of the first kind, and how often it was turned round since.
@@ -133,20 +141,20 @@ def block_facts(lines: DataFrame, encoding: str | None = None) -> DataFrame:
     )
     start = F.coalesce(F.last("fixed", ignorenulls=True).over(before), F.lit(False))
     judged = F.when(F.min("good").over(Window.partitionBy("source_file")), F.lit(UTF8)).otherwise(F.lit(GB18030))
-    return settle(
-        placed.select(
-            *BLOCK_KEY, (start != (since % 2 == 1)).alias("inside"), (F.lit(encoding) if encoding else judged).alias("encoding")
-        )
+    facts = placed.select(
+        *BLOCK_KEY, (start != (since % 2 == 1)).alias("inside"), (F.lit(encoding) if encoding else judged).alias("encoding")
     )
+    return settle(called(facts).select(*BLOCK_KEY, "path", "inside", "encoding"))
 
 
 def _beside(lines: DataFrame, facts: DataFrame) -> DataFrame:
-    """Lines with the facts of their block, still in order."""
-    joined = lines.join(
-        F.broadcast(facts) if facts.count() * BLOCK_ROW_BYTES <= BROADCAST_BYTES else facts.hint("shuffle_hash"), BLOCK_KEY
-    ).select(*BLOCK_KEY, "value", "inside", "encoding", "seq")
-    if facts.count() * BLOCK_ROW_BYTES <= BROADCAST_BYTES:
-        return joined
+    """Lines with the facts of their block, still in order; ``source_file`` is what the file is called."""
+    small = facts.count() * BLOCK_ROW_BYTES <= BROADCAST_BYTES
+    joined = lines.join(F.broadcast(facts) if small else facts.hint("shuffle_hash"), BLOCK_KEY).select(
+        F.col("path").alias("source_file"), "block", "value", "inside", "encoding", "seq"
+    )
+    if small:
+        return joined.drop("seq")
     # A block is of bounded size, so no task gets more than a few of them.
     return joined.repartition(*BLOCK_KEY).sortWithinPartitions(*BLOCK_KEY, "seq")
 
@@ -189,20 +197,24 @@ def parsed(lines: DataFrame, facts: DataFrame) -> DataFrame:
                     pending, inside, place = [], part.column(3)[0].as_py(), 0
                     kind = CLOSING if inside else BEGINNING
                 whole: list[bytes] = []
-                for at, line in enumerate(part.column(2).to_pylist()):
-                    line = _without_mark(line, block, first and at == 0)
-                    if inside or b'"' in line:
-                        inside = ends_inside(line, inside)
-                        pending.append(line)
-                        if inside:
-                            continue
-                        if kind == CLOSING:
-                            yield rows([CLOSING], [None], [b"\n".join(pending)])
-                        else:
-                            whole.append(b"\n".join(pending))
-                        pending, kind = [], BEGINNING
+                own = part.column(2).to_pylist()
+                own[0] = _without_mark(own[0], block, first)
+                quoted = pc.indices_nonzero(pc.greater_equal(pc.find_substring(part.column(2), b'"'), 0)).to_pylist()
+                done = 0
+                for at in quoted:
+                    # Lines without quotes belong where the line before them ends.
+                    (pending if inside else whole).extend(own[done:at])
+                    done = at + 1
+                    inside = ends_inside(own[at], inside)
+                    pending.append(own[at])
+                    if inside:
+                        continue
+                    if kind == CLOSING:
+                        yield rows([CLOSING], [None], [b"\n".join(pending)])
                     else:
-                        whole.append(line)
+                        whole.append(b"\n".join(pending))
+                    pending, kind = [], BEGINNING
+                (pending if inside else whole).extend(own[done:])
                 found = records_of(_decoded(b"\n".join(whole), encoding, file)) if whole else []
                 if found:
                     yield rows([RECORD] * len(found), found, [None] * len(found))

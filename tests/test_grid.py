@@ -327,3 +327,29 @@ def test_hidden_and_empty_files(spark, tmp_path):
     assert found == {n: (2, None) for n in (".c.csv", "_b.csv", "a.csv", "d.csv")} | empty
     one = files.read_grid(spark, str(tmp_path / "_b.csv"))
     assert [c for _, c in cells_of(one)] == [["shop", "v"], ["B", "2"]]
+
+
+def test_large_files_are_read_in_a_few_hundred_blocks():
+    from ledgerspark.registry import grids
+
+    for length in (0, 1, 100_000, 10 << 20, 1 << 30, 10**12 + 1):
+        size = grids.block_bytes(length)
+        assert size >= grids.LEAST_BLOCK and -(-length // size) <= grids.BLOCKS
+    # Small files are still cut anywhere.
+    assert -(-200_000 // grids.block_bytes(200_000)) > 8
+
+
+def test_names_that_spark_escapes_are_found_once_per_block(spark, tmp_path):
+    from ledgerspark.session import settings
+
+    folder = tmp_path / "a b%20+c"
+    folder.mkdir()
+    for name in ("x y.csv", "_h+%41.csv", "~$x.csv"):
+        (folder / name).write_bytes(b'1,"two\nlines"\n' * 400)
+    with settings(spark, {"spark.sql.files.maxPartitionBytes": "512", "spark.sql.files.openCostInBytes": "0"}):
+        lines, _ = files.csv_lines(spark, str(folder))
+        # No name is worked out per line.
+        assert "url_decode" not in lines._jdf.queryExecution().optimizedPlan().toString().lower()
+        found = files.read_grid(spark, str(folder)).groupBy("source_file").count().collect()
+    assert sorted((r["source_file"].rsplit("/", 1)[-1], r["count"]) for r in found) == [("_h+%41.csv", 400), ("x y.csv", 400)]
+    assert all("/a b%20+c/" in r["source_file"] for r in found)
