@@ -33,7 +33,10 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group that pairs of five-word Jaccard similarity 0.8 or more connect."""
+    """One document of each group that pairs of five-word Jaccard similarity 0.8 or more connect.
+
+    Pairs come from the trie self-join of SimHash fingerprints and, beyond its bits, from shared prefixes.
+    """
     return overlap.without_similar(docs)
 
 

@@ -1,13 +1,17 @@
 """Near copies by the overlap of their word shingles: exact Jaccard similarity, no pair lost.
 
-A text is the set of its shingles. Sets are joined on prefixes: where the shingles of all texts have
-one order, two sets of similarity ``s`` share a shingle among the first ``n - ceil(s * n) + 1`` of
-each. The order is by hash, with shingles that a sample of the texts shows to be common at the end;
-it decides only how many sets meet, never whether a similar pair does.
-
-A pair that meets is first bounded by how many shingles each set has in each of 64 parts of the hash range:
-two sets share no more than the smaller count of each part. Pairs that could still be similar are checked
-on the whole sets, so none is lost. As only connected groups are wanted, sets that
+A text is the set of its shingles. Links come from two joins, and every link is checked on the whole sets.
+
+First the SimHash fingerprints of the texts meet in the binary trie self-join of ``simhash``: texts of one
+fingerprint, and those whose fingerprints differ in few bits. A pair of similarity 0.8 may differ in more bits
+than any affordable budget, so what fingerprints cannot see is found by sets joined on prefixes: where the
+shingles of all texts have one order, two sets of similarity ``s`` share a shingle among the first
+``n - ceil(s * n) + 1`` of each. The order is by hash, with shingles that a sample of the texts shows to be
+common at the end; it decides only how many sets meet, never whether a similar pair does.
+
+A pair that meets is first bounded by a bitmap of each set, which holds the parity of how many shingles fall on
+each place: every place where two bitmaps differ needs a shingle that only one of the sets has. Pairs that could
+still be similar are checked on the whole sets, so none is lost. As only connected groups are wanted, sets that
 share a shingle are first compared with one of them, drawn anew each round; what is left then is
 every pair between different groups. So a large group of near copies needs few pairs of its square.
 
@@ -23,11 +27,12 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ledgerspark.llm import simhash
 from ledgerspark.llm.common import give_back, only_staying, over_texts, sent, slices, text_key, text_or_empty
 from ledgerspark.llm.components import components
 from ledgerspark.session import discard, lookup_side, store
 
-SEED = 42
+SEED = simhash.SEED
 SHINGLE = 5
 # Sets of this similarity or more are near copies: OF / OUT_OF.
 OF, OUT_OF = 4, 5
@@ -35,36 +40,40 @@ OF, OUT_OF = 4, 5
 SAMPLED = 16
 COMMON = 1 << 18
 ROUNDS = 2
-# Parts of the hash range that shingles are counted in: the upper six bits.
-PARTS = 64
+# Bits of the smallest bitmap of a set.
+FEWEST_BITS = 64
 # Nodes that a task remembers, so that copies in it are one.
 REMEMBERED = 1 << 20
 
 
 def shingles(text: bytes, size: int = SHINGLE) -> np.ndarray:
     """Sorted distinct hashes of the runs of ``size`` words; a shorter text with words is one run."""
-    words = text.lower().split()
-    if not words:
-        return np.empty(0, np.int64)
-    joined = b" ".join(words)
-    lengths = np.fromiter(map(len, words), np.int64, len(words))
-    ends = np.cumsum(lengths + 1) - 1
-    begins = (ends - lengths)[: max(1, len(words) - size + 1)].tolist()
-    digest = xxhash.xxh64_intdigest
-    hashes = [digest(joined[i:j], SEED) for i, j in zip(begins, ends[min(size, len(words)) - 1 :].tolist(), strict=True)]
-    return np.unique(np.array(hashes, np.uint64).view(np.int64))
+    return np.unique(simhash.shingle_hashes(text, size).view(np.int64))
 
 
-def part_counts(words: np.ndarray) -> np.ndarray:
-    """How many shingles lie in each part of the hash range."""
-    return np.bincount((words >> np.int64(58)) + PARTS // 2, minlength=PARTS).astype(np.uint32)
+def parities(words: np.ndarray) -> bytes:
+    """Whether an odd number of the shingles falls on each place: a power of two of bits, at least one per shingle."""
+    places = max(FEWEST_BITS, 1 << max(len(words) - 1, 0).bit_length())
+    odd = np.bincount(words & np.int64(places - 1), minlength=places) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
 
 
-def could_be_similar(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Which lines of two tables of counts belong to sets that may be similar."""
-    most = np.minimum(a, b).sum(axis=1, dtype=np.int64)
-    both = a.sum(axis=1, dtype=np.int64) + b.sum(axis=1, dtype=np.int64)
-    return OUT_OF * most >= OF * (both - most)
+def least_apart(a: bytes, b: bytes) -> int:
+    """At least so many shingles are in one of two sets only, by their bitmaps."""
+    if len(a) < len(b):
+        a, b = b, a
+    x, y, n = int.from_bytes(a, "little"), int.from_bytes(b, "little"), len(a)
+    while n > len(b):
+        # Half as many places: the upper half falls on the lower one.
+        n //= 2
+        x = (x >> 8 * n) ^ (x & ((1 << 8 * n) - 1))
+    return (x ^ y).bit_count()
+
+
+def could_be_similar(n: int, a: bytes, m: int, b: bytes) -> bool:
+    """Whether sets of ``n`` and ``m`` shingles with these bitmaps may be similar."""
+    apart = max(least_apart(a, b), abs(n - m))
+    return OUT_OF * (n + m - apart) >= OF * (n + m + apart)
 
 
 def similar(a: np.ndarray, b: np.ndarray) -> bool:
@@ -108,7 +117,10 @@ def common_shingles(docs: DataFrame, text: str) -> np.ndarray:
 
 
 def prefixes(docs: DataFrame, late: np.ndarray, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row per document: ``doc_id, text_key, node, n, counts, prefix``; equal sets of a task have one prefix."""
+    """One row per document: ``doc_id, text_key, node, fp, n, bits, prefix``.
+
+    ``fp`` is the SimHash of the same shingles, repeats included. Equal sets of a task have one prefix.
+    """
     common = sent(docs.sparkSession, late)
 
     def make():
@@ -117,22 +129,40 @@ def prefixes(docs: DataFrame, late: np.ndarray, doc_id: str = "doc_id", text: st
         def added(texts):
             if len(met) > REMEMBERED:
                 met.clear()
-            nodes, sizes, counts, firsts = [], [], [], []
+            nodes, prints, sizes, bits, firsts = [], [], [], [], []
             for t in texts:
-                own = shingles(t)
+                hashes = simhash.shingle_hashes(t, SHINGLE)
+                own = np.unique(hashes.view(np.int64))
                 node = node_of(own)
                 nodes.append(node)
+                prints.append(simhash.fingerprint_of(hashes))
                 sizes.append(len(own))
-                counts.append(part_counts(own).tobytes())
+                bits.append(parities(own))
                 firsts.append(np.empty(0, np.int64) if node in met else prefix(own, late))
                 met.add(node)
             ends = np.cumsum([0, *map(len, firsts)]).astype(np.int32)
             lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(firsts)))
-            return [pa.array(nodes, pa.int64()), pa.array(sizes, pa.int32()), pa.array(counts, pa.binary()), lists]
+            return [
+                pa.array(nodes, pa.int64()), pa.array(prints, pa.int64()), pa.array(sizes, pa.int32()),
+                pa.array(bits, pa.binary()), lists,
+            ]
 
         return added
 
-    return over_texts(docs, doc_id, text, make, "node long, n int, counts binary, prefix array<long>")
+    return over_texts(docs, doc_id, text, make, "node long, fp long, n int, bits binary, prefix array<long>")
+
+
+def fingerprint_pairs(marks: DataFrame) -> DataFrame:
+    """Pairs ``a, b`` of sets whose fingerprints are equal or linked by the trie self-join."""
+    prints = marks.select("node", "fp")
+    # One set stands for all of its fingerprint.
+    firsts = lookup_side(prints.groupBy(F.col("fp").alias("own")).agg(F.min("node").alias("first")))
+    equal = prints.join(firsts, F.col("fp") == F.col("own")).where("node != first").select(F.col("first").alias("x"), F.col("node").alias("y"))
+    linked = lookup_side(simhash.links(firsts.select(F.col("own").alias("fp"))))
+    left = firsts.select(F.col("own").alias("fa"), F.col("first").alias("x"))
+    right = firsts.select(F.col("own").alias("fb"), F.col("first").alias("y"))
+    near = linked.join(left, F.col("a") == F.col("fa")).join(right, F.col("b") == F.col("fb")).select("x", "y")
+    return equal.unionByName(near).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
 
 
 def postings(marks: DataFrame) -> DataFrame:
@@ -153,28 +183,28 @@ class Sets:
         self.texts = docs.select(text_key(text).alias("key"), text_or_empty(text).alias("text"))
         # One text stands for all of a set.
         self.keys = marks.groupBy("node").agg(F.min("text_key").alias("key"))
-        self.counts = marks.select("node", "counts")
+        self.bits = marks.select("node", F.struct("n", "bits").alias("own"))
 
     def bounded(self, pairs: DataFrame) -> DataFrame:
-        """The pairs ``a, b`` whose sets could be similar by their counts."""
+        """The pairs ``a, b`` whose sets could be similar by their bitmaps."""
         met = lookup_side(pairs.select(F.explode(F.array("a", "b")).alias("met")).distinct())
         own = store(
-            self.counts.join(met, F.col("node") == F.col("met"), "left_semi").groupBy("node").agg(F.first("counts").alias("counts")),
-            "counts",
+            self.bits.join(met, F.col("node") == F.col("met"), "left_semi").groupBy("node").agg(F.first("own").alias("own")), "bits"
         )
-        both = pairs.join(own.select(F.col("node").alias("a"), F.col("counts").alias("left")), "a").join(
-            own.select(F.col("node").alias("b"), F.col("counts").alias("right")), "b"
+        both = pairs.join(own.select(F.col("node").alias("a"), F.col("own").alias("x")), "a").join(
+            own.select(F.col("node").alias("b"), F.col("own").alias("y")), "b"
         )
 
         def run(batches):
             for batch in batches:
-                left, right = (
-                    np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint32).reshape(-1, PARTS) for c in (2, 3)
-                )
-                kept = pa.array(could_be_similar(left, right))
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(kept)
-
-        found = store(both.select("a", "b", "left", "right").mapInArrow(run, "a long, b long"), "pairs")
+                kept = [
+                    could_be_similar(n, x, m, y)
+                    for n, x, m, y in zip(*(batch.column(c).to_pylist() for c in range(2, 6)), strict=True)
+                ]
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(kept, pa.bool_()))
+
+        columns = ["a", "b", F.col("x.n").alias("n"), F.col("x.bits").alias("left"), F.col("y.n").alias("m"), F.col("y.bits").alias("right")]
+        found = store(both.select(*columns).mapInArrow(run, "a long, b long"), "pairs")
         discard(own)
         return found
 
@@ -233,13 +263,24 @@ def _could_be(x: str, y: str):
     return OUT_OF * F.least(x, y) >= OF * F.greatest(x, y)
 
 
-def similar_links(members: DataFrame, sets: Sets, rounds: int = ROUNDS) -> DataFrame:
+def _labelled(members: DataFrame, edges: DataFrame) -> DataFrame:
+    """Postings with the group that the edges give their set so far.
+
+    Labels are looked up where they are needed; postings are written once.
+    """
+    own = lookup_side(components(edges)).select(F.col("node").alias("own"), "root")
+    return members.join(own, F.col("node") == F.col("own"), "left").select(
+        "word", "node", "n", F.coalesce("root", "node").alias("label")
+    )
+
+
+def similar_links(marks: DataFrame, members: DataFrame, sets: Sets, rounds: int = ROUNDS) -> DataFrame:
     """Edges ``a, b`` of similar sets whose connected groups are those of all similar pairs.
 
-    ``members`` are the postings ``word, node, n``.
+    ``marks`` are the rows of ``prefixes``, ``members`` their postings ``word, node, n``.
     """
-    edges = None
-    labelled = members.withColumn("label", F.col("node"))
+    edges = _checked(fingerprint_pairs(marks), sets)
+    labelled = _labelled(members, edges)
     for step in range(rounds):
         order = F.struct(F.xxhash64("node", F.lit(step)).alias("h"), "node", "n", "label")
         heads = lookup_side(
@@ -253,14 +294,8 @@ def similar_links(members: DataFrame, sets: Sets, rounds: int = ROUNDS) -> DataF
             .where((F.col("label") != F.col("hl")) & _could_be("n", "hn"))
             .select(F.least("node", "head").alias("a"), F.greatest("node", "head").alias("b"))
         )
-        found = _checked(pairs, sets)
-        edges = found if edges is None else edges.unionByName(found)
-        roots = lookup_side(components(edges))
-        own = roots.select(F.col("node").alias("own"), "root")
-        # Labels are looked up where they are needed; postings are written once.
-        labelled = members.join(own, F.col("node") == F.col("own"), "left").select(
-            "word", "node", "n", F.coalesce("root", "node").alias("label")
-        )
+        edges = edges.unionByName(_checked(pairs, sets))
+        labelled = _labelled(members, edges)
     # What is left: pairs of one word between different groups.
     groups = labelled.groupBy("word", "label").agg(F.min("n").alias("low"), F.max("n").alias("high"))
     one = groups.select("word", F.col("label").alias("la"), F.col("low").alias("low_a"), F.col("high").alias("high_a"))
@@ -296,7 +331,7 @@ def similar_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     # Equal sets are one.
     least = prints.groupBy("node").agg(F.min(first).alias("least"))
     members = postings(marks)
-    roots = lookup_side(components(similar_links(members, Sets(docs, text, marks))).select(F.col("node").alias("linked"), "root"))
+    roots = lookup_side(components(similar_links(marks, members, Sets(docs, text, marks))).select(F.col("node").alias("linked"), "root"))
     discard(members)
     rooted = least.join(roots, F.col("node") == F.col("linked"), "left").withColumn("root", F.coalesce("root", "node"))
     names = lookup_side(rooted.groupBy(F.col("root").alias("named")).agg(F.min("least").alias("name")))

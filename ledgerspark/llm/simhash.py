@@ -39,28 +39,37 @@ DIRECT = 32
 PAIRS_AT_ONCE = 4_000_000
 
 
-def fingerprint(text: bytes, shingle: int = SHINGLE) -> int:
-    """SimHash of one text; see ``fingerprints``."""
+def shingle_hashes(text: bytes, shingle: int = SHINGLE) -> np.ndarray:
+    """Hash of each run of ``shingle`` words, repeats included; a shorter text with words is one run."""
     words = text.lower().split()
     n = len(words)
     if not n:
-        return 0
+        return np.empty(0, np.uint64)
     joined = b" ".join(words)
-    if n <= shingle:
-        hashes = [xxhash.xxh64_intdigest(joined, SEED)]
-    else:
-        lengths = np.fromiter(map(len, words), np.int64, n)
-        ends = np.cumsum(lengths + 1) - 1
-        begins = (ends - lengths)[: n - shingle + 1].tolist()
-        digest = xxhash.xxh64_intdigest
-        hashes = [digest(joined[i:j], SEED) for i, j in zip(begins, ends[shingle - 1 :].tolist(), strict=True)]
-    rows = np.array(hashes, np.uint64).view(np.uint8).reshape(-1, 8)
+    lengths = np.fromiter(map(len, words), np.int64, n)
+    ends = np.cumsum(lengths + 1) - 1
+    begins = (ends - lengths)[: max(1, n - shingle + 1)].tolist()
+    digest = xxhash.xxh64_intdigest
+    hashes = [digest(joined[i:j], SEED) for i, j in zip(begins, ends[min(shingle, n) - 1 :].tolist(), strict=True)]
+    return np.array(hashes, np.uint64)
+
+
+def fingerprint_of(hashes: np.ndarray) -> int:
+    """SimHash of the hashes of a text's shingles, 0 of none."""
+    if not len(hashes):
+        return 0
+    rows = hashes.view(np.uint8).reshape(-1, 8)
     bits = np.unpackbits(rows, axis=1, bitorder="little")
     # A block of at most 255 rows is summed without leaving bytes.
     ones = np.add.reduceat(bits, np.arange(0, len(bits), 255), axis=0, dtype=np.uint8).sum(axis=0, dtype=np.int64)
     return int(np.packbits(2 * ones > len(bits), bitorder="little").view(np.int64)[0])
 
 
+def fingerprint(text: bytes, shingle: int = SHINGLE) -> int:
+    """SimHash of one text; see ``fingerprints``."""
+    return fingerprint_of(shingle_hashes(text, shingle))
+
+
 def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = SHINGLE) -> DataFrame:
     """One row per document: ``doc_id`` and ``fp``, the fingerprint as a signed long.
 

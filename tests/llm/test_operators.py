@@ -235,6 +235,25 @@ def test_toxicity(spark):
     assert toxicity.toxicity(df.limit(0), labels).count() == 0
 
 
+def test_descent_takes_every_training_row(spark, monkeypatch):
+    texts = [f"w{i} w{i % 7} x" for i in range(400)]
+    df = spark.createDataFrame([(t,) for t in texts], "text string").repartition(3)
+    met, summed = [], maxent._summed
+
+    def noted(sums, key, names):
+        found = summed(sums, key, names)
+        if names[0] == "met":
+            # The bias is the row behind all features; it is met once per token and kind of feature.
+            met.append(found[found[:, 0] == maxent.FEWEST][:, 1].sum())
+        return found
+
+    monkeypatch.setattr(maxent, "_summed", noted)
+    classes = np.arange(maxent.WORD_BUCKETS) % maxent.CLASSES
+    maxent.train(df, classes, maxent.FEWEST)
+    # Three words and the end.
+    assert len(met) == maxent.ROUNDS and sum(met) == 4 * len(texts) * maxent.CONTEXTS
+
+
 def test_simhash_groups(docs, rows):
     def fingerprint(text):
         words = [w for w in WHITE.split(re.sub("[A-Z]", lambda m: m[0].lower(), text or "")) if w]
@@ -359,6 +378,44 @@ def test_pipeline_near_copies(spark, rows, monkeypatch, common):
     assert corpus_pipeline.drop_near_copies(spark, df.limit(0), "").count() == 0
 
 
+def test_near_copies_meet_by_fingerprints(spark, monkeypatch):
+    """The stage joins fingerprints of five words by tries; its pairs connect what links of four bits connect."""
+    import corpus_pipeline
+
+    rng = np.random.default_rng(11)
+    texts = []
+    for _ in range(6):
+        base = [f"w{i}" for i in rng.integers(0, 5000, 500)]
+        texts += [" ".join([*base[: 500 - k], *[f"odd{k}"] * k]) for k in range(4)] + [" ".join(base[:3])]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    asked = []
+    links = simhash.links
+    monkeypatch.setattr(simhash, "links", lambda prints, *bits: asked.append(prints.count()) or links(prints, *bits))
+    marks = overlap.prefixes(df, np.empty(0, np.int64))
+    nodes = [overlap.node_of(overlap.shingles(t.encode())) for t in texts]
+    prints = [simhash.fingerprint(t.encode(), 5) % (1 << 64) for t in texts]
+    assert {(r["doc_id"], r["node"], r["fp"] % (1 << 64)) for r in marks.collect()} == set(zip(range(len(texts)), nodes, prints, strict=True))
+    pairs = [(nodes.index(r["a"]), nodes.index(r["b"])) for r in overlap.fingerprint_pairs(marks).collect()]
+    near = [(i, j) for j in range(len(texts)) for i in range(j) if (prints[i] ^ prints[j]).bit_count() <= 4]
+    forests = [simhash.forest(len(texts), *np.array(x).T) for x in (pairs, near)]
+    assert (forests[0] == forests[1]).all() and len(near) > 6
+    corpus_pipeline.drop_near_copies(spark, df, "").count()
+    assert len(asked) == 2 and asked[0] == asked[1] == len(set(prints))
+
+
+def test_bitmaps_bound_what_sets_have_apart():
+    rng = np.random.default_rng(12)
+    for n, m, both in [(0, 0, 0), (0, 5, 0), (5, 5, 5), (90, 100, 90), (2000, 2000, 1340), (3000, 2400, 2400), (1500, 2600, 700)]:
+        own = rng.integers(-(1 << 63), 1 << 63, n + m - both)
+        a, b = np.unique(own[:n]), np.unique(own[n - both :])
+        assert (len(a), len(b)) == (n, m)
+        x, y = overlap.parities(a), overlap.parities(b)
+        assert overlap.least_apart(x, y) == overlap.least_apart(y, x) <= len(np.setxor1d(a, b))
+        assert overlap.could_be_similar(n, x, m, y) >= overlap.similar(a, b)
+        # Large sets of half the similarity need not be made again.
+        assert both != 1340 or not overlap.could_be_similar(n, x, m, y)
+
+
 def pairs_of(found):
     return sorted(((r["doc_id"], r["component_id"]) for r in found), key=str)
 
