@@ -9,11 +9,20 @@ shingles of all texts have one order, two sets of similarity ``s`` share a shing
 ``n - ceil(s * n) + 1`` of each. The order is by hash, with shingles that a sample of the texts shows to be
 common at the end; it decides only how many sets meet, never whether a similar pair does.
 
+Prefixes are a little longer than that, so that similar sets share several shingles there (``least_shared``);
+sets that share fewer with all others go at once.
+
 A pair that meets is first bounded by a bitmap of each set, which holds the parity of how many shingles fall on
 each place: every place where two bitmaps differ needs a shingle that only one of the sets has. Pairs that could
-still be similar are checked on the whole sets, so none is lost. As only connected groups are wanted, sets that
-share a shingle are first compared with one of them, drawn anew each round; what is left then is
-every pair between different groups. So a large group of near copies needs few pairs of its square.
+still be similar are checked on the whole sets, so none is lost.
+
+As only connected groups are wanted, the sets of one shingle and of about one size are compared with one of them,
+the middle. Of the others each has an apartness: the shingles that either it or the middle has. Two of
+them have apart what one apartness has and the other has not. So where both apartnesses together are small enough,
+both sets are similar to the middle and need no link of their own; otherwise the apartnesses of a similar pair must
+overlap, by a number that their sizes give. So they are joined on prefixes as the sets were, first what the middle
+has not, then what it has. A large group around one text needs few pairs of its square, also where most of its
+sets are not similar to each other. Where many apartnesses meet again, one of their sets is the next middle.
 
 Written are the prefixes of all texts, once, and the postings of shingles that texts share there. Whole
 sets are made again from the texts of those that meet, and a table goes when its successor is written.
@@ -21,6 +30,8 @@ sets are made again from the texts of those that meet, and a table goes when its
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -39,7 +50,13 @@ OF, OUT_OF = 4, 5
 # One text in so many tells which shingles are common, and how many of those go to the end.
 SAMPLED = 16
 COMMON = 1 << 18
-ROUNDS = 2
+# A prefix is longer by one shingle for so many of its set.
+EXTRA = 32
+# Beside the middle, so many sets of a shingle meet each with each.
+FEW = 3
+# An apartness that gives more pairs than so many times its sets gets a middle of its own, so many times over.
+WIDE = 16
+LEVELS = 3
 # Bits of the smallest bitmap of a set.
 FEWEST_BITS = 64
 # Nodes that a task remembers, so that copies in it are one.
@@ -89,14 +106,14 @@ def node_of(words: np.ndarray) -> int:
 
 
 def prefix(words: np.ndarray, late: np.ndarray) -> np.ndarray:
-    """The shingles of a set that it must share with a similar one, those of ``late`` after all others."""
+    """The shingles of a set of which it must share some with a similar one, those of ``late`` after all others."""
     n = len(words)
     if not n:
         return words
     if len(late):
         at = np.minimum(np.searchsorted(late, words), len(late) - 1)
         words = words[np.argsort(late[at] == words, kind="stable")]
-    return words[: n - (OF * n + OUT_OF - 1) // OUT_OF + 1]
+    return words[: n - (OF * n + OUT_OF - 1) // OUT_OF + 1 + n // EXTRA]
 
 
 def common_shingles(docs: DataFrame, text: str) -> np.ndarray:
@@ -165,15 +182,37 @@ def fingerprint_pairs(marks: DataFrame) -> DataFrame:
     return equal.unionByName(near).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
 
 
+def _at_least(n):
+    """A similar set has so many of ``n`` shingles."""
+    return F.floor((F.lit(OF) * n + (OUT_OF - 1)) / OUT_OF)
+
+
+def least_shared(n):
+    """So many shingles a set of ``n`` shares with a similar one in their prefixes.
+
+    Similar sets have all but ``n - ceil(s * n)`` of each in common, so their first common shingles are in both
+    prefixes: one, and one for each by which the shorter prefix is longer. The smaller set has ``s * n`` or more.
+    """
+    return F.floor(_at_least(n) / EXTRA) + 1
+
+
 def postings(marks: DataFrame) -> DataFrame:
-    """``word, node, n`` for the prefix of each set; only words that more than one set has there."""
+    """``word, node, n, odd`` for the prefix of each set that shares enough of it; ``odd`` shingles are its own."""
     each = marks.select(F.explode("prefix").alias("word"), "node", "n")
     shared = lookup_side(
         each.groupBy("word").agg(F.min("node").alias("low"), F.max("node").alias("high"))
         .where("low < high").select(F.col("word").alias("shared"))
     )
     # A set comes once per task that has it; the same row twice adds no pair that was not there.
-    return store(each.join(shared, F.col("word") == F.col("shared")).drop("shared").distinct(), "postings")
+    found = store(each.join(shared, F.col("word") == F.col("shared")).drop("shared").distinct(), "shared")
+    n = F.col("n")
+    enough = lookup_side(
+        found.groupBy(F.col("node").alias("own"), "n").agg(F.count(F.lit(1)).alias("times")).where(F.col("times") >= least_shared(n))
+        .select("own", (n - _at_least(n) + 1 + F.floor(n / EXTRA) - F.col("times")).cast("int").alias("odd"))
+    )
+    kept = store(found.join(enough, F.col("node") == F.col("own")).select("word", "node", "n", "odd"), "postings")
+    discard(found)
+    return kept
 
 
 class Sets:
@@ -234,7 +273,10 @@ class Sets:
 
 def _checked(pairs: DataFrame, sets: Sets) -> DataFrame:
     """The pairs ``a, b`` that are similar, written."""
-    pairs = sets.bounded(lookup_side(pairs.distinct()))
+    pairs = lookup_side(pairs.distinct())
+    if pairs.isEmpty():
+        return pairs
+    pairs = sets.bounded(pairs)
     met = lookup_side(pairs.select(F.explode(F.array("a", "b")).alias("met")).distinct())
     own = sets.of(met)
     both = (
@@ -263,58 +305,171 @@ def _could_be(x: str, y: str):
     return OUT_OF * F.least(x, y) >= OF * F.greatest(x, y)
 
 
-def _labelled(members: DataFrame, edges: DataFrame) -> DataFrame:
-    """Postings with the group that the edges give their set so far.
+def _labels(edges: DataFrame) -> DataFrame:
+    """``own, root``: the group that the edges give a set so far; a set without edges is its own."""
+    return lookup_side(components(edges)).select(F.col("node").alias("own"), "root")
+
+
+def _labelled(rows: DataFrame, labels: DataFrame, node: str = "node", label: str = "label") -> DataFrame:
+    """The rows with the group of their set.
 
     Labels are looked up where they are needed; postings are written once.
     """
-    own = lookup_side(components(edges)).select(F.col("node").alias("own"), "root")
-    return members.join(own, F.col("node") == F.col("own"), "left").select(
-        "word", "node", "n", F.coalesce("root", "node").alias("label")
+    found = rows.join(labels, F.col(node) == F.col("own"), "left")
+    return found.withColumn(label, F.coalesce("root", node)).drop("own", "root")
+
+
+def _pair(a: str, b: str) -> list:
+    return [F.least(a, b).alias("a"), F.greatest(a, b).alias("b")]
+
+
+def _twos_and_lists(members: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Pairs ``a, b`` of the words that two sets have, and ``key, node, n, odd`` of the others, written.
+
+    A key is a word and a class of sizes. Similar sets are of one class or of two that follow one another; a set
+    is in its own list and in the next.
+    """
+    own = F.struct("node", "n")
+    words = lookup_side(
+        members.groupBy(F.col("word").alias("own"))
+        .agg(F.count(F.lit(1)).alias("times"), F.min(own).alias("x"), F.max(own).alias("y")).where("times > 1")
     )
+    twos = words.where("times = 2").select("x", "y", F.col("x.n").alias("nx"), F.col("y.n").alias("ny")).where(_could_be("nx", "ny"))
+    # A little wider than the ratio of similar sets, so that no rounding parts them.
+    size = F.floor(F.log("n") / math.log(1.01 * OUT_OF / OF)).cast("int")
+    more = members.join(words.where("times > 2").select("own"), F.col("word") == F.col("own"))
+    keys = more.select("word", "node", "n", "odd", F.explode(F.array(size, size + 1)).alias("size"))
+    lists = keys.select(F.xxhash64("word", "size").alias("key"), "node", "n", "odd")
+    return twos.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")), store(lists, "lists")
+
+
+def apartness(words: np.ndarray, middle: np.ndarray, away: bool) -> tuple[np.ndarray, int, int, int]:
+    """What one of two sets has only, those of ``words`` first, as far as it is looked at; how many there are; and
+    how many of them a set that is ``away`` must look up, and how many it must show to one that is away.
+
+    With ``a`` and ``b`` apart from a middle of ``c`` shingles, two sets of ``n`` and ``m`` are similar if they
+    have at most ``d = (n + m) / 9`` apart, so the two apartnesses share ``t >= (a + b - d) / 2``. Sets that are away
+    are not similar to the middle: ``9 * a > n + c``. For the other that gives ``18 * t > 9 * b + c - m``. As
+    ``b >= t`` and ``4 * m <= 5 * n``, it is ``t >= a - n / 4`` as well. Where ``t`` of ``a`` are shared, the first of
+    them is among ``a - t + 1``. (Here for a similarity of 4 / 5.)
+    """
+    parts = np.setdiff1d(words, middle, assume_unique=True), np.setdiff1d(middle, words, assume_unique=True)
+    n, c, a = len(words), len(middle), len(parts[0]) + len(parts[1])
+    both, part = OF + OUT_OF, OUT_OF - OF
+    # t >= a - d, and d is at most part * (n + OUT_OF * n / OF) / both = part * n / OF.
+    least = max(1, -(-(OF * a - part * n) // OF))
+    looked = max(0, a - least + 1) if away else 0
+    shown = max(0, a - max(least, (both * a + part * (c - n)) // (2 * both) + 1) + 1)
+    return np.concatenate(parts)[: max(looked, shown)], a, looked, shown
 
 
-def similar_links(marks: DataFrame, members: DataFrame, sets: Sets, rounds: int = ROUNDS) -> DataFrame:
+def _apart(met: DataFrame, sets: Sets) -> DataFrame:
+    """``key, node, n, odd, label, a, at, looks, shown`` for what ``node`` and ``middle`` of a row have apart, written.
+
+    A key is a middle and a shingle, ``at`` its place in the apartness of ``a`` shingles.
+    """
+    own = sets.of(lookup_side(met.select(F.explode(F.array("middle", "node")).alias("met")).distinct()))
+    middles = lookup_side(own.join(met.select(F.col("middle").alias("met")).distinct(), F.col("node") == F.col("met"), "left_semi"))
+    both = met.join(own.select(F.col("node").alias("own"), "words"), F.col("node") == F.col("own")).join(
+        middles.select(F.col("node").alias("at_middle"), F.col("words").alias("others")), F.col("middle") == F.col("at_middle")
+    )
+    names = ["middle", "node", "n", "odd", "label"]
+
+    def run(batches):
+        for whole in batches:
+            for batch in slices(whole, 6):
+                found = [
+                    apartness(np.frombuffer(x.as_py(), np.int64), np.frombuffer(y.as_py(), np.int64), away.as_py())
+                    for away, x, y in zip(batch.column(5), batch.column(6), batch.column(7), strict=True)
+                ]
+                times = np.array([len(x[0]) for x in found])
+                at = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
+                a, looked, shown = (np.repeat(np.array([x[k] for x in found]), times) for k in (1, 2, 3))
+                rows = pa.array(np.repeat(np.arange(batch.num_rows), times))
+                columns = [batch.column(k).take(rows) for k in range(5)]
+                columns += [pa.array(np.concatenate([x[0] for x in found])), pa.array(a, pa.int32()), pa.array(at, pa.int32())]
+                yield pa.RecordBatch.from_arrays([*columns, pa.array(at < looked), pa.array(at < shown)], names=[*names, "word", "a", "at", "looks", "shown"])
+        give_back()
+
+    schema = "middle long, node long, n int, odd int, label long, word long, a int, at int, looks boolean, shown boolean"
+    spread = both.select(*names, "away", "words", "others").mapInArrow(run, schema)
+    found = store(spread.select(F.xxhash64("middle", "word").alias("key"), "node", "n", "odd", "label", "a", "at", "looks", "shown"), "apart")
+    discard(own)
+    return found
+
+
+def _meeting(spread: DataFrame) -> DataFrame:
+    """Pairs ``a, b`` of sets whose apartnesses may overlap enough, from rows of ``_apart``."""
+    left = spread.where("looks").select("key", *(F.col(c).alias(f"{c}_x") for c in ("node", "n", "label", "a", "at")))
+    right = spread.where("shown").select("key", *(F.col(c).alias(f"{c}_y") for c in ("node", "n", "label", "a", "at")))
+    # After the first shingle that both have, they cannot share more than what follows.
+    room = F.least(F.col("a_x") - F.col("at_x"), F.col("a_y") - F.col("at_y"))
+    both, part = OF + OUT_OF, OUT_OF - OF
+    enough = 2 * both * room >= both * (F.col("a_x") + F.col("a_y")) - part * (F.col("n_x") + F.col("n_y"))
+    met = left.join(right, "key").where((F.col("label_x") != F.col("label_y")) & enough & _could_be("n_x", "n_y"))
+    return met.select(*_pair("node_x", "node_y"))
+
+
+def similar_links(marks: DataFrame, members: DataFrame, sets: Sets, levels: int = LEVELS) -> DataFrame:
     """Edges ``a, b`` of similar sets whose connected groups are those of all similar pairs.
 
-    ``marks`` are the rows of ``prefixes``, ``members`` their postings ``word, node, n``.
+    ``marks`` are the rows of ``prefixes``, ``members`` their postings ``word, node, n, odd``.
     """
-    edges = _checked(fingerprint_pairs(marks), sets)
-    labelled = _labelled(members, edges)
-    for step in range(rounds):
-        order = F.struct(F.xxhash64("node", F.lit(step)).alias("h"), "node", "n", "label")
-        heads = lookup_side(
-            labelled.groupBy("word")
-            .agg(F.min(order).alias("head"), F.min("label").alias("low"), F.max("label").alias("high"))
+    twos, lists = _twos_and_lists(members)
+    edges = _checked(fingerprint_pairs(marks).unionByName(twos), sets)
+    labels = _labels(edges)
+    for step in range(levels):
+        labelled = _labelled(lists, labels)
+        # A set with few shingles of its own is likely the text that others were made from.
+        order = F.struct("odd", F.xxhash64("node", F.lit(step)).alias("h"), "node", "n", "label")
+        middles = lookup_side(
+            labelled.groupBy("key")
+            .agg(F.min(order).alias("first"), F.min("label").alias("low"), F.max("label").alias("high"))
             .where("low < high")
-            .select(F.col("word").alias("w"), F.col("head.node").alias("head"), F.col("head.n").alias("hn"), F.col("head.label").alias("hl"))
+            .select(F.col("key").alias("w"), F.col("first.node").alias("middle"), F.col("first.n").alias("mn"), F.col("first.label").alias("ml"))
         )
-        pairs = (
-            labelled.join(heads, F.col("word") == F.col("w"))
-            .where((F.col("label") != F.col("hl")) & _could_be("n", "hn"))
-            .select(F.least("node", "head").alias("a"), F.greatest("node", "head").alias("b"))
+        near = labelled.join(middles, F.col("key") == F.col("w")).where((F.col("label") != F.col("ml")) & _could_be("n", "mn"))
+        edges = edges.unionByName(_checked(near.select(*_pair("node", "middle")), sets))
+        labels = _labels(edges)
+        # What is left: pairs of one key between different groups, without the middle.
+        others = _labelled(lists, labels).join(middles.select("w", "middle"), F.col("key") == F.col("w")).where("node != middle")
+        open_ = lookup_side(
+            others.groupBy(F.col("key").alias("open"))
+            .agg(F.count(F.lit(1)).alias("sets"), F.min("label").alias("low"), F.max("label").alias("high"))
+            .where("low < high").select("open", "sets")
         )
-        edges = edges.unionByName(_checked(pairs, sets))
-        labelled = _labelled(members, edges)
-    # What is left: pairs of one word between different groups.
-    groups = labelled.groupBy("word", "label").agg(F.min("n").alias("low"), F.max("n").alias("high"))
-    one = groups.select("word", F.col("label").alias("la"), F.col("low").alias("low_a"), F.col("high").alias("high_a"))
-    two = groups.select("word", F.col("label").alias("lb"), F.col("low").alias("low_b"), F.col("high").alias("high_b"))
-    open_ = one.join(two, "word").where(
-        (F.col("la") < F.col("lb"))
-        & (OUT_OF * F.col("high_a") >= OF * F.col("low_b"))
-        & (OUT_OF * F.col("high_b") >= OF * F.col("low_a"))
-    )
-    left = labelled.select("word", F.col("label").alias("la"), F.col("node").alias("x"), F.col("n").alias("nx"))
-    right = labelled.select("word", F.col("label").alias("lb"), F.col("node").alias("y"), F.col("n").alias("ny"))
-    rest = (
-        open_.select("word", "la", "lb")
-        .join(left, ["word", "la"])
-        .join(right, ["word", "lb"])
-        .where(_could_be("nx", "ny"))
-        .select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
-    )
-    return edges.unionByName(_checked(rest, sets))
+        if open_.isEmpty():
+            break
+        left = store(others.join(open_, F.col("key") == F.col("open")).select("key", "node", "n", "odd", "label", "middle", "sets"), "left")
+        discard(lists)
+        few = left.where(F.col("sets") <= FEW)
+        x, y = (few.select("key", F.col("node").alias(f"node_{s}"), F.col("n").alias(f"n_{s}"), F.col("label").alias(f"label_{s}")) for s in "xy")
+        met = x.join(y, "key").where((F.col("label_x") < F.col("label_y")) & _could_be("n_x", "n_y"))
+        direct = met.select(*_pair("node_x", "node_y"))
+        many = left.where(F.col("sets") > FEW).select("middle", "node", "n", "odd", "label").distinct()
+        many = lookup_side(_labelled(many, labels, "middle", "group").withColumn("away", F.col("label") != F.col("group")))
+        if many.isEmpty():
+            edges, lists = edges.unionByName(_checked(direct, sets)), left
+            break
+        spread = _apart(many, sets)
+        looks, shown = (F.count_if(c) for c in ("looks", "shown"))
+        wide = (looks * shown > WIDE * (looks + shown)) & F.lit(step < levels - 1)
+        keys = lookup_side(
+            spread.groupBy(F.col("key").alias("own"))
+            .agg(F.min("label").alias("low"), F.max("label").alias("high"), looks.alias("looked"), shown.alias("showed"), wide.alias("wide"))
+            .where("low < high and looked > 0 and showed > 0").select("own", "wide")
+        )
+        met = spread.join(keys, F.col("key") == F.col("own"))
+        # Pairs of wide keys wait for the next middle, those of the last level do not.
+        edges = edges.unionByName(_checked(direct.unionByName(_meeting(met.where("not wide"))), sets))
+        lists = store(met.where("wide").select("key", "node", "n", "odd").distinct(), "lists")
+        discard(left)
+        discard(spread)
+        if lists.isEmpty():
+            break
+        labels = _labels(edges)
+    discard(lists)
+    return edges
 
 
 def similar_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

@@ -416,6 +416,72 @@ def test_bitmaps_bound_what_sets_have_apart():
         assert both != 1340 or not overlap.could_be_similar(n, x, m, y)
 
 
+@pytest.mark.parametrize("wide", [overlap.WIDE, 1])
+def test_sets_around_one_text_need_few_pairs(spark, monkeypatch, wide):
+    """Sets that share most of one text without being similar to it are not compared each with each."""
+    monkeypatch.setattr(overlap, "WIDE", wide)
+    rng = np.random.default_rng(14)
+    base = [f"w{i}" for i in range(146)]
+
+    def edited(words, edits, mark):
+        words = list(words)
+        for k in rng.choice(len(words), edits, replace=False):
+            words[k] = f"{mark}_{k}"
+        return words
+
+    far = [edited(base, int(rng.integers(4, 7)), f"odd{i}") for i in range(150)]
+    # Some are similar to one of those only, some lack words that others lack too.
+    own = [base, *far, *[edited(x, 1, f"more{i}") for i, x in enumerate(far[:20])], *[base[:k] + base[k + 3 :] for k in range(0, 140, 7)]]
+    rows = [(i, " ".join(words)) for i, words in enumerate(own)]
+    met, bounded = [], overlap.Sets.bounded
+    monkeypatch.setattr(overlap.Sets, "bounded", lambda self, pairs: met.append(pairs.count()) or bounded(self, pairs))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    found = {r["doc_id"]: r["component_id"] for r in overlap.similar_groups(df).collect()}
+    assert [found[i] for i in range(len(rows))] == brute_near_copies(rows)
+    assert sum(met) < 5 * len(rows)
+
+
+def test_apartnesses_of_similar_sets_meet():
+    rng = np.random.default_rng(15)
+    away = 0
+    for trial in range(3000):
+        n = int(rng.integers(5, 200))
+        words = np.unique(rng.integers(-(1 << 63), 1 << 63, 3 * n))
+        middle, spare = np.sort(words[rng.permutation(len(words))[:n]]), words
+
+        def near(of, most):
+            lost = rng.permutation(len(of))[: rng.integers(0, most + 1)]
+            return np.union1d(np.delete(of, lost), rng.choice(spare, rng.integers(0, most + 1), replace=False))
+
+        x = near(middle, n // 3)
+        y = near(x, max(1, n // 9))
+        for a, b in ((x, y), (y, x)):
+            if not len(a) or not len(b) or not overlap.similar(a, b) or overlap.similar(a, middle):
+                continue
+            away += 1
+            p, many, looked, _ = overlap.apartness(a, middle, True)
+            q, others, _, shown = overlap.apartness(b, middle, not overlap.similar(b, middle))
+            both = np.intersect1d(p[:looked], q[:shown])
+            assert len(both)
+            # By the first of them in order, as many may follow as must be shared.
+            at = min(p.tolist().index(w) for w in both), min(q.tolist().index(w) for w in both)
+            assert 18 * min(many - at[0], others - at[1]) >= 9 * (many + others) - len(a) - len(b)
+    assert away > 200
+
+
+def test_prefixes_of_similar_sets_share_enough():
+    rng = np.random.default_rng(16)
+    for trial in range(300):
+        words = np.unique(rng.integers(-(1 << 63), 1 << 63, int(rng.integers(1, 600))))
+        other = np.union1d(np.delete(words, rng.permutation(len(words))[: len(words) // 9]), rng.integers(-(1 << 63), 1 << 63, len(words) // 10))
+        if not overlap.similar(words, other):
+            continue
+        late = np.sort(words[:: int(rng.integers(1, 9))])
+        shared = len(np.intersect1d(overlap.prefix(words, late), overlap.prefix(other, late)))
+        assert shared >= 1 + min(len(words), len(other)) // overlap.EXTRA
+        assert shared >= 1 + -(-4 * max(len(words), len(other)) // 5) // overlap.EXTRA
+
+
 def pairs_of(found):
     return sorted(((r["doc_id"], r["component_id"]) for r in found), key=str)
 
