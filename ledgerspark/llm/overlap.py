@@ -324,10 +324,10 @@ def _pair(a: str, b: str) -> list:
 
 
 def _twos_and_lists(members: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Pairs ``a, b`` of the words that two sets have, and ``key, node, n, odd`` of the others, written.
+    """Pairs ``a, b`` of the words that two sets have, and ``key, node, n, odd, size, least`` of the others, written.
 
     A key is a word and a class of sizes. Similar sets are of one class or of two that follow one another; a set
-    is in its own list and in the next.
+    is in its own list and in the next. With a similar one it has ``least`` keys of one class.
     """
     own = F.struct("node", "n")
     words = lookup_side(
@@ -339,10 +339,19 @@ def _twos_and_lists(members: DataFrame) -> tuple[DataFrame, DataFrame]:
     size = F.floor(F.log("n") / math.log(1.01 * OUT_OF / OF)).cast("int")
     more = members.join(words.where("times > 2").select("own"), F.col("word") == F.col("own"))
     keys = more.select("word", "node", "n", "odd", F.explode(F.array(size, size + 1)).alias("size"))
-    lists = keys.select(F.xxhash64("word", "size").alias("key"), "node", "n", "odd")
+    lists = keys.select(F.xxhash64("word", "size").alias("key"), "node", "n", "odd", "size", least_shared(F.col("n")).cast("int").alias("least"))
     return twos.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")), store(lists, "lists")
 
 
+def _enough(rows: DataFrame) -> DataFrame:
+    """The rows of sets that have ``least`` keys of one class."""
+    own = lookup_side(
+        rows.groupBy(F.col("node").alias("own"), F.col("size").alias("own_size"), "least")
+        .agg(F.count(F.lit(1)).alias("times")).where("times >= least").select("own", "own_size")
+    )
+    return rows.join(own, (F.col("node") == F.col("own")) & (F.col("size") == F.col("own_size")), "left_semi")
+
+
 def apartness(words: np.ndarray, middle: np.ndarray, away: bool) -> tuple[np.ndarray, int, int, int]:
     """What one of two sets has only, those of ``words`` first, as far as it is looked at; how many there are; and
     how many of them a set that is ``away`` must look up, and how many it must show to one that is away.
@@ -440,13 +449,14 @@ def similar_links(marks: DataFrame, members: DataFrame, sets: Sets, levels: int
         )
         if open_.isEmpty():
             break
-        left = store(others.join(open_, F.col("key") == F.col("open")).select("key", "node", "n", "odd", "label", "middle", "sets"), "left")
+        left = store(others.join(open_, F.col("key") == F.col("open")).select("key", "node", "n", "odd", "size", "least", "label", "middle", "sets"), "left")
         discard(lists)
         few = left.where(F.col("sets") <= FEW)
         x, y = (few.select("key", F.col("node").alias(f"node_{s}"), F.col("n").alias(f"n_{s}"), F.col("label").alias(f"label_{s}")) for s in "xy")
         met = x.join(y, "key").where((F.col("label_x") < F.col("label_y")) & _could_be("n_x", "n_y"))
         direct = met.select(*_pair("node_x", "node_y"))
-        many = left.where(F.col("sets") > FEW).select("middle", "node", "n", "odd", "label").distinct()
+        # A pair that has not met yet has all its keys here.
+        many = _enough(left.where(F.col("sets") > FEW)).select("middle", "node", "n", "odd", "label").distinct()
         many = lookup_side(_labelled(many, labels, "middle", "group").withColumn("away", F.col("label") != F.col("group")))
         if many.isEmpty():
             edges, lists = edges.unionByName(_checked(direct, sets)), left
@@ -462,7 +472,8 @@ def similar_links(marks: DataFrame, members: DataFrame, sets: Sets, levels: int
         met = spread.join(keys, F.col("key") == F.col("own"))
         # Pairs of wide keys wait for the next middle, those of the last level do not.
         edges = edges.unionByName(_checked(direct.unionByName(_meeting(met.where("not wide"))), sets))
-        lists = store(met.where("wide").select("key", "node", "n", "odd").distinct(), "lists")
+        again = met.where("wide").select("key", "node", "n", "odd").distinct()
+        lists = store(again.select("*", F.lit(0).alias("size"), F.lit(1).alias("least")), "lists")
         discard(left)
         discard(spread)
         if lists.isEmpty():
