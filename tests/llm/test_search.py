@@ -11,6 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from ledgerspark.llm import centroids, langid, private, ranked, topk, urls
+from ledgerspark.session import settings
 
 TERM = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
 UPPER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -326,6 +327,66 @@ def test_trees_leave_subtrees_unopened():
         assert opened < len(tree.nodes) / 4
 
 
+def best_vectors(rows, every, k=5):
+    """``query_id, rank, vec_id, score`` of each query against all rows, one after the other."""
+    whole = [(i, np.floor(256 * np.float32(v).astype(np.float64))) for i, v in rows]
+    expected = []
+    for n, (q, v) in enumerate(whole):
+        if q % every == 0:
+            scored = sorted((-int(v @ w), i) for m, (i, w) in enumerate(whole) if m != n and len(w) == len(v))
+            expected += [(q, rank, i, -s) for rank, (s, i) in enumerate(scored[:k], 1)]
+    return sorted(expected)
+
+
+def test_top_vectors_broadcast_no_side(spark):
+    """Queries times shards are some 5 MB here and grow with the square of the rows: no driver holds that."""
+    rng = np.random.default_rng(14)
+    rows = [(i, rng.normal(size=16).round(2).tolist()) for i in range(2000)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").repartition(3)
+    with settings(spark, {"spark.sql.maxBroadcastTableSize": "1m"}):
+        found = topk.top_k(df, every=10, shard_rows=16)
+        assert sorted(tuple(r) for r in found.collect()) == best_vectors(rows, 10)
+    assert "Broadcast" not in found._jdf.queryExecution().toString()
+
+
+def test_top_vectors_meet_in_many_cells(spark, monkeypatch):
+    """Groups of blocks by groups of trees, with ties, repeated ids and two lengths."""
+    for name, value in (("HELD_BYTES", 1), ("CELL_TREES", 2), ("QUERY_ROWS", 16), ("TOGETHER", 2)):
+        monkeypatch.setattr(topk, name, value)
+    rng = np.random.default_rng(15)
+    rows = [(int(i), rng.normal(size=5).round(1).tolist()) for i in rng.integers(0, 300, 400)]
+    rows += [(i, [0.5, float(i % 3)]) for i in range(60)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").repartition(3)
+    assert sorted(tuple(r) for r in topk.top_k(df, every=6, shard_rows=60).collect()) == best_vectors(rows, 6)
+
+
+@pytest.mark.parametrize("scale", [1, 1000])
+def test_queries_search_a_tree_together(scale):
+    """Single and double precision; each query's best as if it searched alone, whatever the others open."""
+    rng = np.random.default_rng(16)
+    middle = rng.normal(size=(20, 8)) * 50
+    v = np.floor(scale * (middle[rng.integers(0, 20, 2000)] + rng.normal(size=(2000, 8))))
+    v[1000:1100] = v[0]
+    tree = topk.build_tree(v, 32)
+    v, ids = v[tree.order], tree.order % 700
+    asking = np.arange(0, 2000, 5)
+    first = topk.Asked(v[asking], asking, np.full(400, -np.inf), np.zeros(400, np.int64), 5)
+    assert topk.search(tree, v, ids, np.arange(2000), first, first=True) < 400 * 8
+    first.settle()
+    asked = topk.Asked(v[asking], asking, first.least, first.least_id, 5)
+    opened = topk.search(tree, v, ids, np.arange(2000), asked)
+    assert opened < 400 * len(tree.nodes) / 2
+    asked.settle()
+    assert set(asked.kinds) == {np.float32 if scale == 1 else np.float64}
+    query, score, of, row = asked.best
+    for n, own in enumerate(asking):
+        scores = v @ v[own]
+        order = [i for i in np.lexsort((np.arange(2000), ids, -scores)) if i != own][:5]
+        assert row[query == n].tolist() == order
+        assert score[query == n].tolist() == scores[order].tolist()
+        assert of[query == n].tolist() == ids[order].tolist()
+
+
 def test_large_filters_are_built_in_linear_time(spark):
     """150,000 listed keys: a look-up per word of the filter would take minutes."""
     keys = spark.range(200_000).select(F.concat(F.lit("h"), F.col("id").cast("string")).alias("key"), (F.col("id") % 4 > 0).alias("listed"))
