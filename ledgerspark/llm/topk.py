@@ -83,18 +83,18 @@ class Asked:
         self.vectors, self.own, self.k = vectors, own, k
         self.least, self.least_id = least.astype(np.float64), least_id.astype(np.int64)
         self.total = float(np.abs(vectors).sum(axis=1, dtype=np.float64).max(initial=0))
-        self.kinds: dict[type, np.ndarray] = {}
         whole = np.empty(0, np.int64)
         self.best = (whole, np.empty(0), whole, whole)
         self.fresh: list[tuple[np.ndarray, ...]] = []
         self.waiting = 0
 
     def sides(self, kind: type) -> np.ndarray:
-        """Each query beside its absolute values: times a box's middle and half width they are its bound."""
-        if kind not in self.kinds:
-            v = self.vectors.astype(kind)
-            self.kinds[kind] = np.hstack([v, np.abs(v)])
-        return self.kinds[kind]
+        """Each query beside its absolute values: times a box's middle and half width they are its bound.
+
+        Made anew for each tree: what a task holds meanwhile are the narrow vectors.
+        """
+        v = self.vectors.astype(kind)
+        return np.hstack([v, np.abs(v)])
 
     def take(self, who: np.ndarray, scores: np.ndarray, ids: np.ndarray, rows: np.ndarray) -> None:
         """Keep what may be among the best of ``scores``, one row for each of ``who`` and a column a vector."""
@@ -305,7 +305,8 @@ def top_k(
             (F.col("part") * block_groups + F.col("other")).alias("cell"), F.lit(1).alias("side"), *trees.columns[1:],
             *[none.alias(x) for x in ("least", "least_id")],
         )
-        both = asked.unionByName(met).repartition(tree_groups * block_groups, "cell")
+        # Each cell is one task: by a hash of it some tasks would get several cells, others none.
+        both = asked.unionByName(met).repartitionById(tree_groups * block_groups, F.col("cell"))
         return both.sortWithinPartitions("cell", "dim", "side")
 
     names = ["query", "query_id", "vec_id", "number", "score"]
